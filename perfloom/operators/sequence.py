@@ -23,7 +23,7 @@ FANOUT = 64
 
 def plan_bytes(df: DataFrame) -> int:
     """Optimizer estimate of the size of ``df`` (no job is run)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def maybe_broadcast(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
