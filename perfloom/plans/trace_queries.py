@@ -162,9 +162,9 @@ def trace_metadata(s, d):
     return EV.trace_metadata(tv(s, d))
 
 
-@query("triage_stats", "tv", "SELECT trace_id, name, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM tv WHERE seq < 10000 GROUP BY ALL")
+@query("triage_stats", "tv", "SELECT trace_id, name, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT * FROM tv QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY seq) <= 1000) GROUP BY ALL")
 def triage_stats(s, d):
-    return EV.triage_stats(tv(s, d))
+    return EV.triage_stats(tv(s, d), head=1000)
 
 
 @query("distinct_names", "tv", "SELECT DISTINCT trace_id, name FROM tv")
@@ -589,7 +589,7 @@ lk AS (SELECT sg.trace_id, sg.device_id, sg.stream_id, sg.gap_start, sg.gap_dur,
   max(CASE WHEN prev_state IN ('R', 'D') OR (name = 'sched_wakeup' AND dur > 100000000) OR name IN ('read_block', 'stream_sync') THEN hts END) AS closest_ts
   FROM sg LEFT JOIN sg2 ON sg2.trace_id = sg.trace_id AND hts >= gap_start - 1200000000 AND hts < gap_start GROUP BY ALL),
 pt AS (SELECT trace_id, device_id, stream_id, gap_start, gap_dur, closest_ts, CASE WHEN a THEN 'CPU_SCHED_CONTENTION' WHEN b THEN 'IO_BLOCK' WHEN c THEN 'MEMORY_PRESSURE' WHEN gap_dur > 1200000000 THEN 'KERNEL_LAUNCH_GAP' END AS pattern,
-  CASE WHEN a THEN 0.85 WHEN b THEN 0.78 WHEN c THEN 0.72 WHEN gap_dur > 1200000000 THEN 0.6 END AS confidence FROM lk)"""
+  CAST(CASE WHEN a THEN 0.85 WHEN b THEN 0.78 WHEN c THEN 0.72 WHEN gap_dur > 1200000000 THEN 0.6 END AS DOUBLE) AS confidence FROM lk)"""
 
 
 def _looked(s, d):

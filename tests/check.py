@@ -53,6 +53,11 @@ def main() -> None:
     from tests.conftest import make_session
 
     args = sys.argv[1:]
+    if "--split" in args:       # force the skew path on every ordered operator
+        args.remove("--split")
+        from perfloom.operators import sequence
+
+        sequence.SMALL_INPUT_BYTES, sequence.SPLIT_ROWS = -1, 40
     sf = args.pop(0) if args and args[0].startswith("0") else "0.01"
     d = f"/root/testdata/sf{sf}"
     spark, con = make_session(), oracle_connection(d)
