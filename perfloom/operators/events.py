@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfloom.functions import exprs as X
-from perfloom.operators.sequence import KeyedSequence, top_k
+from perfloom.operators.sequence import KeyedSequence
 from perfloom.schema import ARGS_FIELDS, EVENT_SCHEMA, PHASES
 
 K = ("trace_id",)
@@ -204,7 +204,7 @@ def trace_names(ev: DataFrame, K: Sequence[str] = K) -> DataFrame:
 
 def triage_stats(ev: DataFrame, K: Sequence[str] = K, head: int = 10_000) -> DataFrame:
     """First look at each trace: event-type histogram of its first ``head`` lines."""
-    first = top_k(ev, K, [F.asc("seq")], head)
+    first = KeyedSequence(ev, K, ["seq"]).rank("_n").result().where(F.col("_n") <= head)
     return first.groupBy(*K, "name").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 

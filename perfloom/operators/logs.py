@@ -53,8 +53,9 @@ def line_metrics(lines: DataFrame, patterns=LINE_PATTERNS, first=WEIGHT, K: Sequ
 
     rules = ([first] if first else []) + list(patterns)
     found = X.first_match(*[(v.rlike(p), hit(m, p, u)) for m, p, u in rules])
-    return lines.select(*K, "seq", found.alias("_m")).where("_m is not null").select(
-        *K, F.col("_m.metric").alias("metric"), "seq", F.col("_m.number").alias("value"), F.col("_m.unit").alias("unit"))
+    # a generator evaluates the long CASE once per line; plain field access would repeat it per output column
+    return lines.select(*K, "seq", F.inline(F.array(found))).where("metric is not null").select(
+        *K, "metric", "seq", F.col("number").alias("value"), "unit")
 
 
 def first_seen_distinct(df: DataFrame, keys: Sequence[str], value: str, order: str = "seq") -> DataFrame:

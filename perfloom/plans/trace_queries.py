@@ -495,10 +495,9 @@ def loader_share(s, d):
 
 
 @query("ffill_melt", "", """
-, x AS (SELECT 1) SELECT 1""".replace(", x AS (SELECT 1) SELECT 1", """
 WITH b AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS brand, p_size % 2 AS f_even, p_size % 3 AS f_three, p_partkey % 5 AS grp FROM part),
 f AS (SELECT *, last_value(brand IGNORE NULLS) OVER (PARTITION BY grp ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS filled FROM b)
-SELECT p_partkey, filled AS brand, 'f_even' AS feature, CAST(f_even AS BIGINT) AS flag FROM f UNION ALL SELECT p_partkey, filled, 'f_three', CAST(f_three AS BIGINT) FROM f"""))
+SELECT p_partkey, filled AS brand, 'f_even' AS feature, CAST(f_even AS BIGINT) AS flag FROM f UNION ALL SELECT p_partkey, filled, 'f_three', CAST(f_three AS BIGINT) FROM f""")
 def ffill_melt(s, d):
     p = s.read.parquet(f"{d}/part.parquet").selectExpr(
         "p_partkey", "CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS brand", "CAST(p_size % 2 AS BIGINT) AS f_even",

@@ -7,9 +7,9 @@ Measures are whole numbers, so sums and means do not depend on addition order.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _US = {"spark": "unix_micros(CAST(ts AS TIMESTAMP))", "oracle": "epoch_us(ts)"}
-_YEAR = {"spark": "CAST(year(l_shipdate) AS BIGINT)", "oracle": "CAST(year(l_shipdate) AS BIGINT)"}
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 _DEV = "event_type IN ('view', 'purchase')"
 
@@ -99,7 +99,63 @@ VIEWS: dict[str, tuple[str, str, list[str]]] = {
 }
 
 
+# One metric record per user, whole numbers taken from counts and sums of the events.
+_PER_USER = ["count(*) AS n", "CAST(sum(k) AS BIGINT) AS sk", "max(k) AS mx", "min(k) AS mn", "CAST(sum(v) AS BIGINT) AS sv"]
+
+
+def _num(expr: str, name: str) -> str:
+    return f"CAST({expr} AS DOUBLE) AS {name}"
+
+
+_METRICS = ["'u' || CAST(user_id AS STRING) AS trace_id"] + [_num(e, n) for e, n in (
+    ("sk % 101", "cpu_util_avg"), ("sv % 120", "cpu_util_max"), ("100 - sk % 101", "cpu_idle_avg"),
+    ("CASE WHEN sk % 5 <> 0 THEN sk % 27 END", "runqueue_avg"), ("sv % 40", "runqueue_max"), ("sv % 9000", "sched_latency_avg_us"),
+    ("sv % 17000", "sched_latency_p99_us"), ("sv % 70000", "sched_latency_max_us"), ("(sv * 7) % 90000", "ctx_switch_rate"),
+    ("(sk % 11) / 10.0", "cpu_balance_score"), ("sv % 1000", "h2d_bandwidth_mbs"), ("sv % 1100", "d2h_bandwidth_mbs"),
+    ("(sv * 13) % 2000000", "memcpy_total_us"), ("sv % 1500", "launch_avg_gap_us"), ("(sv * 3) % 200000", "launch_count"),
+    ("4 + sk % 9", "cpu_cores"), ("(sk % 100) / 100.0", "correlation_score"), ("(sk % 60) / 100.0", "attr_CPU_SCHED"),
+    ("(sv % 50) / 100.0", "attr_DATA_LOADER"), ("CASE WHEN sk % 3 <> 0 THEN (sv % 45) / 100.0 END", "attr_MEMCPY"),
+    ("(sk % 35) / 100.0", "attr_LAUNCH_GAP"), ("(sv % 31) / 100.0", "attr_IO_WAIT"), ("(sk % 29) / 100.0", "attr_RUNTIME_BLOCK"),
+    ("(mx % 10) / 100.0", "attr_OTHER"))] + [
+    "sk % 2 = 0 AS spike_runqueue", "sv % 2 = 0 AS spike_cpu_util", "sv % 3 = 0 AS spike_launch_gap", "sk % 3 = 0 AS spike_ctx_switch"]
+_RECORD = ["'u' || CAST(user_id AS STRING) AS trace_id"] + [_num(e, n) for e, n in (
+    ("sk % 101", "cpu_util_avg"), ("sv % 101", "cpu_util_max"), ("(sk % 11) / 10.0", "cpu_balance"), ("sk % 30", "runqueue_avg"),
+    ("sk % 60", "runqueue_max"), ("4 + sk % 9", "cpu_count"), ("(sv * 7) % 90000", "context_switch_rate"),
+    ("CASE WHEN sk % 7 <> 0 THEN sv % 30 END", "npu_idle_ratio"), ("sv % 90", "npu_idle_max_gap_ms"), ("sv % 45", "npu_idle_avg_gap_ms"),
+    ("sv % 12", "npu_idle_gap_count"), ("(sk % 25) / 10.0", "runqueue_pressure"), ("CASE WHEN sk % 4 <> 0 THEN sv % 30 END", "sched_latency_p99_ms"),
+    ("sv % 15", "sched_latency_avg_ms"), ("sv % 80", "sched_latency_p99_9_ms"), ("sv % 100", "sched_latency_max_ms"),
+    ("(sv * 3) % 2000", "cpu_migration_rate"), ("sk % 55", "remote_ratio"), ("100 - sk % 55", "hit_ratio"), ("sv % 3", "major_page_faults"),
+    ("(sv * 11) % 20000", "minor_page_fault_rate"), ("sk % 21", "io_wait_pct"), ("sk % 210", "io_issue_count"), ("(sv * 5) % 15000", "io_issue_rate"),
+    ("sv % 20", "thread_block_count"), ("sk % 50", "dataloader_time_pct"), ("(sk % 30) / 10.0", "kernel_launch_gap_avg_ms"),
+    ("sv % 14", "kernel_launch_gap_p99_ms"), ("sv % 40", "sync_wait_time"))]
+_PER_USER_VIEWS = {"mv": _METRICS, "rec": _RECORD}
+
+
+def _user_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    per = view(spark, sf_dir, "ev_k").groupBy("user_id").agg(*[F.expr(e) for e in _PER_USER])
+    return per.selectExpr(*_PER_USER_VIEWS[name])
+
+
+def _profile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type", "p_size")
+    return li.join(part, li.l_partkey == part.p_partkey).selectExpr(*_PROFILE)
+
+
+# Kernel calls of three sides.
+_PROFILE = [
+    "l_returnflag AS side", "CASE WHEN p_size % 10 = 0 THEN 'hcom_' || p_brand ELSE p_brand END AS kernel",
+    "CASE WHEN p_size % 7 = 0 THEN '' ELSE CAST(p_size % 5 AS STRING) || ',' || CAST(p_size % 3 AS STRING) || ';' || CAST(p_size % 4 AS STRING) || ',x' END AS shape",
+    "round(l_extendedprice) AS duration", "p_type AS kernel_type", "'core' || CAST(l_linenumber % 2 AS STRING) AS core_type",
+    "'L' || CAST(l_linenumber % 3 AS STRING) AS level", "l_orderkey AS row_id", "CAST(l_linenumber AS BIGINT) AS line_no"]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in _PER_USER_VIEWS:
+        return _user_view(spark, sf_dir, name)
+    if name == "pr":
+        return _profile_rows(spark, sf_dir)
     table, where, exprs = VIEWS[name]
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.where(where).selectExpr(*[e.format(us=_US["spark"]) if "{us}" in e else e for e in exprs])
@@ -109,6 +165,14 @@ def oracle(names: str, body: str, recursive: bool = False) -> str:
     """Oracle text: the named views as CTEs, then ``body`` (which may start with more CTEs)."""
     ctes = []
     for n in names.split():
+        if n in _PER_USER_VIEWS:
+            inner = ", ".join(VIEWS["ev_k"][2])
+            per = f"SELECT user_id, {', '.join(_PER_USER)} FROM (SELECT {inner} FROM events) GROUP BY user_id"
+            ctes.append(f"{n} AS (SELECT {', '.join(_PER_USER_VIEWS[n])} FROM ({per}))")
+            continue
+        if n == "pr":
+            ctes.append(f"pr AS (SELECT {', '.join(_PROFILE)} FROM lineitem JOIN part ON l_partkey = p_partkey)")
+            continue
         table, where, exprs = VIEWS[n]
         cols = ", ".join(e.format(us=_US["oracle"]) if "{us}" in e else e for e in exprs)
         ctes.append(f"{n} AS (SELECT {cols} FROM {table} WHERE {where})")
