@@ -32,6 +32,7 @@ def _drain(stream, name):
     return SM.drain(stream, name, None if configured else tempfile.mkdtemp(prefix="spark-"))
 
 
+# The optimizer filters below the watermark, so it follows the rows the operator keeps.
 _MARK = ", mk AS (SELECT max(ts) // 1000 * 1000 - {0} AS wm FROM {1})"
 
 
@@ -41,19 +42,19 @@ def stream_window_summary(s, d):
     return _drain(SM.tumbling_summary(_timed(s, d, "lt"), window_us=HOUR), "stream_window_summary")
 
 
-@query("stream_sliding_util", "tv", _MARK.format(_DELAY_US, "tv") + f"""
+@query("stream_sliding_util", "tv", _MARK.format(_DELAY_US, "tv WHERE dur > 0 AND cpu >= 0") + f"""
 , w AS (SELECT trace_id, cpu, dur, unnest([ts // {HOUR // 2} * {HOUR // 2}, ts // {HOUR // 2} * {HOUR // 2} - {HOUR // 2}]) AS window_start FROM tv WHERE dur > 0 AND cpu >= 0)
 SELECT trace_id, cpu, window_start, round(sum(dur) / {HOUR}.0 * 100, 6) AS util_pct FROM w GROUP BY 1, 2, 3 HAVING window_start + {HOUR} <= (SELECT wm FROM mk)""")
 def stream_sliding_util(s, d):
     return tidy(_drain(SM.sliding_util(_timed(s, d, "tv"), window_us=HOUR, slide_us=HOUR // 2), "stream_sliding_util"))
 
 
-@query("stream_gap_scan", "tv", _MARK.format(_DELAY_US, "tv") + _GAPS + " SELECT * FROM g WHERE gap_dur >= 100 AND gap_end < (SELECT wm FROM mk)")
+@query("stream_gap_scan", "tv", _MARK.format(_DELAY_US, "tv WHERE device_id >= 0") + _GAPS + " SELECT * FROM g WHERE gap_dur >= 100 AND gap_end < (SELECT wm FROM mk)")
 def stream_gap_scan(s, d):
     return _drain(SM.gap_scan(_timed(s, d, "tv")), "stream_gap_scan")
 
 
-@query("stream_sched_latency", "tv", _MARK.format(_DELAY_US, "tv") + _LAT + " SELECT * FROM la WHERE switch_ts < (SELECT wm FROM mk)")
+@query("stream_sched_latency", "tv", _MARK.format(_DELAY_US, "tv WHERE cat = 'cpu_sched'") + _LAT + " SELECT * FROM la WHERE switch_ts < (SELECT wm FROM mk)")
 def stream_sched_latency(s, d):
     return _drain(SM.sched_latency(_timed(s, d, "tv")), "stream_sched_latency")
 

@@ -46,7 +46,7 @@ def step_table(spark: SparkSession, path: str, fmt: str = "parquet", cluster_id:
 
 
 def _documents(spark: SparkSession, path: str, schema: str, col: str = "doc") -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(file_id(F.col("_metadata.file_path")).alias("cluster_id"), F.from_json("value", schema).alias(col))
 
 

@@ -31,7 +31,7 @@ def chrome_trace(spark: SparkSession, path: str, layout: str = "document") -> Da
         body = F.regexp_replace(body, r'^\{\s*"traceEvents"\s*:\s*\[\s*', "")
         items = lines.select("trace_id", "seq", F.try_parse_json(body).alias("e"))
     else:
-        raw = spark.read.option("wholetext", True).text(path)
+        raw = spark.read.text(path, wholetext=True)
         doc = raw.select(file_id(F.col("_metadata.file_path")).alias("trace_id"), F.try_parse_json("value").alias("d"))
         inner = F.coalesce(F.try_variant_get("d", "$.traceEvents", "variant"), F.col("d"))
         items = doc.withColumn("d", inner).lateralJoin(
@@ -264,7 +264,7 @@ def step_events(steps: DataFrame, keys: Sequence[str] = ("trace_id",)) -> DataFr
 
 
 def step_trace_json(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     doc = raw.select(file_id(F.col("_metadata.file_path")).alias("trace_id"), F.try_parse_json("value").alias("d"))
     inner = F.coalesce(F.try_variant_get("d", "$.steps", "variant"), F.try_variant_get("d", "$.traceEvents", "variant"), F.col("d"))
     items = doc.withColumn("d", inner).lateralJoin(

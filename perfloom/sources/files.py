@@ -40,7 +40,7 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def dump_json(spark: SparkSession, path: str) -> DataFrame:
     """``dump_id, doc`` (variant) of one-document files, repaired where needed; unreadable files give a null document."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(file_id(F.col("_metadata.file_path")).alias("dump_id"), parse_json_tolerant("value").alias("doc"))
 
 
@@ -83,7 +83,7 @@ def log_domains(path: Column, domains: dict[str, list[str]] = NODE_DOMAINS) -> C
 
 def node_logs(spark: SparkSession, path: str, domain: str | None = None, cap: int = 200_000) -> DataFrame:
     """``file_path, domain, text`` of a node dump tree; text is cut at ``cap`` characters like the original feature."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     tagged = raw.select(F.col("_metadata.file_path").alias("file_path"), F.substring("value", 1, cap).alias("text"))
     out = tagged.select("file_path", F.explode(log_domains(F.col("file_path"))).alias("domain"), "text")
     return out.where(F.col("domain") == domain) if domain else out
