@@ -44,24 +44,19 @@ def cluster_ratios(st: DataFrame, K: Sequence[str] = CK) -> DataFrame:
     return m.withColumns({f"{n}_ratio": X.safe_div(f"avg_{n}", total) * 100 for n in ("compute", "comm", "free")})
 
 
-def rank_step_heatmap(st: DataFrame, steps: Sequence[int] | None = None, K: Sequence[str] = CK, measure: str = "stage",
-                      tol: float = 0.10) -> DataFrame:
+def rank_step_heatmap(st: DataFrame, K: Sequence[str] = CK, measure: str = "stage", tol: float = 0.10) -> DataFrame:
     """Dense rank x step cells graded against the cluster mean; a missing cell is 0.
 
-    Each rank keeps one map of its cells and is laid over the step list of its cluster, so there is no pairing of ranks
-    and steps to shuffle.  ``steps`` fixes the list; otherwise the steps seen in the cluster are used.
+    Each step keeps one map of its ranks, limited by the size of the cluster, and is laid over the cluster's rank list; no
+    rows of ranks and steps are paired in a join.
     """
     K = list(K)
-    # last value seen per cell, as the step table holds one row per (rank, step)
     cells = st.groupBy(*K, "rank", "step").agg(F.max(measure).alias("_v"))
-    per_rank = cells.groupBy(*K, "rank").agg(F.map_from_entries(F.collect_list(F.struct("step", "_v"))).alias("_m"))
-    base = step_summary(st, K).groupBy(*K).agg(
-        F.avg("avg_stage").alias("_mean"), F.sort_array(F.collect_set("step")).alias("_steps"))
-    out = per_rank.join(base, K)
-    if steps is not None:
-        out = out.withColumn("_steps", F.array(*[F.lit(s).cast(st.schema["step"].dataType) for s in steps]))
-    out = out.select(*K, "rank", "_m", "_mean", F.explode("_steps").alias("step"))
-    v = F.coalesce(F.try_element_at("_m", F.col("step")), F.lit(0.0))
+    per_step = cells.groupBy(*K, "step").agg(F.map_from_entries(F.collect_list(F.struct("rank", "_v"))).alias("_m"))
+    mean = step_summary(st, K).groupBy(*K).agg(F.avg("avg_stage").alias("_mean"))
+    ranks = cells.groupBy(*K).agg(F.sort_array(F.collect_set("rank")).alias("_ranks"))
+    out = per_step.join(mean.join(ranks, K), K).select(*K, "step", "_m", "_mean", F.explode("_ranks").alias("rank"))
+    v = F.coalesce(F.try_element_at("_m", F.col("rank")), F.lit(0.0))
     r = F.when(F.col("_mean") > 0, X.safe_div(v, "_mean")).otherwise(1.0)
     return out.select(*K, "rank", "step", v.alias("value"),
                       F.when(r > 1 + tol, "high").when(r < 1 - tol, "low").otherwise("mid").alias("level"))

@@ -24,27 +24,28 @@ def json_flatten(df: DataFrame, col: str, K: Sequence[str], max_depth: int = 16,
     Each level explodes the containers of the level before and passes leaves through, so the plan is one chain over the
     rows.  Containers deeper than ``max_depth`` come out as their JSON text.  ``keep_parents`` also lists containers.
     """
-    out = df.select(*K, F.lit("").alias("_path"), F.col(col).alias("_v"), F.lit(True).alias("_new"))
-    parents = None
+    out = df.select(*K, F.lit("").alias("_path"), F.col(col).alias("_v"), F.lit(True).alias("_new"), F.lit(False).alias("_done"))
+    container = F.expr("schema_of_variant(_v) RLIKE '^(OBJECT|ARRAY)'")
     for _ in range(max_depth):
-        if keep_parents:
-            here = out.where("_new AND _path <> '' AND schema_of_variant(_v) RLIKE '^(OBJECT|ARRAY)'").select(
-                *K, F.col("_path").alias("path"), F.to_json("_v").alias("value"))
-            parents = here if parents is None else parents.unionByName(here)
-        out = out.lateralJoin(
-            df.sparkSession.tvf.variant_explode_outer(F.col("_v").outer()).select(
+        if keep_parents:        # a fresh container leaves one finished row behind before it is opened
+            twice = F.col("_new") & ~F.col("_done") & (F.col("_path") != "") & F.coalesce(container, F.lit(False))
+            out = out.withColumn("_done", F.explode(
+                F.when(twice, F.array(F.lit(True), F.lit(False))).otherwise(F.array("_done"))))
+        opened = F.when(~F.col("_done"), F.col("_v"))
+        out = out.withColumn("_open", opened).lateralJoin(
+            df.sparkSession.tvf.variant_explode_outer(F.col("_open").outer()).select(
                 F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_child")))
         step = F.when(F.col("_key").isNotNull(), F.concat(
             F.when(F.col("_path") == "", F.lit("")).otherwise(F.lit(".")), "_key")).when(
             F.col("_pos").isNotNull(), F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(F.lit(""))
         grew = F.col("_pos").isNotNull()
+        if keep_parents:        # an empty container is already listed by its finished row
+            out = out.where(grew | F.col("_done") | (F.col("_path") == "") | ~F.coalesce(container, F.lit(False)))
         out = out.select(*K, F.concat("_path", step).alias("_path"),
-                         F.when(grew, F.col("_child")).otherwise(F.col("_v")).alias("_v"), grew.alias("_new"))
+                         F.when(grew, F.col("_child")).otherwise(F.col("_v")).alias("_v"), grew.alias("_new"), "_done")
     scalar = F.try_variant_get("_v", "$", "string")
-    container = F.expr("schema_of_variant(_v) RLIKE '^(OBJECT|ARRAY)'")
     value = F.when(F.is_variant_null("_v"), None).when(container, F.to_json("_v")).otherwise(scalar)
-    leaves = out.select(*K, F.col("_path").alias("path"), value.alias("value"))
-    return leaves.unionByName(parents) if parents is not None else leaves
+    return out.select(*K, F.col("_path").alias("path"), value.alias("value"))
 
 
 def nway_diff(paths: DataFrame, dump_col: str, dumps: Sequence[str], K: Sequence[str] = (),

@@ -3,28 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfloom.functions import exprs as X
 from perfloom.operators import timeline as TL
-from perfloom.operators.events import K, trace_metadata
+from perfloom.operators.events import K
 from perfloom.operators.sequence import KeyedSequence, percentiles
 
 
+def _copy_sums() -> list[Column]:
+    """Bytes and time per direction; copy rows only count through their category."""
+    copy = F.col("cat") == "npu_memcpy"
+    d = F.when(copy, X.memcpy_direction("direction", "op"))
+    sums = [F.coalesce(F.sum(F.when(d == s, F.col(c))), F.lit(0)).alias(f"_{s}_{c}") for s in ("H2D", "D2H") for c in ("bytes", "dur")]
+    return sums + [F.coalesce(F.sum(F.when(copy, F.col("dur"))), F.lit(0)).alias("memcpy_total_us")]
+
+
+def _bandwidths() -> list[Column]:
+    return [X.safe_div(f"_{s}_bytes", f"_{s}_dur").alias(f"{s.lower()}_bandwidth_mbs") for s in ("H2D", "D2H")]
+
+
 def copy_bandwidth(ev: DataFrame, K: Sequence[str] = K) -> DataFrame:
     """Bytes per microsecond (= MB/s) per direction, and copy time over all directions."""
-    d = X.memcpy_direction("direction", "op")
-    ev = ev.where("cat = 'npu_memcpy'").withColumn("_d", d)
-    out = ev.groupBy(*K).agg(
-        *[F.coalesce(F.sum(F.when(F.col("_d") == s, F.col(c))), F.lit(0)).alias(f"_{s}_{c}")
-          for s in ("H2D", "D2H") for c in ("bytes", "dur")],
-        F.sum("dur").alias("memcpy_total_us"))
-    return out.select(
-        *K, X.safe_div("_H2D_bytes", "_H2D_dur").alias("h2d_bandwidth_mbs"),
-        X.safe_div("_D2H_bytes", "_D2H_dur").alias("d2h_bandwidth_mbs"), "memcpy_total_us")
+    return ev.where("cat = 'npu_memcpy'").groupBy(*K).agg(*_copy_sums()).select(*K, *_bandwidths(), "memcpy_total_us")
 
 
 def launch_stats(ev: DataFrame, K: Sequence[str] = K) -> DataFrame:
@@ -47,9 +50,7 @@ def balance_score(values: DataFrame, K: Sequence[str], value: str) -> DataFrame:
 
 def latency_stats(lat: DataFrame, K: Sequence[str], value: str = "latency_us", method: str = "linear") -> DataFrame:
     """Mean, p50/p99/p99.9 and maximum."""
-    base = lat.groupBy(*K).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
-    pct = percentiles(lat, K, value, {"p50": 0.5, "p99": 0.99, "p99_9": 0.999}, method)
-    return base.join(pct, list(K), "left")
+    return percentiles(lat, K, value, {"p50": 0.5, "p99": 0.99, "p99_9": 0.999}, method, stats=True)
 
 
 def nearest_rank(lat: DataFrame, K: Sequence[str], value: str) -> DataFrame:
@@ -67,20 +68,46 @@ def host_scalars(ev: DataFrame, K: Sequence[str] = K, window_us: int = 1_000_000
     """Wide metric record per trace.  ``percent`` turns the utilisation fractions into percent for the rule set."""
     K = list(K)
     scale = 100.0 if percent else 1.0
-    util = TL.cpu_util(ev, K)
-    cpu = util.groupBy(*K).agg((F.avg("util") * scale).alias("cpu_util_avg"), (F.max("util") * scale).alias("cpu_util_max"))
-    cpu = cpu.withColumn("cpu_idle_avg", F.greatest(F.lit(scale) - F.col("cpu_util_avg"), F.lit(0.0)))
-    bal = balance_score(util, K, "util").select(*K, F.col("balance_score").alias("cpu_balance_score"))
+    launch = F.col("cat") == "cuda_npu_api"
+    switch = (F.col("cat") == "cpu_sched") & F.lower("name").contains("switch")
+    launch_ts = F.when(launch, F.col("ts"))
+    n = F.count(launch_ts)
+    base = ev.groupBy(*K).agg(      # everything that needs no order, in one pass
+        (F.max(F.greatest(F.col("ts"), F.col("ts") + F.col("dur"))) - F.min("ts")).alias("duration_us"),
+        (F.max("cpu") + 1).alias("cpu_cores"), F.count_if(switch).alias("_sw"), n.alias("launch_count"),
+        F.when(n < 2, 0.0).otherwise(F.try_divide((F.max(launch_ts) - F.min(launch_ts)).cast("double"), n - 1)).alias("launch_avg_gap_us"),
+        *_copy_sums())
+    base = base.select(*K, "duration_us", "cpu_cores", X.safe_div(F.col("_sw") * 1e6, "duration_us").alias("ctx_switch_rate"),
+                       "launch_count", "launch_avg_gap_us", *_bandwidths(), "memcpy_total_us")
+    cpu = TL.cpu_util(ev, K).groupBy(*K).agg(
+        F.count("util").alias("_n"), F.avg("util").alias("_m"), F.max("util").alias("_x"), F.stddev_samp("util").alias("_sd"))
+    cpu = cpu.select(
+        *K, (F.col("_m") * scale).alias("cpu_util_avg"), (F.col("_x") * scale).alias("cpu_util_max"),
+        F.greatest((1 - F.col("_m")) * scale, F.lit(0.0)).alias("cpu_idle_avg"),
+        F.when((F.col("_n") < 2) | (F.col("_m") <= 0), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(
+            F.lit(1.0), 1 - F.try_divide(F.col("_sd"), F.col("_m"))))).alias("cpu_balance_score"))
     rq = TL.timeline(ev, "runqueue", K, window_us).groupBy(*K).agg(
         F.avg("value").alias("runqueue_avg"), F.max("value").alias("runqueue_max"))
-    lat = latency_stats(TL.sched_latency(ev, K), K).select(
-        *K, F.col("mean").alias("sched_latency_avg_us"), F.col("p99").alias("sched_latency_p99_us"),
+    lat = percentiles(TL.sched_latency(ev, K), K, "latency_us", {"sched_latency_p99_us": 0.99}, stats=True).select(
+        *K, F.col("mean").alias("sched_latency_avg_us"), "sched_latency_p99_us",
         F.col("max").cast("double").alias("sched_latency_max_us"))
-    rate = ctx_switch_rate(ev, K).select(*K, "ctx_switch_rate")
-    parts = [trace_metadata(ev, K).select(*K, "duration_us", "cpu_cores"), cpu, bal, rq, lat, rate,
-             copy_bandwidth(ev, K), launch_stats(ev, K)]
-    wide = reduce(lambda a, b: a.join(b, K, "left"), parts)
-    return wide.fillna(0.0).fillna(0)
+    out = base
+    for part in (cpu, rq, lat):
+        out = out.join(part, K, "left")
+    # a trace without cpu slices has no spread: balance 1, idle all; other absent metrics are 0
+    return out.fillna({"cpu_balance_score": 1.0, "cpu_idle_avg": scale}).fillna(0.0).fillna(0)
+
+
+def series_spikes(ev: DataFrame, K: Sequence[str] = K, window_us: int = 1_000_000, cpus: int = 1) -> DataFrame:
+    """(metric, spike) for the series the temporal rule patterns look at."""
+    parts = {"runqueue": TL.timeline(ev, "runqueue", K, window_us), "ctx_switch": TL.timeline(ev, "ctx_rate", K, window_us),
+             "cpu_util": TL.timeline(ev, "cpu_util", K, window_us, cpus),
+             "sched_latency": TL.sched_latency(ev, K).select(*K, F.col("switch_ts").alias("ts"), F.col("latency_us").cast("double").alias("value"))}
+    out = None
+    for name, df in parts.items():
+        df = df.select(*K, "ts", "value", F.lit(name).alias("metric"))
+        out = df if out is None else out.unionByName(df)
+    return TL.spikes(out, [*K, "metric"]).select(*K, "metric", "spike")
 
 
 def to_long(wide: DataFrame, K: Sequence[str] = K) -> DataFrame:
@@ -217,3 +244,27 @@ def loader_share(ev: DataFrame, K: Sequence[str] = K, start: str = "dataloader_s
     return span.join(busy, list(K), "left").select(
         *K, F.coalesce("loader_us", F.lit(0)).alias("loader_us"),
         (X.safe_div(F.coalesce("loader_us", F.lit(0)), "_span") * 100).alias("dataloader_time_pct"))
+
+
+def metric_record(ev: DataFrame, K: Sequence[str] = K, window_us: int = 100_000, cpu_count: int = 1) -> DataFrame:
+    """Wide line-trace record per trace, the input of the boolean rules.  Absent parts stay null, so their rules are false."""
+    K = list(K)
+    windows = window_rollup(TL.window_summary(ev, K, window_us), K, window_us, cpu_count)
+    cores = core_share(TL.cpu_distribution(ev, K, window_us), K, cpu_count).groupBy(*K).agg(
+        F.max("core_util").alias("cpu_util_max"),
+        F.when(F.count("core_util") > 1, F.try_divide(F.stddev_samp("core_util"), F.avg("core_util"))).otherwise(0.0).alias("cpu_balance"))
+    lat = latency_stats(TL.sched_latency(ev, K), K, method="nearest").select(
+        *K, (F.col("mean") / 1000).alias("sched_latency_avg_ms"), (F.col("p99") / 1000).alias("sched_latency_p99_ms"),
+        (F.col("p99_9") / 1000).alias("sched_latency_p99_9_ms"), (F.col("max") / 1000).alias("sched_latency_max_ms"))
+    span = ev.groupBy(*K).agg(((F.max("ts") - F.min("ts")) / F.lit(1e6)).alias("duration_s"))
+    moves = TL.cpu_migration(ev, K).join(span, K).select(*K, X.safe_div("migrations", "duration_s").alias("cpu_migration_rate"))
+    parts = [windows, cores, lat, numa_ratio(ev, K), io_pending(ev, K), moves]
+    if "fault_type" in ev.columns:
+        parts.append(fault_counts(ev, K))
+    parts += [loader_share(ev, K)]
+    if "device_id" in ev.columns:
+        parts.append(npu_idle(ev, K))
+    out = span.withColumn("cpu_count", F.lit(cpu_count))
+    for part in parts:
+        out = out.join(part, K, "left")
+    return out

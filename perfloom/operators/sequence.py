@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLIT_ROWS = 4_000_000          # rows one task may sort for one key
-SMALL_INPUT_BYTES = 2 << 30     # below this even a key holding everything fits one task
+SMALL_INPUT_BYTES = 256 << 20   # below this even a key holding everything fits one task
 MAX_CHUNKS = 4096
 SAMPLE_PER_KEY = 65_536
 FANOUT = 64
@@ -26,15 +26,14 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def maybe_broadcast(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
-    """Hint a broadcast only while the estimated size stays under the limit; otherwise leave the choice to AQE."""
-    return F.broadcast(df) if plan_bytes(df) <= limit_bytes else df
-
-
 def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
+def _equal(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
+    return reduce(lambda a, b: a & b, [left[a] == right[b] for a, b in pairs])
+
+
 def _pick_chunk(bounds: Column, point: Column) -> Column:
     """Number of bounds <= point, by a two-level search."""
     coarse = F.filter(bounds, lambda b, i: i % FANOUT == FANOUT - 1)
@@ -44,15 +43,19 @@ def _pick_chunk(bounds: Column, point: Column) -> Column:
 
 
 class KeyedSequence:
-    """Rows of ``df`` grouped by ``keys`` in ascending ``order`` (names or columns; negate numbers for descending)."""
+    """Rows of ``df`` grouped by ``keys`` in ascending ``order`` (names or columns; negate numbers for descending).
+
+    ``split_rows`` is decided from the size estimate of the input unless given; 0 turns splitting off.  Rows with a null
+    key are never split (the event model uses -1, not null), so all joins here are plain equi-joins.
+    """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                  split_rows: int | None = None):
         self.keys = list(keys)
         self.columns = df.columns
-        cols = [F.col(o) if isinstance(o, str) else o for o in order]
-        self._order = [f"_o{i}" for i in range(len(cols))]
-        df = df.withColumns(dict(zip(self._order, cols)))
+        self._order = [o if isinstance(o, str) else f"_o{i}" for i, o in enumerate(order)]
+        made = {f"_o{i}": o for i, o in enumerate(order) if not isinstance(o, str)}
+        df = df.withColumns(made) if made else df
         if split_rows is None:
             split_rows = SPLIT_ROWS if plan_bytes(df) > SMALL_INPUT_BYTES else 0
         self.split = split_rows > 0
@@ -63,13 +66,13 @@ class KeyedSequence:
         point = F.struct(*self._order)
         counts = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_rows"))
         hot = F.broadcast(
-            counts.where(F.col("_rows") > split_rows).select(*[F.col(k).alias(f"_h_{k}") for k in self.keys], "_rows")
+            counts.where(F.col("_rows") > split_rows).dropna(subset=self.keys).select(*[F.col(k).alias(f"_h_{k}") for k in self.keys], "_rows")
         )
         on = [(k, f"_h_{k}") for k in self.keys]
         every = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_rows") / SAMPLE_PER_KEY))
         sampled = (
             df.select(*self.keys, *self._order)
-            .join(hot, same_keys(df, hot, on))
+            .join(hot, _equal(df, hot, on))
             .where(F.pmod(F.xxhash64(*self._order), every) == 0)
         )
         n_chunks = F.least(F.lit(MAX_CHUNKS).cast("double"), F.ceil(F.max("_rows") / split_rows)).cast("int")
@@ -88,7 +91,7 @@ class KeyedSequence:
         )
         bounds = F.broadcast(bounds)
         return (
-            df.join(bounds, same_keys(df, bounds, on), "left")
+            df.join(bounds, _equal(df, bounds, on), "left")
             .withColumn("_hot", F.col("_bounds").isNotNull())
             .withColumn("_chunk", F.when(F.col("_hot"), _pick_chunk(F.col("_bounds"), point)).otherwise(F.lit(0)))
             .drop("_bounds", *[f"_h_{k}" for k in self.keys])
@@ -105,23 +108,22 @@ class KeyedSequence:
             shifted(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"),
         )
         on = [(k, f"_p_{k}") for k in keys] + [("_chunk", "_p_chunk")]
-        self.df = self.df.join(parts, same_keys(self.df, parts, on), "left").drop(*[b for _, b in on])
+        self.df = self.df.join(parts, _equal(self.df, parts, on), "left").drop(*[b for _, b in on])
 
     def shift(self, values: dict[str, str | Column], by: int = -1, within: Sequence[str] = ()) -> "KeyedSequence":
         """Columns of the previous (``by=-1``) or next (``by=1``) row; null at the end of a key."""
         keys = self.keys + list(within)
-        pack = F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(n) for n, v in values.items()])
-        self.df = self.df.withColumn("_v", pack)
-        w = self._window(keys)
-        self.df = self.df.withColumn("_near", F.lag("_v").over(w) if by < 0 else F.lead("_v").over(w))
-        if self.split:
-            edge = F.struct(*self._order)
-            if by < 0:
-                self._carry(keys, F.max_by("_v", edge), lambda cw: F.lag("_sum").over(cw))
-            else:
-                self._carry(keys, F.min_by("_v", edge), lambda cw: F.lead("_sum").over(cw))
-            self.df = self.df.withColumn("_near", F.coalesce("_near", "_carry")).drop("_carry")
-        self.df = self.df.withColumns({n: F.col("_near")[n] for n in values}).drop("_v", "_near")
+        near, w = (F.lag if by < 0 else F.lead), self._window(keys)
+        if not self.split:
+            self.df = self.df.withColumns({n: near(v).over(w) for n, v in values.items()})
+        else:
+            pack = F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(n) for n, v in values.items()])
+            self.df = self.df.withColumn("_v", pack)
+            self.df = self.df.withColumn("_near", near("_v").over(w))
+            pick = F.max_by if by < 0 else F.min_by
+            self._carry(keys, pick("_v", F.struct(*self._order)), lambda cw: near("_sum").over(cw))
+            self.df = self.df.withColumn("_near", F.coalesce("_near", "_carry"))
+            self.df = self.df.withColumns({n: F.col("_near")[n] for n in values}).drop("_v", "_near", "_carry")
         self.columns = self.columns + list(values)
         return self
 
@@ -129,11 +131,13 @@ class KeyedSequence:
         """Running ``sum``/``min``/``max``/``last`` (last non-null) from the start of the key to the current row."""
         keys = self.keys + list(within)
         value = F.col(value) if isinstance(value, str) else value
-        self.df = self.df.withColumn("_v", value)
         w = self._window(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         fold = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
-        self.df = self.df.withColumn(name, fold("_v").over(w))
-        if self.split:
+        if not self.split:
+            self.df = self.df.withColumn(name, fold(value).over(w))
+        else:
+            self.df = self.df.withColumn("_v", value)
+            self.df = self.df.withColumn(name, fold("_v").over(w))
             before = lambda cw: cw.rowsBetween(Window.unboundedPreceding, -1)
             if how == "last":
                 edge = F.when(F.col("_v").isNotNull(), F.struct(*self._order))
@@ -146,8 +150,25 @@ class KeyedSequence:
                         F.col(name) + F.coalesce("_carry", F.lit(0)))
                 else:
                     joined = (F.least if how == "min" else F.greatest)(name, "_carry")
-            self.df = self.df.withColumn(name, joined).drop("_carry")
-        self.df = self.df.drop("_v")
+            self.df = self.df.withColumn(name, joined).drop("_carry", "_v")
+        self.columns = self.columns + [name]
+        return self
+
+    def total(self, name: str, how: str, value: str | Column) -> "KeyedSequence":
+        """``sum``, ``max`` or ``count`` over the whole key on every row.  Hot keys are few, so their totals are broadcast."""
+        value = F.col(value) if isinstance(value, str) else value
+        fold = {"sum": F.sum, "max": F.max, "count": F.count}[how]
+        w = Window.partitionBy(*self.keys, *(["_chunk"] if self.split else []))
+        if not self.split:
+            self.df = self.df.withColumn(name, fold(value).over(w))
+        else:
+            self.df = self.df.withColumn("_v", value)
+            self.df = self.df.withColumn(name, fold("_v").over(w))
+            hot = self.df.where("_hot").groupBy(*self.keys).agg(fold("_v").alias("_all"))
+            hot = F.broadcast(hot.select(*[F.col(k).alias(f"_p_{k}") for k in self.keys], "_all"))
+            self.df = self.df.join(hot, _equal(self.df, hot, [(k, f"_p_{k}") for k in self.keys]), "left")
+            self.df = self.df.withColumn(name, F.when(F.col("_hot"), F.col("_all")).otherwise(F.col(name))).drop(
+                "_all", "_v", *[f"_p_{k}" for k in self.keys])
         self.columns = self.columns + [name]
         return self
 
@@ -175,22 +196,24 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], method: str = "linear",
-                split_rows: int | None = None) -> DataFrame:
+                split_rows: int | None = None, stats: bool = False) -> DataFrame:
     """Exact percentiles per key from a value histogram, so no group is ever gathered in one buffer.
 
     ``linear`` interpolates at p*(n-1).  ``nearest`` takes sorted[int(n*p)], and the maximum while n is not above
-    1/(1-p) (100 for p99, 1000 for p99.9); its p50 is sorted[n//2].
+    1/(1-p) (100 for p99, 1000 for p99.9); its p50 is sorted[n//2].  ``stats`` adds ``n``, ``mean`` and ``max`` from the
+    same histogram.
     """
     hist = value_counts(df, keys, value)
-    total = hist.groupBy(*keys).agg(F.sum("_freq").alias("_n"), F.max(value).alias("_max"))
-    ranked = KeyedSequence(hist, keys, [value], split_rows).running("_hi", "sum", "_freq").result()
-    total = total.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_n", "_max")
-    joined = ranked.join(total, same_keys(ranked, total, [(k, f"_t_{k}") for k in keys]))
+    ranked = (KeyedSequence(hist, keys, [value], split_rows).running("_hi", "sum", "_freq").total("_n", "sum", "_freq")
+              .total("_max", "max", value).result())
 
     def at(pos: Column) -> Column:      # value at 0-based position
         return F.max(F.when((F.col("_hi") - F.col("_freq") <= pos) & (pos < F.col("_hi")), F.col(value)))
 
     aggs = []
+    if stats:
+        mean = F.sum(F.col(value) * F.col("_freq")).cast("double") / F.sum("_freq")
+        aggs = [F.sum("_freq").alias("n"), mean.alias("mean"), F.max(value).alias("max")]
     for name, p in points.items():
         if method == "linear":
             pos = (F.col("_n") - 1).cast("double") * F.lit(p)
@@ -203,4 +226,4 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str
             if p > 0.5:
                 pick = F.when(F.max("_n") > round(1 / (1 - p)), pick).otherwise(F.max("_max"))
             aggs.append(pick.alias(name))
-    return joined.groupBy(*keys).agg(*aggs)
+    return ranked.groupBy(*keys).agg(*aggs)

@@ -66,15 +66,12 @@ def gap_stats(ev: DataFrame, gaps: DataFrame, K: Sequence[str] = K, significant_
 def pareto(df: DataFrame, K: Sequence[str], measure: str, threshold: float = 0.8, ties: Sequence[str | Column] = (),
            top_n: int | None = None, split_rows: int | None = None) -> DataFrame:
     """Largest rows per key until they cover ``threshold`` of the total, the crossing row included."""
-    total = df.groupBy(*K).agg(F.sum(measure).alias("_total")).select(
-        *[F.col(k).alias(f"_t_{k}") for k in K], "_total")
-    seq = KeyedSequence(df, K, [-F.col(measure), *ties], split_rows).running("cum", "sum", measure).rank("rank")
-    out = seq.result()
-    out = out.join(total, same_keys(out, total, [(k, f"_t_{k}") for k in K])).where(
-        (F.col("_total") > 0) & ((F.col("cum") - F.col(measure)) < F.col("_total") * F.lit(threshold)))
+    seq = KeyedSequence(df, K, [-F.col(measure), *ties], split_rows)
+    out = seq.running("cum", "sum", measure).rank("rank").total("_total", "sum", measure).result()
+    out = out.where((F.col("_total") > 0) & ((F.col("cum") - F.col(measure)) < F.col("_total") * F.lit(threshold)))
     if top_n:
         out = out.where(F.col("rank") <= top_n)
-    return out.drop("_total", *[f"_t_{k}" for k in K])
+    return out.drop("_total")
 
 
 GAP_EDGES = (("<1ms", 0, 1000), ("1-5ms", 1000, 5000), ("5-10ms", 5000, 10000), ("10-50ms", 10000, 50000),
@@ -99,11 +96,6 @@ def switches(ev: DataFrame) -> DataFrame:
     return ev.where((F.col("cat") == "cpu_sched") & F.lower("name").contains("switch"))
 
 
-def wakeups(ev: DataFrame) -> DataFrame:
-    return ev.where((F.col("cat") == "cpu_sched") & F.lower("name").contains("wakeup")
-                    & ~F.lower("name").contains("switch"))
-
-
 def cpu_slices(ev: DataFrame, K: Sequence[str] = K, split_rows: int | None = None) -> DataFrame:
     """Time before each switch belongs to the task switched out (pid 0 is idle)."""
     sw = switches(ev).where("cpu >= 0").select(*K, "cpu", "ts", "seq", "prev_pid")
@@ -142,9 +134,11 @@ def pair_last_start(marks: DataFrame, keys: Sequence[str], order: Sequence[str]
 def sched_latency(ev: DataFrame, K: Sequence[str] = K, pid: int | None = None,
                   split_rows: int | None = None) -> DataFrame:
     """Wakeup to next switch-in of the same pid."""
-    marks = wakeups(ev).select(*K, F.col("wake_pid").alias("pid"), "ts", "seq", F.lit(True).alias("is_start")).unionByName(
-        switches(ev).select(*K, F.col("next_pid").alias("pid"), "ts", "seq", F.lit(False).alias("is_start"))
-    ).where("pid >= 0")
+    name = F.lower("name")
+    is_switch = name.contains("switch")
+    marks = ev.where((F.col("cat") == "cpu_sched") & (is_switch | name.contains("wakeup"))).select(
+        *K, F.when(is_switch, F.col("next_pid")).otherwise(F.col("wake_pid")).alias("pid"), "ts", "seq",
+        (~is_switch).alias("is_start")).where("pid >= 0")
     if pid is not None:
         marks = marks.where(F.col("pid") == pid)
     return pair_last_start(marks, [*K, "pid"], split_rows=split_rows).select(
@@ -215,12 +209,9 @@ def hot_functions(ev: DataFrame, K: Sequence[str] = K, top_n: int = 20, categori
 def downsample(df: DataFrame, K: Sequence[str], order: Sequence[str], keep: int = 500,
                split_rows: int | None = None) -> DataFrame:
     """At most ``keep`` rows per key at an even step, as a report series."""
-    n = df.groupBy(*K).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(k).alias(f"_t_{k}") for k in K], "_n")
-    out = KeyedSequence(df, K, order, split_rows).rank("_r").result()
-    out = out.join(n, same_keys(out, n, [(k, f"_t_{k}") for k in K]))
+    out = KeyedSequence(df, K, order, split_rows).rank("_r").total("_n", "count", F.lit(1)).result()
     step = F.expr(f"IF(_n > {keep}, _n div {keep}, 1L)")
-    return out.where((F.col("_r") - 1) % step == 0).where((F.col("_r") - 1) / step < keep).drop(
-        "_r", "_n", *[f"_t_{k}" for k in K])
+    return out.where((F.col("_r") - 1) % step == 0).where((F.col("_r") - 1) / step < keep).drop("_r", "_n")
 
 
 def spikes(series: DataFrame, keys: Sequence[str]) -> DataFrame:

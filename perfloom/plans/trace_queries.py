@@ -316,6 +316,22 @@ def launch_stats(s, d):
     return tidy(ME.launch_stats(tv(s, d)), 3)
 
 
+@query("host_scalars", "tv", _UTIL + _LAT + f"""
+, v AS (SELECT trace_id, running_us / CAST(running_us + idle_us AS DOUBLE) AS util FROM u), cu AS (SELECT trace_id, avg(util) AS a, max(util) AS m, greatest(0, least(1, 1 - stddev_samp(util) / avg(util))) AS b FROM v GROUP BY 1),
+rq AS (SELECT trace_id, avg(n) AS a, max(n) AS m FROM (SELECT trace_id, ts // {HOUR} AS w, count(*) AS n FROM sw WHERE prev_state = 'R' GROUP BY 1, 2) GROUP BY 1),
+ls AS (SELECT trace_id, avg(latency_us) AS a, quantile_cont(latency_us, 0.99) AS p, max(latency_us) AS m FROM la GROUP BY 1),
+c AS (SELECT trace_id, dur, bytes, CASE WHEN direction IN ('H2D', '1') THEN 'H2D' WHEN direction = 'dtoh' OR op = 'memcpy_D2H' THEN 'D2H' END AS dir FROM tv WHERE cat = 'npu_memcpy'),
+cb AS (SELECT trace_id, sum(bytes) FILTER (dir = 'H2D') / CAST(sum(dur) FILTER (dir = 'H2D') AS DOUBLE) AS h, sum(bytes) FILTER (dir = 'D2H') / CAST(sum(dur) FILTER (dir = 'D2H') AS DOUBLE) AS d, CAST(sum(dur) AS BIGINT) AS t FROM c GROUP BY 1),
+lc AS (SELECT trace_id, count(*) AS n, avg(g) AS g FROM (SELECT trace_id, ts - lag(ts) OVER (PARTITION BY trace_id ORDER BY ts) AS g FROM tv WHERE cat = 'cuda_npu_api') GROUP BY 1),
+md AS (SELECT trace_id, max(ts + dur) - min(ts) AS duration_us, max(cpu) + 1 AS cpu_cores, count(*) FILTER (name = 'sched_switch') AS s FROM tv GROUP BY 1)
+SELECT trace_id, duration_us, cpu_cores, round(s * 1e6 / duration_us, 4) AS ctx_switch_rate, lc.n AS launch_count, round(lc.g, 4) AS launch_avg_gap_us, round(h, 4) AS h2d_bandwidth_mbs, round(d, 4) AS d2h_bandwidth_mbs, t AS memcpy_total_us,
+ round(cu.a * 100, 4) AS cpu_util_avg, round(cu.m * 100, 4) AS cpu_util_max, round((1 - cu.a) * 100, 4) AS cpu_idle_avg, round(cu.b, 4) AS cpu_balance_score, round(rq.a, 4) AS runqueue_avg, CAST(rq.m AS DOUBLE) AS runqueue_max,
+ round(ls.a, 4) AS sched_latency_avg_us, round(ls.p, 4) AS sched_latency_p99_us, CAST(ls.m AS DOUBLE) AS sched_latency_max_us
+FROM md JOIN cu USING (trace_id) JOIN rq USING (trace_id) JOIN ls USING (trace_id) JOIN cb USING (trace_id) JOIN lc USING (trace_id)""")
+def host_scalars(s, d):
+    return tidy(ME.host_scalars(tv(s, d), window_us=HOUR, percent=True), 4)
+
+
 @query("cpu_migration", "tv", _SW + """, x AS (SELECT trace_id, pid, cpu, lag(cpu) OVER (PARTITION BY trace_id, next_pid ORDER BY ts, seq) AS lc FROM (SELECT * REPLACE ((cpu + seq) % 4 AS cpu) FROM sw))
 SELECT trace_id, count(*) FILTER (lc IS NOT NULL AND lc <> cpu) AS migrations FROM x GROUP BY 1""")
 def cpu_migration(s, d):
