@@ -151,9 +151,9 @@ def comm_matrix(bw: DataFrame, K: Sequence[str] = CK) -> DataFrame:
         F.avg("bandwidth").alias("avg_bandwidth"), F.avg("size").alias("avg_size"))
 
 
-def comm_matrix_top(bw: DataFrame, top_n: int = 50) -> DataFrame:
+def comm_matrix_top(bw: DataFrame, top_n: int = 50, ties: Sequence[str] = ()) -> DataFrame:
     """Raw link records with the highest bandwidth."""
-    return bw.orderBy(F.desc("bandwidth"), "src", "dst", "transport", "op_name").limit(top_n)
+    return bw.orderBy(F.desc("bandwidth"), "src", "dst", "transport", "op_name", *ties).limit(top_n)
 
 
 def transport_locality(bw: DataFrame, K: Sequence[str] = CK) -> DataFrame:

@@ -57,10 +57,11 @@ def locate_from_args(ev: DataFrame) -> DataFrame:
 
 
 def typed_args(ev: DataFrame) -> DataFrame:
-    """Scheduler and copy fields of ``args`` as columns, parsed once; kept as they are when already present."""
+    """Known fields of ``args`` as columns, parsed once; columns already present, and events without ``args``, stay."""
     wanted = {"prev_pid": "prev_pid", "next_pid": "next_pid", "prev_state": "prev_state", "wake_pid": "pid",
-              "bytes": None, "direction": None, "op": "op"}
-    if all(c in ev.columns for c in wanted):
+              "bytes": None, "direction": None, "op": "op", "fault_type": "fault_type", "dev": "dev", "rwbs": "rwbs",
+              "sector": "sector", "sectors": "sectors"}
+    if "args" not in ev.columns or all(c in ev.columns for c in wanted):
         return ev
     a = ev.withColumn("_a", F.from_json("args", ARGS_FIELDS))
     fields = {n: F.col(f"_a.{f}") for n, f in wanted.items() if f}

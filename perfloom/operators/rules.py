@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from perfloom.functions import exprs as X
 from perfloom.operators.events import K
-from perfloom.operators.sequence import top_k
 
 RESOURCES = Path(__file__).resolve().parent.parent / "resources"
 ATTRIBUTIONS = ("CPU_SCHED", "DATA_LOADER", "MEMCPY", "LAUNCH_GAP", "IO_WAIT", "RUNTIME_BLOCK", "OTHER")
@@ -77,6 +76,24 @@ def _has(df_columns: Sequence[str], name: str, kind: str = "double") -> Column:
     return F.col(name).cast(kind) if name in df_columns else F.lit(None).cast(kind)
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_col(columns: Sequence[str], name: str, kind: str = "DOUBLE") -> str:
+    return f"CAST(`{name}` AS {kind})" if name in columns else f"CAST(NULL AS {kind})"
+
+
+def _inline(rows: Sequence[str]) -> Column:
+    """One generator over all rules.  The rows are SQL text, so a rule set reaches the optimizer in one parse."""
+    return F.expr(f"inline(array({', '.join(rows)}))")
+
+
+def _head(rule: dict) -> str:
+    return (f"{_text(rule['rule_id'])} AS rule_id, {_text(rule['category'])} AS category, {_text(rule['severity'])} AS severity, "
+            f"{_text(rule['diagnosis'])} AS diagnosis")
+
+
 def weighted_rules(features: DataFrame, rules: Sequence[dict] | None = None, K: Sequence[str] = K,
                    default_threshold: float = 0.6, strict: bool = False) -> DataFrame:
     """Weighted evidence per (trace, rule): hit weight over known weight.
@@ -86,98 +103,79 @@ def weighted_rules(features: DataFrame, rules: Sequence[dict] | None = None, K:
     """
     rules = load("rules_weighted") if rules is None else rules
     cols = features.columns
-    ops = {"gt": lambda a, b: a > b, "lt": lambda a, b: a < b, "ge": lambda a, b: a >= b, "le": lambda a, b: a <= b,
-           "eq": lambda a, b: F.abs(a - b) < 1e-9}
-    attr = {a: F.coalesce(_has(cols, f"attr_{a}"), F.lit(0.0)) for a in ATTRIBUTIONS}
-    any_attr = reduce(lambda a, b: a | b, [_has(cols, f"attr_{a}").isNotNull() for a in ATTRIBUTIONS])
-
-    def scalar(key: str) -> Column:
-        if key == "attribution_sum":
-            return F.when(any_attr, reduce(lambda a, b: a + b, attr.values()))
-        return _has(cols, key)
-
-    def milli(w: float) -> int:
-        return round(w * 1000)
+    ops = {"gt": "{} > {}", "lt": "{} < {}", "ge": "{} >= {}", "le": "{} <= {}", "eq": "abs({} - {}) < 1e-9D"}
+    attr = {a: f"coalesce({_sql_col(cols, 'attr_' + a)}, 0D)" for a in ATTRIBUTIONS}
+    seen = " OR ".join(f"{_sql_col(cols, 'attr_' + a)} IS NOT NULL" for a in ATTRIBUTIONS)
+    special = {"attribution_sum": f"CASE WHEN {seen} THEN {' + '.join(attr.values())} END"}
 
     rows = []
     for r in rules:
         total, hit = [], []
+
+        def count(weight: float, known: str, fired: str) -> None:
+            w = round(weight * 1000)
+            if w > 0:
+                total.append(f"IF({known}, {w}, 0)")
+                hit.append(f"IF(coalesce({fired}, false), {w}, 0)")
+
         for key, op, value, w in r.get("scalars", []):
-            if w <= 0 or op not in ops:
-                continue
-            v = scalar(key)
-            limit = F.coalesce(_has(cols, "cpu_cores"), F.lit(0.0)) if value == "auto" else F.lit(float(value))
-            total.append(F.when(v.isNull(), 0).otherwise(milli(w)))
-            hit.append(F.when(ops[op](v, limit), milli(w)).otherwise(0))
+            if op in ops:
+                v = special.get(key) or _sql_col(cols, key)
+                limit = f"coalesce({_sql_col(cols, 'cpu_cores')}, 0D)" if value == "auto" else f"{float(value)!r}D"
+                count(w, f"({v}) IS NOT NULL", ops[op].format(f"({v})", limit))
         for pattern, w in r.get("temporal", []):
-            total.append(F.lit(milli(w)))
-            fired = _has(cols, f"spike_{PATTERN_SERIES.get(pattern, pattern)}", "boolean")
-            hit.append(F.lit(0) if strict else F.when(fired, milli(w)).otherwise(0))
+            spike = _sql_col(cols, f"spike_{PATTERN_SERIES.get(pattern, pattern)}", "BOOLEAN")
+            count(w, "true", "false" if strict else spike)
         for name, min_ratio, w in r.get("correlation", []):
-            total.append(F.lit(milli(w)))
-            hit.append(F.when(attr.get(name, F.lit(0.0)) >= min_ratio, milli(w)).otherwise(0))
-        t = reduce(lambda a, b: a + b, total, F.lit(0))
-        h = reduce(lambda a, b: a + b, hit, F.lit(0))
-        limit = milli(r.get("threshold", default_threshold))
-        rows.append(F.struct(
-            F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["category"]).alias("category"),
-            F.lit(r["severity"]).alias("severity"),
-            F.when(t > 0, F.try_divide(h.cast("double"), t.cast("double"))).otherwise(0.0).alias("confidence"),
-            ((h * 1000 >= t * limit) & ((t > 0) | F.lit(limit <= 0))).alias("matched"),
-            F.lit(r["diagnosis"]).alias("diagnosis")))
-    return features.select(*K, F.inline(F.array(*rows)))
+            count(w, "true", f"{attr.get(name, '0D')} >= {float(min_ratio)!r}D")
+        t, h = (f"({' + '.join(x) or '0'})" for x in (total, hit))
+        limit = round(r.get("threshold", default_threshold) * 1000)
+        rows.append(f"struct({_head(r)}, CASE WHEN {t} > 0 THEN try_divide(CAST({h} AS DOUBLE), CAST({t} AS DOUBLE)) ELSE 0D END "
+                    f"AS confidence, {h} * 1000 >= {t} * {limit} AND ({t} > 0 OR {limit} <= 0) AS matched)")
+    return features.select(*K, _inline(rows)).select(
+        *K, "rule_id", "category", "severity", "confidence", "matched", "diagnosis")
 
 
 # ---------------------------------------------------------------- boolean trees
 
-def _tree(cond, leaf, both, any_of, negate):
+def _truth(cols: Sequence[str], cond, scale: dict[str, float]) -> str:
+    """SQL text of a condition tree; anything unknown is false."""
     if isinstance(cond, dict):
-        if "and" in cond:
-            return both([_tree(c, leaf, both, any_of, negate) for c in cond["and"]])
-        if "or" in cond:
-            return any_of([_tree(c, leaf, both, any_of, negate) for c in cond["or"]])
         if "not" in cond:
-            return negate(_tree(cond["not"], leaf, both, any_of, negate))
-    return leaf(*cond)
-
-
-def _operand(cols: Sequence[str], value) -> Column:
-    return _has(cols, value["ref"]) if isinstance(value, dict) else F.lit(value)
-
-
-def _truth(cols: Sequence[str], cond, scale: dict[str, float]) -> Column:
-    def leaf(metric, op, value):
-        have = _has(cols, metric)
-        if op in ("in", "not_in"):
-            test = have.isin(*value)
-            return F.coalesce(~test if op == "not_in" else test, F.lit(False))
-        limit = _operand(cols, value)
-        if metric in scale:
-            limit = limit * scale[metric]
-        test = {">": have > limit, ">=": have >= limit, "<": have < limit, "<=": have <= limit,
-                "==": have == limit, "!=": have != limit}[op]
-        return F.coalesce(test, F.lit(False))
-
-    return _tree(cond, leaf, lambda c: reduce(lambda a, b: a & b, c), lambda c: reduce(lambda a, b: a | b, c),
-                 lambda c: ~c)
-
-
-def _margin(cols: Sequence[str], cond) -> Column:
-    """Relative distance to the closest simple threshold; null where none can be measured."""
-    none = F.lit(None).cast("double")
-
-    def leaf(metric, op, value):
-        have, limit = _has(cols, metric), _operand(cols, value).cast("double")
-        if op in (">", ">="):
-            return F.greatest(F.try_divide(limit - have, limit), F.when(have.isNotNull() & limit.isNotNull() & (limit != 0), 0.0))
-        if op in ("<", "<="):
-            return F.greatest(F.try_divide(have - limit, limit), F.when(have.isNotNull() & limit.isNotNull() & (limit != 0), 0.0))
-        return none
+            return f"NOT {_truth(cols, cond['not'], scale)}"
+        word = "and" if "and" in cond else "or"
+        return "(" + f" {word} ".join(_truth(cols, c, scale) for c in cond[word]) + ")"
+    metric, op, value = cond
+    have = _sql_col(cols, metric)
+    if op in ("in", "not_in"):
+        return f"coalesce({have} {'NOT IN' if op == 'not_in' else 'IN'} ({', '.join(repr(v) for v in value)}), false)"
+    if op not in (">", ">=", "<", "<=", "==", "!="):
+        return "false"
+    limit = _operand(cols, value)
+    if metric in scale:
+        limit = f"{limit} * {scale[metric]!r}D"
+    return f"coalesce({have} {op} {limit}, false)"
+
+
+def _operand(cols: Sequence[str], value) -> str:
+    return _sql_col(cols, value["ref"]) if isinstance(value, dict) else f"{float(value)!r}D"
+
+
+def _margins(cols: Sequence[str], cond) -> list[str]:
+    """Relative distances to the simple thresholds of a tree; ``not`` branches have none."""
+    if isinstance(cond, dict):
+        return [m for k in ("and", "or") for c in cond.get(k, []) for m in _margins(cols, c)]
+    metric, op, value = cond
+    have, limit = _sql_col(cols, metric), _operand(cols, value)
+    if op not in (">", ">=", "<", "<="):
+        return []
+    gap = f"{limit} - {have}" if op in (">", ">=") else f"{have} - {limit}"
+    return [f"CASE WHEN {have} IS NOT NULL AND {limit} <> 0 THEN greatest(try_divide({gap}, {limit}), 0D) END"]
 
-    def closest(parts):
-        return parts[0] if len(parts) == 1 else F.least(*parts)
 
-    return _tree(cond, leaf, closest, closest, lambda c: none)
+def _margin(cols: Sequence[str], cond) -> str:
+    parts = _margins(cols, cond)
+    return f"least({', '.join(parts)})" if len(parts) > 1 else (parts[0] if parts else "CAST(NULL AS DOUBLE)")
 
 
 def _applies(rule: dict, workload: str) -> bool:
@@ -187,11 +185,19 @@ def _applies(rule: dict, workload: str) -> bool:
     return match == "all" or workload == "unknown" or workload == match
 
 
+def _for_workload(rule: dict, adjust: bool):
+    """Condition and threshold factors of a rule; ``adjust_to`` replaces a simple threshold."""
+    cond, scale = rule["condition"], rule.get("adjust", {}) if adjust else {}
+    if adjust and isinstance(cond, list) and cond[0] in rule.get("adjust_to", {}):
+        cond = [cond[0], cond[1], rule["adjust_to"][cond[0]]]
+    return cond, scale
+
+
 def boolean_rules(metrics: DataFrame, rules: Sequence[dict] | None = None, K: Sequence[str] = K,
                   workload: str = "unknown", adjust: bool = False) -> DataFrame:
     """Per (trace, rule): whether its tree holds, its near-miss margin and the evidence as JSON.
 
-    A missing metric makes a simple condition false.  ``adjust`` scales thresholds by the rule's workload factors.
+    A missing metric makes a simple condition false.  ``adjust`` applies the rules' workload factors to their thresholds.
     """
     rules = load("rules_boolean") if rules is None else rules
     cols = metrics.columns
@@ -199,15 +205,13 @@ def boolean_rules(metrics: DataFrame, rules: Sequence[dict] | None = None, K: Se
     for r in rules:
         if not _applies(r, workload):
             continue
-        names = [n for n in [*r.get("evidence", []), "cpu_count"] if n in cols]
-        shown = F.to_json(F.struct(*[F.col(n).alias(n) for n in dict.fromkeys(names)])) if names else F.lit("{}")
-        matched = _truth(cols, r["condition"], r.get("adjust", {}) if adjust else {})
-        rows.append(F.struct(
-            F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["category"]).alias("category"),
-            F.lit(r["severity"]).alias("severity"), matched.alias("matched"),
-            _margin(cols, r["condition"]).alias("margin"), shown.alias("evidence_json"),
-            F.lit(r["diagnosis"]).alias("diagnosis")))
-    return metrics.select(*K, F.inline(F.array(*rows)))
+        names = [n for n in dict.fromkeys([*r.get("evidence", []), "cpu_count"]) if n in cols]
+        shown = f"to_json(struct({', '.join(f'`{n}`' for n in names)}))" if names else "'{}'"
+        cond, scale = _for_workload(r, adjust)
+        rows.append(f"struct({_head(r)}, {_truth(cols, cond, scale)} AS matched, CAST({_margin(cols, cond)} AS DOUBLE) AS margin, "
+                    f"{shown} AS evidence_json)")
+    return metrics.select(*K, _inline(rows)).select(
+        *K, "rule_id", "category", "severity", "matched", "margin", "evidence_json", "diagnosis")
 
 
 def near_misses(evaluated: DataFrame, within: float = 0.1) -> DataFrame:
@@ -218,9 +222,9 @@ def rule_evidence(metrics: DataFrame, rules: Sequence[dict] | None = None, K: Se
     """(rule_id, metric, value) for the non-null metrics each rule names."""
     rules = load("rules_boolean") if rules is None else rules
     cols = metrics.columns
-    rows = [F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(n).alias("metric"), _has(cols, n).alias("value"))
+    rows = [f"struct({_text(r['rule_id'])} AS rule_id, {_text(n)} AS metric, {_sql_col(cols, n)} AS value)"
             for r in rules for n in dict.fromkeys([*r.get("evidence", []), "cpu_count"]) if n in cols]
-    return metrics.select(*K, F.inline(F.array(*rows))).where("value is not null")
+    return metrics.select(*K, _inline(rows)).where("value is not null")
 
 
 def causal_patterns(metrics: DataFrame, K: Sequence[str] = K) -> DataFrame:
@@ -326,20 +330,19 @@ def case_knn(features: DataFrame, cases: Sequence[dict] | None = None, K: Sequen
     """
     cases = load("cases") if cases is None else cases
     cols = features.columns
-    zero = F.lit(0.0)
     rows = []
     for i, c in enumerate(cases):
-        d = F.lit(0.0)
+        terms = []
         for m, w in CASE_WEIGHTS.items():
             # a correlation score kept outside the scalars counts as a missing scalar here
-            have = zero if m == "correlation_score" else F.coalesce(_has(cols, m), zero)
+            have = "0D" if m == "correlation_score" else f"coalesce({_sql_col(cols, m)}, 0D)"
             want = float(c["features"].get(m, 0.0))
-            d = d + w * F.abs(have - want) / F.greatest(F.abs(have), F.lit(max(abs(want), 1.0)))
+            terms.append(f"{w}D * abs({have} - {want}D) / greatest(abs({have}), {max(abs(want), 1.0)}D)")
         for a in ATTRIBUTIONS:
-            d = d + F.abs(F.coalesce(_has(cols, f"attr_{a}"), zero) - float(c["attribution"].get(a, 0.0)))
-        d = d + F.abs(F.coalesce(_has(cols, "correlation_score"), zero) - float(c["features"].get("correlation_score", 0.0)))
-        rows.append(F.struct(d.alias("distance"), F.lit(i).alias("_i"), F.lit(c["case_id"]).alias("case_id")))
-    ranked = F.slice(F.array_sort(F.array(*rows)), 1, top_k_cases)
+            terms.append(f"abs(coalesce({_sql_col(cols, 'attr_' + a)}, 0D) - {float(c['attribution'].get(a, 0.0))}D)")
+        terms.append(f"abs(coalesce({_sql_col(cols, 'correlation_score')}, 0D) - {float(c['features'].get('correlation_score', 0.0))}D)")
+        rows.append(f"struct({' + '.join(terms)} AS distance, {i} AS _i, {_text(c['case_id'])} AS case_id)")
+    ranked = F.expr(f"slice(array_sort(array({', '.join(rows)})), 1, {int(top_k_cases)})")
     out = features.select(*K, F.posexplode(ranked).alias("_p", "_c"))
     return out.select(*K, F.col("_c.case_id").alias("case_id"), F.col("_c.distance").alias("distance"),
                       (1 / (1 + F.col("_c.distance"))).alias("similarity"), (F.col("_p") + 1).cast("long").alias("rank"))

@@ -156,6 +156,12 @@ def comm_matrix(s, d):
     return tidy(CL.comm_matrix(cm(s, d)), 4)
 
 
+@query("comm_matrix_top", "cm", """
+SELECT * FROM (SELECT cluster_id, src, dst, transport, op_name, bandwidth, size FROM cm ORDER BY bandwidth DESC, src, dst, transport, op_name, cluster_id, size LIMIT 50)""")
+def comm_matrix_top(s, d):
+    return CL.comm_matrix_top(cm(s, d), ties=["cluster_id", "size"]).select("cluster_id", "src", "dst", "transport", "op_name", "bandwidth", "size")
+
+
 @query("transport_locality", "cm", """
 SELECT cluster_id, CASE WHEN transport = 'RDMA' THEN 'inter_node' ELSE 'intra_node' END AS locality, round(avg(bandwidth), 4) AS avg_bandwidth, round(avg(time), 4) AS avg_time,
  arg_max(op_name, (time, op_name)) AS slowest_op FROM cm GROUP BY 1, 2""")
@@ -647,6 +653,23 @@ def _domain_sql() -> str:
 _PATH = """CASE page_id % 7 WHEN 0 THEN '/OSDump/systemcom.tar.gz' WHEN 1 THEN '/x/CpuMem/npu_info' WHEN 2 THEN '/networkinfo/ifconfig_info' WHEN 3 THEN '/y/cooling_app/fan_info.txt' WHEN 4 THEN '/BIOS/currentvalue.json' WHEN 5 THEN '/BIOS/currentvalue.json.md5' ELSE '/other' END"""
 
 
+@query("component_consistency", "", """
+WITH p AS (SELECT 'd' || CAST(c_nationkey AS STRING) AS dump_id, 'RC' || CAST(max(c_custkey) % 2 AS STRING) AS a, 'RC' || CAST(min(c_custkey) % 2 AS STRING) AS b FROM customer GROUP BY c_nationkey)
+SELECT dump_id, a AS left_series, b AS right_series, a = b AS consistent FROM p""")
+def component_consistency(s, d):
+    c = table(s, d, "customer").groupBy("c_nationkey").agg(F.max("c_custkey").alias("hi"), F.min("c_custkey").alias("lo"))
+    rows = c.selectExpr("'d' || CAST(c_nationkey AS STRING) AS dump_id", """stack(2, 'npu.toolkit.version', '8.2.0 (RC' || CAST(hi % 2 AS STRING) || ')',
+        'npu.kernel.version', 'RC' || CAST(lo % 2 AS STRING)) AS (path, value)""")
+    return CF.component_consistency(rows, "npu.toolkit.version", "npu.kernel.version")
+
+
+@query("sub_metrics", "", """
+SELECT p_partkey, p_name AS "index" FROM part WHERE p_size % 3 = 1""")
+def sub_metrics(s, d):
+    p = table(s, d, "part").select("p_partkey", F.concat(F.repeat(F.lit("\t"), F.col("p_size") % 3), "p_name").alias("index"))
+    return CP.sub_metrics(p)
+
+
 @query("node_log_domain", "", f"WITH p AS (SELECT page_id, url || {_PATH} AS path FROM pages) " + _domain_sql())
 def node_log_domain(s, d):
     p = table(s, d, "pages").selectExpr("page_id", f"url || {_PATH} AS path")

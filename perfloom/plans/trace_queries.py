@@ -443,6 +443,11 @@ def core_share(s, d):
     return tidy(ME.core_share(TL.cpu_distribution(lt(s, d), window_us=HOUR), cpu_count=4))
 
 
+@query("cpu_distribution", "lt", f"SELECT trace_id, ts // {HOUR} * {HOUR} AS window_start, cpu, count(*) AS switches FROM lt WHERE name = 'sched_switch' GROUP BY 1, 2, 3")
+def cpu_distribution(s, d):
+    return TL.cpu_distribution(lt(s, d), window_us=HOUR)
+
+
 @query("numa_ratio", "lt", """
 SELECT trace_id, count(*) FILTER (name = 'numa_local') AS local_count, count(*) FILTER (name = 'numa_remote') AS remote_count,
  round(count(*) FILTER (name = 'numa_remote') * 100.0 / count(*) FILTER (name LIKE 'numa%'), 6) AS remote_ratio,

@@ -31,7 +31,7 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 
-# Scheduler and copy fields inside ``args`` that the operators read.
+# Scheduler, copy, fault and block fields inside ``args`` that the operators read.
 ARGS_FIELDS = T.StructType(
     [
         T.StructField("prev_pid", T.LongType()),
@@ -43,5 +43,10 @@ ARGS_FIELDS = T.StructType(
         T.StructField("direction", T.StringType()),
         T.StructField("kind", T.StringType()),
         T.StructField("op", T.StringType()),
+        T.StructField("fault_type", T.StringType()),
+        T.StructField("dev", T.StringType()),
+        T.StructField("rwbs", T.StringType()),
+        T.StructField("sector", T.LongType()),
+        T.StructField("sectors", T.LongType()),
     ]
 )
