@@ -30,7 +30,7 @@ def lt(s, d):
 @query("event_normalize", "tv", """
 SELECT trace_id, seq, coalesce(CASE WHEN seq % 7 <> 0 THEN ts END, 0) AS ts, CASE WHEN seq % 5 = 0 THEN 0 ELSE dur END AS dur,
   CASE WHEN seq % 3 = 0 THEN -1 ELSE pid END AS pid, CASE WHEN seq % 4 = 0 THEN 'unknown' ELSE cat END AS cat,
-  CASE WHEN seq % 2 = 0 THEN 'X' ELSE 'B' END AS ph, -1 AS cpu, '{}' AS args FROM tv""")
+  CASE WHEN seq % 2 = 0 THEN 'X' ELSE 'B' END AS ph, CAST(-1 AS BIGINT) AS cpu, '{}' AS args FROM tv""")
 def event_normalize(s, d):
     raw = tv(s, d).select(
         "trace_id", "seq", F.when(F.col("seq") % 7 != 0, F.col("ts").cast("string")).alias("ts"),
@@ -398,7 +398,7 @@ def downsample(s, d):
 SELECT trace_id, name, ts, dur, row_number() OVER (PARTITION BY trace_id ORDER BY dur DESC, ts, seq) AS rank FROM ({_DEVICE}) QUALIFY rank <= 20""")
 def topk_kernels(s, d):
     k = TL.device_kernels(tv(s, d)).select("trace_id", "name", "ts", "dur", "seq")
-    return top_k(k, ["trace_id"], [F.desc("dur"), F.asc("ts"), F.asc("seq")], 20).drop("seq")
+    return tidy(top_k(k, ["trace_id"], [F.desc("dur"), F.asc("ts"), F.asc("seq")], 20).drop("seq"))
 
 
 # ------------------------------------------------------------------ windows over line traces
