@@ -410,8 +410,8 @@ _SUMMARY = """count(*) FILTER (name = 'sched_switch') AS sched_switch_count,
  count(*) FILTER (name = 'acl:OpExecute') AS npu_op_count, CAST(coalesce(sum(dur) FILTER (name = 'acl:OpExecute'), 0) AS BIGINT) AS npu_busy_time"""
 _ANCHOR = f"""
 , e AS (SELECT trace_id, ts, lead(ts) OVER (PARTITION BY trace_id ORDER BY ts) AS after FROM lt),
-c AS (SELECT a.trace_id, a.ts, min(b.ts) AS closes FROM e a JOIN e b ON a.trace_id = b.trace_id AND b.ts >= a.ts + {HOUR} GROUP BY 1, 2),
-j AS (SELECT c.trace_id, c.ts, e.after AS nxt FROM c JOIN e ON c.trace_id = e.trace_id AND c.closes = e.ts),
+c AS (SELECT a.trace_id, a.ts, b.ts AS closes FROM e a ASOF JOIN e b ON a.trace_id = b.trace_id AND a.ts + {HOUR} <= b.ts),
+j AS MATERIALIZED (SELECT c.trace_id, c.ts, e.after AS nxt FROM c JOIN e ON c.trace_id = e.trace_id AND c.closes = e.ts),
 w AS (SELECT trace_id, min(ts) AS ws FROM lt GROUP BY 1 UNION ALL SELECT w.trace_id, j.nxt FROM w JOIN j ON j.trace_id = w.trace_id AND j.ts = w.ws WHERE j.nxt IS NOT NULL),
 wn AS (SELECT trace_id, ws, lead(ws) OVER (PARTITION BY trace_id ORDER BY ws) AS we FROM w),
 la AS (SELECT lt.*, wn.ws AS window_start FROM lt JOIN wn ON lt.trace_id = wn.trace_id AND lt.ts >= wn.ws AND (wn.we IS NULL OR lt.ts < wn.we))"""
