@@ -60,7 +60,6 @@ class KeyedSequence:
             split_rows = SPLIT_ROWS if plan_bytes(df) > SMALL_INPUT_BYTES else 0
         self.split = split_rows > 0
         self.df = self._chunked(df, split_rows) if self.split else df
-        self._n = 0
 
     def _chunked(self, df: DataFrame, split_rows: int) -> DataFrame:
         point = F.struct(*self._order)

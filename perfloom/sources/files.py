@@ -70,8 +70,7 @@ IGNORED_SUFFIXES = (".md5", ".sha256", ".bak")
 
 
 def glob_regex(pattern: str) -> str:
-    out = re.escape(pattern).replace(r"\*\*/", "(.*/)?").replace(r"\*", "[^/]*").replace("/", "/")
-    return out + "$"
+    return re.escape(pattern).replace(r"\*\*/", "(.*/)?").replace(r"\*", "[^/]*") + "$"
 
 
 def log_domains(path: Column, domains: dict[str, list[str]] = NODE_DOMAINS) -> Column:
