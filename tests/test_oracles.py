@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from perfloom.operators import sequence
+from perfloom.plans import QUERIES
 from tests.check import compare, oracle_connection
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def con():
     return oracle_connection(SF)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     assert name in E.oracle_sql()
