@@ -121,7 +121,7 @@ def _first_fit(capacity: int, first: int, columns: list[str]):
                 free.append(capacity)
             seq.append(first + i), off.append(capacity - free[i])
             free[i] -= n
-        return table.drop_columns(["k", "number"]).append_column("sequence_id", pa.array(seq, pa.int64())).append_column("offset", pa.array(off, pa.int64()))
+        return table.drop_columns(["k", "number", "one"]).append_column("sequence_id", pa.array(seq, pa.int64())).append_column("offset", pa.array(off, pa.int64()))
 
     return run
 
@@ -151,7 +151,7 @@ def harmonic(parts: DataFrame, capacity: int = 2048) -> DataFrame:
         ids = pa.compute.multiply(out.column("sequence_id"), capacity + 1)
         return out.set_column(out.schema.get_field_index("sequence_id"), "sequence_id", ids)
 
-    packed = rest.groupBy(F.lit(0)).applyInArrow(shared, shape)
+    packed = rest.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(shared, shape)
     return full.select(*cols, "sequence_id", "offset").union(packed.select(*cols, "sequence_id", "offset"))
 
 

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from perfloom.llm import decontaminate, packing, sharding, simhash
+from perfloom.llm import ann, decontaminate, packing, preference, sharding, simhash, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +76,58 @@ FROM words LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid) LEFT JOIN n
 @query("op7_decontaminate", DECONTAMINATION_SQL)
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
+
+
+@query("op5_viterbi_count")
+def op5_viterbi_count(spark, sf_dir):
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+PREFERENCE_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+last AS (SELECT conv_id, max(struct_pack(turn, role, text)) AS r FROM t WHERE role = 'assistant' GROUP BY conv_id),
+sides AS (
+  SELECT conv_id, 'c' AS side, turn, role, text FROM t
+  UNION ALL
+  SELECT t.conv_id, 'r', t.turn, t.role, t.text FROM t LEFT JOIN last USING (conv_id)
+  WHERE last.r IS NULL OR struct_pack(turn := t.turn, role := t.role, text := t.text) < last.r
+  UNION ALL
+  SELECT own.conv_id, 'r', own.r.turn, other.r.role, other.r.text FROM last own JOIN last other ON other.conv_id = own.conv_id + 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, role, text) AS k FROM sides),
+met AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.k, r.k) AS k,
+         coalesce(c.role = r.role AND c.text = r.text, false) AS same
+  FROM (SELECT * FROM placed WHERE side = 'c') c FULL JOIN (SELECT * FROM placed WHERE side = 'r') r ON c.conv_id = r.conv_id AND c.k = r.k),
+prefix AS (SELECT conv_id, coalesce(min(k) FILTER (NOT same), max(k) + 1) - 1 AS n FROM met GROUP BY conv_id),
+shown AS (
+  SELECT p.*, n, '<|' || role || '|>
+' AS head, '<|' || role || '|>
+' || text || '<|end|>
+' AS line
+  FROM placed p JOIN prefix USING (conv_id)),
+laid AS (
+  SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY conv_id, side, k > n ORDER BY k
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM shown),
+spanned AS (SELECT *, CAST(at + length(head) AS VARCHAR) || '-' || CAST(at + length(line) AS VARCHAR) AS span FROM laid)
+SELECT conv_id, CAST(any_value(n) AS BIGINT) AS n_shared,
+       coalesce(string_agg(line, '' ORDER BY k) FILTER (side = 'c' AND k <= n), '') AS prompt,
+       coalesce(string_agg(line, '' ORDER BY k) FILTER (side = 'c' AND k > n), '') AS chosen,
+       coalesce(string_agg(span, ',' ORDER BY k) FILTER (side = 'c' AND k > n AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(line, '' ORDER BY k) FILTER (side = 'r' AND k > n), '') AS rejected,
+       coalesce(string_agg(span, ',' ORDER BY k) FILTER (side = 'r' AND k > n AND role = 'assistant'), '') AS rejected_mask
+FROM spanned GROUP BY conv_id
+"""
+
+
+@query("op9_preference", PREFERENCE_SQL)
+def op9_preference(spark, sf_dir):
+    convs = preference.turns(table(spark, sf_dir, "conversations"))
+    pairs = preference.preference_pairs(preference.with_other_reply(convs))
+    return pairs.select(
+        F.col("id").alias("conv_id"), "n_shared", "prompt", "chosen", preference.spans_text(F.col("chosen_spans")).alias("chosen_mask"),
+        "rejected", preference.spans_text(F.col("rejected_spans")).alias("rejected_mask"))
+
+
+@query("op10_adaptive_scan")
+def op10_adaptive_scan(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
