@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfloom.llm import ann, decontaminate, packing, preference, sharding, simhash, tokencount
+from perfloom.llm import ann, decontaminate, packing, preference, quality, sharding, simhash, tokencount
+from perfloom.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_nb_svm")
+def op1_nb_svm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+    return out.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 @query("op2_simhash")
 def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, max_distance=4)
@@ -107,8 +115,8 @@ shown AS (
   FROM placed p JOIN prefix USING (conv_id)),
 laid AS (
   SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY conv_id, side, k > n ORDER BY k
-                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM shown),
-spanned AS (SELECT *, CAST(at + length(head) AS VARCHAR) || '-' || CAST(at + length(line) AS VARCHAR) AS span FROM laid)
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM shown),
+spanned AS (SELECT *, CAST(pos + length(head) AS VARCHAR) || '-' || CAST(pos + length(line) AS VARCHAR) AS span FROM laid)
 SELECT conv_id, CAST(any_value(n) AS BIGINT) AS n_shared,
        coalesce(string_agg(line, '' ORDER BY k) FILTER (side = 'c' AND k <= n), '') AS prompt,
        coalesce(string_agg(line, '' ORDER BY k) FILTER (side = 'c' AND k > n), '') AS chosen,
