@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfloom.llm import ann, decontaminate, packing, preference, quality, sharding, simhash, tokencount
+from perfloom.llm import ann, decontaminate, html_template, packing, preference, quality, sharding, simhash, tokencount
 from perfloom.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,8 @@ def op9_preference(spark, sf_dir):
 @query("op10_adaptive_scan")
 def op10_adaptive_scan(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op8_template")
+def op8_template(spark, sf_dir):
+    return html_template.main_text(table(spark, sf_dir, "pages"))
