@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfloom.llm import ann, decontaminate, html_template, packing, preference, quality, sharding, simhash, tokencount
+from perfloom.llm import ann, decontaminate, html_template, packing, pitman_yor, preference, quality, sharding, simhash, tokencount
 from perfloom.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,10 @@ def op10_adaptive_scan(spark, sf_dir):
 @query("op8_template")
 def op8_template(spark, sf_dir):
     return html_template.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op6_pitman_yor")
+def op6_pitman_yor(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = pitman_yor.score(docs, ~pitman_yor.held_out())
+    return out.withColumn("held_out", pitman_yor.held_out())
