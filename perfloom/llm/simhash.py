@@ -25,36 +25,57 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _COLUMN = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Unsigned fingerprint of the shingles of ``width`` words; 0 for a text without words."""
-    words = text.encode().lower().split() if text else []  # bytes: only A-Z are lowered, only ASCII white space splits
-    if not words:
-        return 0
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
     joined, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
     ends, k = starts + size, min(width, len(words)) - 1
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k].tolist(), ends[k:].tolist())], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k].tolist(), ends[k:].tolist())], dtype="<u8")
+
+
+def _majority(h: np.ndarray) -> int:
     # Per byte column a histogram of byte values, then bits of byte values: counts of every bit.
     hist = np.bincount((h.view(np.uint8).reshape(-1, 8) + _COLUMN).ravel(), minlength=2048).reshape(8, 256)
     return int(np.packbits(((hist @ _BITS) * 2 > len(h)).ravel(), bitorder="little").view("<u8")[0])
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Second hashes of the same shingles."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """Unsigned fingerprint of the shingles of ``width`` words; 0 for a text without words."""
+    return fingerprint_pair(text, width)[0]
+
+
+def fingerprint_pair(text: str | None, width: int, second: bool = False) -> tuple[int, int, int]:
+    """The fingerprint, one of second hashes where wanted, and the number of shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only A-Z lowered, only ASCII white space splits
+    if not words:
+        return 0, 0, 0
+    h = _hashes(words, width)
+    return _majority(h), _majority(_mixed(h)) if second else 0, len(h)
+
+
 def text_hash(c: Column) -> Column:
     return F.xxhash64(F.coalesce(c, F.lit("")))
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, text_hash and ``fp`` (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, width: int = 4, second: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, text_hash, ``fp`` and ``fp2`` (fingerprints as signed longs) and ``size`` (shingles)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], ["id", "text_hash", "fp"])
+            got = [fingerprint_pair(t.as_py(), width, second) for t in b.column(1)]
+            fps = [pa.array(np.array([g[i] for g in got], dtype=np.uint64).view(np.int64)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *fps, pa.array([g[2] for g in got], pa.int64())], ["id", "text_hash", "fp", "fp2", "size"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("text_hash"))
-    return rows.mapInArrow(run, f"id {kind}, text_hash long, fp long")
+    return rows.mapInArrow(run, f"id {kind}, text_hash long, fp long, fp2 long, size long")
 
 
 def _hex_long(x: int) -> Column:
@@ -119,17 +140,15 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _grouped(docs: DataFrame, width: int, max_distance: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, text_hash, fp, root (the group's smallest linked fingerprint), component_id."""
-    rows = written(fingerprints(docs, width, id_col, text_col))
-    points = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(points.select("fp"), max_distance))
-    linked = points.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least")
+def _named(rows: DataFrame, points: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per row: id, text_hash, point, root (of its group), component_id; ``points`` has the least id of each point."""
+    roots = components(edges)
+    linked = points.join(roots, F.col("point") == F.col("node")).select("point", "root", "least")
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Only fingerprints with a link are looked up; all others are their own component.
-    moved = linked.select("fp", "root").join(of_root, "root").select("fp", "root", "component_id")
-    named = points.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp").select("id", "text_hash", "fp", "root", "component_id")
+    # Only points with a link are looked up; all others are their own component.
+    moved = linked.select("point", "root").join(of_root, "root").select("point", "root", "component_id")
+    named = points.join(moved, "point", "left").select("point", F.coalesce("root", "point").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(named, "point")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,16 +157,100 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_distance: int = 4, id_c
     Fingerprints link at ``max_distance`` or fewer differing bits. Texts without words, null ones too, have fingerprint 0.
     Rows of one fingerprint are one point of the join. A null id takes part; its component's smallest id ignores it.
     """
-    return _grouped(docs, width, max_distance, id_col, text_col).select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = written(fingerprints(docs, width, False, id_col, text_col).select("id", F.col("fp").alias("point")))
+    points = rows.groupBy("point").agg(F.min("id").alias("least"))
+    found = links(points.select(F.col("point").alias("fp")), max_distance)
+    return _named(rows, points, found).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
+
 
+def _forest(distance: int, both: int, ratio: float):
+    """Links of rows that share a cell, of which only those are kept that join two groups.
 
-def keep_one(docs: DataFrame, width: int = 4, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Rows come sorted by cell and size. Each is compared with the rows before it in its cell whose size is at least ``ratio`` of
+    its own; the window is all that is held. Distances are exact.
+    """
+    def joined(c: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        parent = list(range(len(c["fp"])))
+
+        def top(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        first = np.searchsorted(c["size"], np.ceil(c["size"] * ratio - 1e-9), side="left")
+        for at in range(0, len(parent), 512):
+            to = min(at + 512, len(parent))
+            low = int(first[at])
+            d = np.bitwise_count(c["fp"][at:to, None] ^ c["fp"][None, low:to])
+            i, j = np.nonzero(d <= distance)
+            i, j = i + at, j + low
+            keep = (j < i) & (j >= first[i])
+            i, j = i[keep], j[keep]
+            keep = np.bitwise_count(c["fp"][i] ^ c["fp"][j]) + np.bitwise_count(c["fp2"][i] ^ c["fp2"][j]).astype(np.int64) <= both
+            for a, b in zip(i[keep].tolist(), j[keep].tolist()):
+                ra, rb = top(a), top(b)
+                if ra != rb:
+                    parent[ra] = rb
+                    out.append((a, b))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+
+        def finish(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key = c["g"].astype(np.int64)
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (c["cell"][1:] != c["cell"][:-1])) + 1
+            a, b = [], []
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+                if hi - lo > 1:
+                    part = {k: v[lo:hi] for k, v in c.items()}
+                    for i, j in joined(part):
+                        a.append(int(part["point"][i])), b.append(int(part["point"][j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            new = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("g", "cell", "size", "fp", "fp2", "point")}
+            new |= {n: new[n].view(np.uint64) for n in ("fp", "fp2")}
+            if not batch.num_rows:
+                continue
+            held = new if held is None else {n: np.concatenate((held[n], new[n])) for n in new}
+            last = (held["g"] != held["g"][-1]) | (held["cell"] != held["cell"][-1])
+            end = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+            if end:
+                yield from finish({n: v[:end] for n, v in held.items()})
+                held = {n: v[end:] for n, v in held.items()}
+        if held is not None:
+            yield from finish(held)
+
+    return run
+
+
+def similar_links(points: DataFrame, distance: int, both: int, ratio: float) -> DataFrame:
+    """Links (a, b) of ``points`` (point, fp, fp2, size) that join all points of which the first fingerprints differ in at most
+    ``distance`` bits, both together in at most ``both``, and the sizes by no more than ``ratio``."""
+    emb = points.select("point", "fp", "fp2", "size", F.explode(cells(embedding(F.col("fp")), distance)).alias("c")).where(F.col("c").isNotNull())
+    visits = emb.select("point", "fp", "fp2", "size", F.col("c.g").alias("g"), F.col("c.cell").alias("cell"))
+    return visits.repartition("g", "cell").sortWithinPartitions("g", "cell", "size").mapInArrow(_forest(distance, both, ratio), "a long, b long")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates, with all its columns: that of the smallest id (a null id is the largest).
 
-    Of several rows with that id one text stays, of repeated rows one.
+    Texts are near duplicates if two fingerprints of their shingles differ in no more bits than those of sets of that Jaccard
+    similarity do, with five in six of them (mean and one standard deviation). Of several rows with that id one text stays, of
+    repeated rows one. Texts without words are one group.
     """
-    groups = _grouped(docs, width, max_distance, id_col, text_col)
+    flip = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    both = int(128 * flip + np.sqrt(128 * flip * (1 - flip)))
+    distance = min(14, int(64 * flip + 1.5 * np.sqrt(64 * flip * (1 - flip))))
+    rows = written(fingerprints(docs, width, True, id_col, text_col).withColumn("point", F.xxhash64("fp", "fp2", "size")))
+    points = rows.groupBy("point", "fp", "fp2", "size").agg(F.min("id").alias("least"))
+    edges = similar_links(points, distance, both, similarity)
+    groups = _named(rows.select("id", "text_hash", "point"), points.groupBy("point").agg(F.min("least").alias("least")), edges)
     keep = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "text_hash")).alias("k")).select(
         F.col("k.id").alias(kid := fresh(docs, "keep_id")), F.col("k.text_hash").alias(kh := fresh(docs, "keep_hash")))
     own, rank = fresh(docs, "own_hash"), fresh(docs, "rank")
