@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perfloom.llm.common import ascii_lower, fresh
+from perfloom.llm.common import ascii_lower, fresh, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -71,8 +71,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
                .select("id", "text_hash", "text_size", "n_words", F.col("s.len").alias("len"), F.posexplode("s.h").alias("pos", "hash")))
     found = windows.join(hinted(known), "hash", "left").where(F.col("hit") | (F.col("len") == 0))
     hit = F.when(F.col("len") > 0, F.struct("pos", "len"))
-    grouped = found.groupBy("id", "text_hash", "text_size").agg(
-        F.max("n_words").alias("n_words"), F.sum((F.col("len") == 0).cast("long")).alias("copies"), F.collect_set(hit).alias("hits"))
+    # Used twice, and far smaller than the windows it comes from.
+    grouped = written(found.groupBy("id", "text_hash", "text_size").agg(
+        F.max("n_words").alias("n_words"), F.sum((F.col("len") == 0).cast("long")).alias("copies"), F.collect_set(hit).alias("hits")))
 
     wanted = _renamed(grouped.where(F.size("hits") > 0).select("id", "text_hash", "text_size", "hits"))
     texts = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text"))
