@@ -1,9 +1,9 @@
 """Order-sensitive columns that stay parallel when one key owns most rows.
 
 A plain ``Window.partitionBy(key)`` sorts a whole key in one task.  ``KeyedSequence`` gives the same answers but cuts
-keys above ``split_rows`` rows into order-preserving chunks: windows run per (key, chunk), one row per chunk is carried
-over to the next chunk, and the carry comes back through a join on (key, chunk) that reuses the window's partitioning.
-Chunk bounds come from a hash sample of the hot keys only, so what is broadcast is limited by total rows / split_rows.
+keys of more than ``split_rows`` counted rows into order-preserving chunks: windows run per (key, chunk), one row per chunk
+is carried over to the next chunk, and the carry comes back through a join on (key, chunk).  Chunk bounds come from a hash
+sample of the hot keys only.  Where keys are cut, the rows go to the shared folder once per step, so no step repeats another.
 """
 
 from __future__ import annotations
@@ -14,16 +14,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perfloom.shared import written
+
 SPLIT_ROWS = 4_000_000          # rows one task may sort for one key
-SMALL_INPUT_BYTES = 256 << 20   # below this even a key holding everything fits one task
-MAX_CHUNKS = 4096
-SAMPLE_PER_KEY = 65_536
-FANOUT = 64
+SAMPLE_PER_CHUNK = 256
+FANOUT = 512
+
+# Whether a plan has a hot key, by its semantic hash: only how rows are dealt depends on it, never which rows come out.
+_hot_plans: dict[tuple, bool] = {}
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Optimizer estimate of the size of ``df`` (no job is run)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def has_hot_key(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
+    """Whether some key has more than ``rows`` rows, by counting them (one job, counts are combined before the shuffle)."""
+    mark = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), rows)
+    if mark not in _hot_plans:
+        if len(_hot_plans) > 4096:
+            _hot_plans.clear()
+        _hot_plans[mark] = not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(
+            F.col("_rows") > rows).dropna(subset=list(keys)).isEmpty()
+    return _hot_plans[mark]
 
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -45,8 +54,8 @@ def _pick_chunk(bounds: Column, point: Column) -> Column:
 class KeyedSequence:
     """Rows of ``df`` grouped by ``keys`` in ascending ``order`` (names or columns; negate numbers for descending).
 
-    ``split_rows`` is decided from the size estimate of the input unless given; 0 turns splitting off.  Rows with a null
-    key are never split (the event model uses -1, not null), so all joins here are plain equi-joins.
+    Keys of more than ``split_rows`` rows are cut; 0 turns that off.  Rows with a null key are never split (the event model
+    uses -1, not null), so all joins here are plain equi-joins.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
@@ -57,38 +66,30 @@ class KeyedSequence:
         made = {f"_o{i}": o for i, o in enumerate(order) if not isinstance(o, str)}
         df = df.withColumns(made) if made else df
         if split_rows is None:
-            split_rows = SPLIT_ROWS if plan_bytes(df) > SMALL_INPUT_BYTES else 0
-        self.split = split_rows > 0
-        self.df = self._chunked(df, split_rows) if self.split else df
+            split_rows = SPLIT_ROWS
+        self.split = split_rows > 0 and has_hot_key(df, self.keys, split_rows)
+        self.df = written(self._chunked(df, split_rows)) if self.split else df
 
     def _chunked(self, df: DataFrame, split_rows: int) -> DataFrame:
         point = F.struct(*self._order)
         counts = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_rows"))
-        hot = F.broadcast(
-            counts.where(F.col("_rows") > split_rows).dropna(subset=self.keys).select(*[F.col(k).alias(f"_h_{k}") for k in self.keys], "_rows")
-        )
+        hot = counts.where(F.col("_rows") > split_rows).dropna(subset=self.keys).select(
+            *[F.col(k).alias(f"_h_{k}") for k in self.keys], "_rows")
         on = [(k, f"_h_{k}") for k in self.keys]
-        every = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_rows") / SAMPLE_PER_KEY))
+        hot_keys = [f"_h_{k}" for k in self.keys]
+        chunks = F.ceil(F.col("_rows") / split_rows)
+        every = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_rows") / (chunks * SAMPLE_PER_CHUNK)))
         sampled = (
             df.select(*self.keys, *self._order)
             .join(hot, _equal(df, hot, on))
             .where(F.pmod(F.xxhash64(*self._order), every) == 0)
+            .select(*hot_keys, chunks.alias("_c"), point.alias("_p"))
         )
-        n_chunks = F.least(F.lit(MAX_CHUNKS).cast("double"), F.ceil(F.max("_rows") / split_rows)).cast("int")
-        bounds = (
-            sampled.groupBy(*[f"_h_{k}" for k in self.keys])
-            .agg(F.sort_array(F.collect_list(point)).alias("_s"), n_chunks.alias("_c"))
-            .select(
-                *[f"_h_{k}" for k in self.keys],
-                F.transform(
-                    F.expr("IF(_c > 1, sequence(1, _c - 1), CAST(array() AS ARRAY<INT>))"),
-                    lambda i: F.element_at(
-                        "_s", F.greatest(F.lit(1), F.ceil(i * F.size("_s") / F.col("_c")).cast("int"))
-                    ),
-                ).alias("_bounds"),
-            )
-        )
-        bounds = F.broadcast(bounds)
+        # Every size-th sampled row in order is a bound; how many there are decides nothing but the evenness of chunks.
+        ranked = sampled.select(
+            *hot_keys, "_p", F.row_number().over(Window.partitionBy(*hot_keys).orderBy("_p")).alias("_i"),
+            F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*hot_keys)) / F.col("_c")).alias("_every"))
+        bounds = ranked.where(F.col("_i") % F.col("_every") == 0).groupBy(*hot_keys).agg(F.sort_array(F.collect_list("_p")).alias("_bounds"))
         return (
             df.join(bounds, _equal(df, bounds, on), "left")
             .withColumn("_hot", F.col("_bounds").isNotNull())
@@ -101,6 +102,7 @@ class KeyedSequence:
 
     def _carry(self, keys: list[str], summary: Column, shifted) -> None:
         """Add ``_carry``: a value computed over the per-chunk summaries of the hot keys."""
+        self.df = written(self.df)
         parts = self.df.where("_hot").groupBy(*keys, "_chunk").agg(summary.alias("_sum"))
         parts = parts.select(
             *[F.col(k).alias(f"_p_{k}") for k in keys], F.col("_chunk").alias("_p_chunk"),
@@ -154,7 +156,7 @@ class KeyedSequence:
         return self
 
     def total(self, name: str, how: str, value: str | Column) -> "KeyedSequence":
-        """``sum``, ``max`` or ``count`` over the whole key on every row.  Hot keys are few, so their totals are broadcast."""
+        """``sum``, ``max`` or ``count`` over the whole key on every row."""
         value = F.col(value) if isinstance(value, str) else value
         fold = {"sum": F.sum, "max": F.max, "count": F.count}[how]
         w = Window.partitionBy(*self.keys, *(["_chunk"] if self.split else []))
@@ -163,8 +165,9 @@ class KeyedSequence:
         else:
             self.df = self.df.withColumn("_v", value)
             self.df = self.df.withColumn(name, fold("_v").over(w))
+            self.df = written(self.df)
             hot = self.df.where("_hot").groupBy(*self.keys).agg(fold("_v").alias("_all"))
-            hot = F.broadcast(hot.select(*[F.col(k).alias(f"_p_{k}") for k in self.keys], "_all"))
+            hot = hot.select(*[F.col(k).alias(f"_p_{k}") for k in self.keys], "_all")
             self.df = self.df.join(hot, _equal(self.df, hot, [(k, f"_p_{k}") for k in self.keys]), "left")
             self.df = self.df.withColumn(name, F.when(F.col("_hot"), F.col("_all")).otherwise(F.col(name))).drop(
                 "_all", "_v", *[f"_p_{k}" for k in self.keys])

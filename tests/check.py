@@ -57,7 +57,7 @@ def main() -> None:
         args.remove("--split")
         from perfloom.operators import sequence
 
-        sequence.SMALL_INPUT_BYTES, sequence.SPLIT_ROWS = -1, 40
+        sequence.SPLIT_ROWS = 40
     sf = args.pop(0) if args and args[0].startswith("0") else "0.01"
     d = f"/root/testdata/sf{sf}"
     spark, con = make_session(), oracle_connection(d)

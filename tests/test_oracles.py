@@ -27,7 +27,6 @@ def test_matches_oracle(spark, con, name):
 
 @pytest.mark.parametrize("name", ORDERED)
 def test_split_path_matches_oracle(spark, con, name, monkeypatch):
-    monkeypatch.setattr(sequence, "SMALL_INPUT_BYTES", -1)
     monkeypatch.setattr(sequence, "SPLIT_ROWS", 40)
     assert compare(E.queries()[name](spark, SF), con, E.oracle_sql()[name]) is None
 
