@@ -236,8 +236,8 @@ def cell_flag(cell: str | Column) -> Column:
 
 
 def normal_key(text: str | Column) -> Column:
-    """Lower case, '_' as '-', without an 'org/' prefix."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(_c(text))), "_", "-"), "^.*/", "")
+    """Lower case, '_' as '-', without the first 'org/' segment."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(_c(text))), "_", "-"), "^[^/]*/", "")
 
 
 def scenario_tag(concurrency: str | Column, total_len: str | Column, high: int = 16, long: int = 65536) -> Column:

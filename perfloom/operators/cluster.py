@@ -192,14 +192,20 @@ def api_by_level(api: DataFrame, K: Sequence[str] = CK, top_n: int = 20) -> Data
     return top_k(agg, [*K, "level"], [F.desc("total_time"), F.asc("api_name")], top_n)
 
 
-def is_comm_op(name: str = "name"):
-    """Communication rows by name: the ``hcom_`` prefix or the older name patterns."""
+def is_comm_op(name: str = "name", cat: str | None = "cat"):
+    """Communication rows: by the start of the name, or by a category that has ``comm`` in it."""
     c = F.col(name)
-    return c.startswith("hcom_") | c.like("HCom%") | c.like("hcom%") | c.like("%comm%")
+    by_name = c.like("HCom%") | c.like("hcom%")
+    return by_name if cat is None else by_name | F.coalesce(F.col(cat).like("%comm%"), F.lit(False))
 
 
-def comm_ops(rows: DataFrame, K: Sequence[str] = CK, name: str = "name") -> DataFrame:
-    return rows.where(is_comm_op(name)).groupBy(*K, name).agg(
+def copy_engine_totals(rows: DataFrame, K: Sequence[str] = CK, name: str = "name", engine: str = "SDMA") -> DataFrame:
+    """Count and time of the rows of the copy engine."""
+    return rows.where(F.col(name) == engine).groupBy(*K).agg(F.count(F.lit(1)).alias("count"), F.sum("duration").alias("total_dur"))
+
+
+def comm_ops(rows: DataFrame, K: Sequence[str] = CK, name: str = "name", cat: str | None = "cat") -> DataFrame:
+    return rows.where(is_comm_op(name, cat)).groupBy(*K, name).agg(
         F.sum("duration").alias("total_dur"), F.count(F.lit(1)).alias("count"))
 
 

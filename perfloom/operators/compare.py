@@ -37,13 +37,16 @@ def profile(rows: DataFrame, by: Sequence[str], value: str = "duration") -> Data
 def stat_totals(rows: DataFrame, diff: str = "diff_total", K: Sequence[str] = (), top_n: int = 10) -> DataFrame:
     """Degraded and improved counts and sums, trend, and how much of the change the largest rows hold."""
     d = F.col(diff)
-    top = top_k(rows, K, [F.desc(diff)], top_n).groupBy(*K).agg(F.sum(diff).alias("_top")) if K else (
-        rows.orderBy(F.desc(diff)).limit(top_n).agg(F.sum(diff).alias("_top")))
+    K = list(K)
+    if not K:
+        rows, K = rows.withColumn("_all", F.lit(0)), ["_all"]
+    # the first rows by map-side limited rank; their sum and the totals are two small aggregates
+    top = top_k(rows, K, [F.desc(diff)], top_n).groupBy(*K).agg(F.sum(diff).alias("_top"))
     agg = rows.groupBy(*K).agg(
         F.count(F.lit(1)).alias("total_rows"), F.count_if(d > 0).alias("degraded_count"),
         F.count_if(d < 0).alias("improved_count"), F.coalesce(F.sum(F.when(d > 0, d)), F.lit(0)).alias("total_degraded"),
         F.coalesce(F.sum(F.when(d < 0, -d)), F.lit(0)).alias("total_improved"), F.sum(d).alias("total_diff"))
-    out = agg.join(top, list(K)) if K else agg.withColumn("_one", F.lit(1)).join(top.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    out = agg.unionByName(top, allowMissingColumns=True).groupBy(*K).agg(*[F.max(c).alias(c) for c in [*agg.columns[len(K):], "_top"]]).drop("_all")
     conc = F.when(F.col("total_diff") == 0, 0.0).otherwise(F.try_divide(F.abs("_top"), F.abs("total_diff")) * 100)
     trend = F.when(F.col("total_degraded") > F.col("total_improved"), "degraded").when(
         F.col("total_improved") > F.col("total_degraded"), "improved").otherwise("flat")
@@ -53,10 +56,9 @@ def stat_totals(rows: DataFrame, diff: str = "diff_total", K: Sequence[str] = ()
 def detail_for(detail: DataFrame, names: DataFrame, base_col: str = "base_name", comp_col: str = "comp_name") -> DataFrame:
     """Detail rows whose base or comparison name is among ``names`` (one ``name`` column, e.g. a top-10 list)."""
     n = names.select(F.col("name").alias("_n")).distinct()
-    hit_base = detail.join(n, F.col(base_col) == F.col("_n"), "left_semi")
-    rest = detail.where(F.col(base_col).isNotNull()).join(n, F.col(base_col) == F.col("_n"), "left_anti").unionByName(
-        detail.where(F.col(base_col).isNull()))
-    return hit_base.unionByName(rest.join(n, F.col(comp_col) == F.col("_n"), "left_semi"))
+    base = n.select(F.col("_n").alias("_b"))
+    found = detail.join(base, F.col(base_col) == F.col("_b"), "left").join(n, F.col(comp_col) == F.col("_n"), "left")
+    return found.where(F.col("_b").isNotNull() | F.col("_n").isNotNull()).drop("_b", "_n")
 
 
 def topk_signed(rows: DataFrame, diff: str, tie: str, K: Sequence[str] = (), k: int = 5) -> DataFrame:

@@ -18,12 +18,25 @@ def parse_json_tolerant(text: str | Column) -> Column:
     return F.coalesce(F.try_parse_json(c), F.try_parse_json(fixed), F.try_parse_json(packed))
 
 
-def json_flatten(df: DataFrame, col: str, K: Sequence[str], max_depth: int = 16, keep_parents: bool = False) -> DataFrame:
+def nesting(text: str | Column) -> Column:
+    """How deep containers nest in a JSON text."""
+    marks = F.regexp_replace(F.regexp_replace(text, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.split(marks, ""), zero, step, lambda acc: acc["most"])
+
+
+def json_flatten(df: DataFrame, col: str, K: Sequence[str], keep_parents: bool = False) -> DataFrame:
     """(path, value) per leaf of a variant column: ``a.b[0].c``; empty containers stay as ``{}`` and ``[]``.
 
     Each level explodes the containers of the level before and passes leaves through, so the plan is one chain over the
-    rows.  Containers deeper than ``max_depth`` come out as their JSON text.  ``keep_parents`` also lists containers.
+    rows, as long as the deepest document nests (one pass finds that out).  ``keep_parents`` also lists containers.
     """
+    max_depth = df.agg(F.max(nesting(F.to_json(col)))).first()[0] or 0
     out = df.select(*K, F.lit("").alias("_path"), F.col(col).alias("_v"), F.lit(True).alias("_new"), F.lit(False).alias("_done"))
     container = F.expr("schema_of_variant(_v) RLIKE '^(OBJECT|ARRAY)'")
     for _ in range(max_depth):

@@ -178,7 +178,7 @@ def trace_metadata(ev: DataFrame, K: Sequence[str] = K) -> DataFrame:
         F.min("ts").alias("ts_min"),
         F.max(F.greatest(F.col("ts"), F.col("ts") + F.col("dur"))).alias("ts_max"),
         (F.max("cpu") + 1).alias("cpu_cores"),
-        F.array_join(F.array_sort(F.collect_set(devices.cast("string"))), ",").alias("devices"),
+        F.array_join(F.transform(F.array_sort(F.collect_set(devices)), lambda d: d.cast("string")), ",").alias("devices"),
     )
     return base.withColumn("duration_us", F.col("ts_max") - F.col("ts_min"))
 
@@ -203,10 +203,11 @@ def trace_names(ev: DataFrame, K: Sequence[str] = K) -> DataFrame:
         F.max_by("label", F.struct("_p", "seq")).alias("name"))
 
 
-def triage_stats(ev: DataFrame, K: Sequence[str] = K, head: int = 10_000) -> DataFrame:
-    """First look at each trace: event-type histogram of its first ``head`` lines."""
-    first = KeyedSequence(ev, K, ["seq"]).rank("_n").result().where(F.col("_n") <= head)
-    return first.groupBy(*K, "name").agg(
+def triage_stats(ev: DataFrame, K: Sequence[str] = K, head: int | None = None) -> DataFrame:
+    """First look at each trace: histogram of its event types, or of those of its first ``head`` lines only."""
+    if head:
+        ev = KeyedSequence(ev, K, ["seq"]).rank("_n").result().where(F.col("_n") <= head)
+    return ev.groupBy(*K, "name").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 

@@ -29,13 +29,13 @@ AGGREGATED = (r"(\d+)\s+Engines?\s+Aggregated:\s*Avg prompt throughput:\s*([\d.]
               r"\s*Avg generation throughput:\s*([\d.]+)\s*tokens/s,?\s*Running:\s*\d+\s+reqs,?\s*Waiting:\s*\d+\s+reqs,?"
               r"\s*GPU KV cache usage:\s*([\d.]+)%,?\s*Prefix cache hit rate:\s*([\d.]+)%")
 AGGREGATED_GROUPS = (("generation_throughput", 3, "tokens/s"), ("kv_cache_usage", 4, "%"), ("prefix_cache_hit_rate", 5, "%"))
-# Launch arguments kept by the interest filter.
+# Launch arguments kept by the interest filter, in the order of the service's settings.
 INTEREST = (
     "quantization", "tensor_parallel_size", "enable_expert_parallel", "data_parallel_size", "pipeline_parallel_size",
     "max_model_len", "max_num_batched_tokens", "max_num_seqs", "enable_prefix_caching", "enable_chunked_prefill",
     "cudagraph_mode", "cudagraph_capture_size", "multistream_overlap_shared_expert", "enable_npugraph_ex",
     "recompute_scheduler_enable", "enable_flashcomm1", "enable_fused_mc2", "enable_dsa_cp", "speculative_config",
-    "num_spec_tokens",
+    "num_spec_tokens", "model",
 )
 INTEREST_PREFIXES = ("enable_", "fuse_", "cudagraph_", "multistream_", "recompute_")
 INTEREST_TOKEN = "eagle3"
@@ -89,11 +89,16 @@ def log_format(lines: DataFrame, K: Sequence[str] = LK, aggregated: str = AGGREG
         "unknown").alias("format"))
 
 
-def transpose(metrics: DataFrame, K: Sequence[str] = LK, max_k: int = 8, split_rows: int | None = None) -> DataFrame:
-    """One row per metric with its first ``max_k`` occurrences as columns ``v1..`` and the number of all of them."""
+def transpose(metrics: DataFrame, K: Sequence[str] = LK, columns: int = 0, split_rows: int | None = None) -> DataFrame:
+    """(metric, k, value): every occurrence of a metric under its number.
+
+    ``columns`` lays that many of the first out side by side for display instead, with the number of all of them.
+    """
     ranked = KeyedSequence(metrics, [*K, "metric"], ["seq"], split_rows).rank("_k").result()
+    if not columns:
+        return ranked.select(*K, "metric", F.col("_k").alias("k"), "value")
     return ranked.groupBy(*K, "metric").agg(
-        *[F.max(F.when(F.col("_k") == i, F.col("value"))).alias(f"v{i}") for i in range(1, max_k + 1)],
+        *[F.max(F.when(F.col("_k") == i, F.col("value"))).alias(f"v{i}") for i in range(1, columns + 1)],
         F.count(F.lit(1)).alias("n"))
 
 
@@ -110,14 +115,29 @@ def argument_group(key: str | Column) -> Column:
                          (last.isin(*CONFIG_KEYS), "config"), (last.rlike("spec|eagle3"), "speculative"), default="feature")
 
 
-_PAIR = r"'([^']+)'\s*:\s*('[^']*'|\"[^\"]*\"|\{[^{}]*\}|\[[^\[\]]*\]|[\w.]+\([^()]*\)|[^,{}\[\]]+)"
+#: Levels of containers inside a value; a deeper one is read as far as it goes.
+_LEVELS = 6
+
+
+def _container(left: str, right: str, levels: int = _LEVELS) -> str:
+    """Pattern of a balanced container, strings inside it skipped."""
+    text = r"'[^']*'|\"[^\"]*\""
+    inner = ""
+    for _ in range(levels):
+        inner = rf"\{left}(?:{text}|[^\{left}\{right}'\"]{inner and '|' + inner})*\{right}"
+    return inner
+
+
+_VALUE = rf"'[^']*'|\"[^\"]*\"|{_container('{', '}')}|{_container('[', ']')}|[\w.]+{_container('(', ')')}|{_container('(', ')')}|[^,{{}}\[\]]+"
+_PAIR = rf"'([^']+)'\s*:\s*({_VALUE})"
 
 
 def launch_args(lines: DataFrame, K: Sequence[str] = LK, marker: str = "non-default args:") -> DataFrame:
     """(key, value, group) of the first argument line of each log.
 
     The literal is read as key/value pairs, one nesting level at a time, which also serves truncated lines and object
-    representations; nested pairs come out under dotted keys next to their parent.
+    representations; nested pairs come out under dotted keys next to their parent, to any of the levels that a value is
+    matched to.
     """
     raw = lines.where(F.col("value").contains(marker)).where(
         F.substring_index("value", marker, -1).contains("{")).groupBy(*K).agg(F.min_by("value", "seq").alias("_l"))
@@ -129,8 +149,16 @@ def launch_args(lines: DataFrame, K: Sequence[str] = LK, marker: str = "non-defa
         return F.zip_with(F.regexp_extract_all(text, F.lit(_PAIR), 1), F.regexp_extract_all(text, F.lit(_PAIR), 2),
                           lambda k, v: F.struct(k.alias("k"), v.alias("v")))
 
-    top = raw.select(*K, F.explode(pairs(body)).alias("_p")).select(*K, F.col("_p.k").alias("key"), F.col("_p.v").alias("_v"))
-    nested = top.where(F.col("_v").startswith("{")).select(*K, "key", F.explode(pairs(F.col("_v"))).alias("_n")).select(
-        *K, F.concat_ws(".", "key", "_n.k").alias("key"), F.col("_n.v").alias("_v"))
-    rows = top.unionByName(nested).where(is_interesting("key"))
+    # one column of open rows per line: each level appends what its containers hold, so lines are read once
+    def opened(items: Column) -> Column:
+        inside = F.transform(F.filter(items, lambda p: p["v"].startswith("{")), lambda p: F.transform(
+            pairs(F.substring(p["v"], 2, 1 << 30)), lambda n: F.struct(F.concat_ws(".", p["k"], n["k"]).alias("k"), n["v"].alias("v"))))
+        return F.flatten(inside)
+
+    level = pairs(body)
+    rows = raw.select(*K, level.alias("_l0"))
+    for i in range(1, _LEVELS):
+        rows = rows.withColumn(f"_l{i}", opened(F.col(f"_l{i - 1}")))
+    rows = rows.select(*K, F.explode(F.flatten(F.array(*[f"_l{i}" for i in range(_LEVELS)]))).alias("_p")).select(
+        *K, F.col("_p.k").alias("key"), F.col("_p.v").alias("_v")).where(is_interesting("key") & (F.trim("_v") != ""))
     return rows.select(*K, "key", q(F.col("_v")).alias("value"), argument_group("key").alias("group"))

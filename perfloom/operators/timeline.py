@@ -208,10 +208,10 @@ def hot_functions(ev: DataFrame, K: Sequence[str] = K, top_n: int = 20, categori
 
 def downsample(df: DataFrame, K: Sequence[str], order: Sequence[str], keep: int = 500,
                split_rows: int | None = None) -> DataFrame:
-    """At most ``keep`` rows per key at an even step, as a report series."""
+    """At most ``keep`` rows per key at an even step over its whole range, as a report series."""
     out = KeyedSequence(df, K, order, split_rows).rank("_r").total("_n", "count", F.lit(1)).result()
-    step = F.expr(f"IF(_n > {keep}, _n div {keep}, 1L)")
-    return out.where((F.col("_r") - 1) % step == 0).where((F.col("_r") - 1) / step < keep).drop("_r", "_n")
+    step = F.ceil(F.col("_n") / keep)
+    return out.where((F.col("_r") - 1) % step == 0).drop("_r", "_n")
 
 
 def spikes(series: DataFrame, keys: Sequence[str]) -> DataFrame:

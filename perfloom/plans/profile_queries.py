@@ -96,17 +96,17 @@ def ab_contribution(s, d):
 
 def _diff_sql(key):
     return f"""
-, x AS (SELECT {key}, avg(stage) AS a FROM st WHERE cluster_id = 'A' AND row_id % 9 <> 0 GROUP BY 1), y AS (SELECT {key}, avg(stage) AS b FROM st WHERE cluster_id = 'R' AND row_id % 9 <> 0 GROUP BY 1),
+, x AS (SELECT {key}, avg(stage) AS a FROM st WHERE cluster_id = 'A' GROUP BY 1), y AS (SELECT {key}, avg(stage) AS b FROM st WHERE cluster_id = 'R' GROUP BY 1),
 j AS (SELECT coalesce(x.{key}, y.{key}) AS {key}, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM x FULL JOIN y ON x.{key} = y.{key})
 SELECT {key}, round(a, 4) AS a, round(b, 4) AS b, round(b - a, 4) AS diff, round(CASE WHEN a = 0 THEN 0 ELSE (b - a) / a * 100 END, 4) AS pct, CASE WHEN b > a THEN 'slower' WHEN b < a THEN 'faster' ELSE 'same' END AS trend FROM j"""
 
 
-@query("rank_diff", "st", _diff_sql("rank").replace(" AND row_id % 9 <> 0", ""))
+@query("rank_diff", "st", _diff_sql("rank"))
 def rank_diff(s, d):
     return tidy(CL.rank_diff(st(s, d), "A", "R"), 4)
 
 
-@query("step_diff", "st", _diff_sql("step").replace(" AND row_id % 9 <> 0", ""))
+@query("step_diff", "st", _diff_sql("step"))
 def step_diff(s, d):
     return tidy(CL.rank_diff(st(s, d), "A", "R", key="step"), 4)
 
@@ -229,9 +229,14 @@ def kernel_type_stats(s, d):
     return tidy(CL.kernel_type_stats(p, ["side"]), 4)
 
 
-@query("comm_ops", "pr", "SELECT side, kernel, sum(duration) AS total_dur, count(*) AS count FROM pr WHERE starts_with(kernel, 'hcom_') GROUP BY 1, 2")
+@query("comm_ops", "pr", "SELECT side, kernel, sum(duration) AS total_dur, count(*) AS count FROM pr WHERE starts_with(kernel, 'hcom_') OR line_no = 3 GROUP BY 1, 2")
 def comm_ops(s, d):
-    return CL.comm_ops(pr(s, d), ["side"], "kernel")
+    return CL.comm_ops(pr(s, d).withColumn("cat", F.when(F.col("line_no") == 3, "communication").otherwise("compute")), ["side"], "kernel")
+
+
+@query("copy_engine_totals", "pr", "SELECT side, count(*) AS count, sum(duration) AS total_dur FROM pr WHERE line_no = 5 GROUP BY 1")
+def copy_engine_totals(s, d):
+    return CL.copy_engine_totals(pr(s, d).withColumn("name", F.when(F.col("line_no") == 5, "SDMA").otherwise(F.col("kernel"))), ["side"])
 
 
 @query("api_by_level", "pr", """
@@ -251,10 +256,10 @@ def task_join_topk(s, d):
 
 
 @query("source_fill", "", """
-SELECT c_custkey AS key, 'db' AS origin, round(c_acctbal) AS value FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT o_custkey, 'csv', sum(round(o_totalprice)) FROM orders
-WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) GROUP BY 1""")
+SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS key, 'db' AS origin, round(c_acctbal) AS value FROM customer UNION ALL SELECT o_custkey, 'csv', sum(round(o_totalprice)) FROM orders
+WHERE o_custkey NOT IN (SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END FROM customer) GROUP BY 1""")
 def source_fill(s, d):
-    db = table(s, d, "customer").where("c_custkey % 3 <> 0").selectExpr("c_custkey AS key", "'db' AS origin", "round(c_acctbal) AS value")
+    db = table(s, d, "customer").selectExpr("CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS key", "'db' AS origin", "round(c_acctbal) AS value")
     csv = table(s, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.lit("csv").alias("origin"), F.sum(F.round("o_totalprice")).alias("value"))
     return CL.source_fill(db, csv, ["key"])
 
@@ -262,8 +267,8 @@ def source_fill(s, d):
 # ------------------------------------------------------------------ comparison
 
 _KC = """
-, b AS (SELECT kernel, shape, sum(duration) AS t, avg(duration) AS a, max(duration) AS mx, min(duration) AS mn, count(*) AS n FROM pr WHERE side = 'A' AND row_id % 5 <> 0 GROUP BY 1, 2),
-c AS (SELECT kernel, shape, sum(duration) AS t, avg(duration) AS a, max(duration) AS mx, min(duration) AS mn, count(*) AS n FROM pr WHERE side = 'R' AND line_no <> 7 GROUP BY 1, 2),
+, b AS (SELECT kernel, shape, sum(duration) AS t, avg(duration) AS a, max(duration) AS mx, min(duration) AS mn, count(*) AS n FROM pr WHERE side = 'A' GROUP BY 1, 2),
+c AS (SELECT kernel, shape, sum(duration) AS t, avg(duration) AS a, max(duration) AS mx, min(duration) AS mn, count(*) AS n FROM pr WHERE side <> 'A' GROUP BY 1, 2),
 kc AS (SELECT coalesce(b.kernel, c.kernel) AS kernel, coalesce(b.shape, c.shape) AS shape, coalesce(b.t, 0) AS base_total, coalesce(c.t, 0) AS comp_total, coalesce(b.a, 0) AS base_avg, coalesce(c.a, 0) AS comp_avg,
  coalesce(c.mx, 0) AS comp_max, coalesce(c.mn, 0) AS comp_min, coalesce(b.n, 0) AS base_calls, coalesce(c.n, 0) AS comp_calls, coalesce(c.t, 0) - coalesce(b.t, 0) AS diff_total,
  CASE WHEN coalesce(b.a, 0) = 0 AND coalesce(c.a, 0) = 0 THEN 1.0 WHEN coalesce(b.a, 0) = 0 THEN CAST('inf' AS DOUBLE) ELSE coalesce(c.a, 0) / b.a END AS ratio_avg,
@@ -273,8 +278,8 @@ kc AS (SELECT coalesce(b.kernel, c.kernel) AS kernel, coalesce(b.shape, c.shape)
 
 def kc(s, d):
     p = pr(s, d)
-    base = CP.profile(p.where("side = 'A' AND row_id % 5 <> 0"), ["kernel", "shape"])
-    comp = CP.profile(p.where("side = 'R' AND line_no <> 7"), ["kernel", "shape"])
+    base = CP.profile(p.where("side = 'A'"), ["kernel", "shape"])
+    comp = CP.profile(p.where("side <> 'A'"), ["kernel", "shape"])
     return CP.compare(base, comp, ["kernel", "shape"], ["total", "avg", "max", "min", "calls"])
 
 
@@ -521,9 +526,9 @@ def cell_flag_parse(s, d):
     return view(s, d, "ev_k").select("event_id", X.cell_flag(t).alias("flag"))
 
 
-@query("key_normalize", "", "SELECT p_partkey, replace(lower(p_name), ' ', '-') AS key FROM part")
+@query("key_normalize", "", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'sub/' ELSE '' END || replace(lower(p_name), ' ', '-') AS key FROM part")
 def key_normalize(s, d):
-    t = F.concat(F.lit(" Org/"), F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))))
+    t = F.concat(F.lit(" Org/"), F.when(F.col("p_partkey") % 3 == 0, "Sub/").otherwise(""), F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))))
     return table(s, d, "part").select("p_partkey", X.normal_key(t).alias("key"))
 
 
@@ -567,13 +572,13 @@ def section_stats(s, d):
 
 
 _CFG = """
-WITH a AS (SELECT c_custkey AS key, CAST(c_custkey % 4 AS STRING) AS value FROM customer WHERE c_custkey % 5 <> 0), b AS (SELECT c_custkey AS key, CAST(c_custkey % 3 AS STRING) AS value FROM customer WHERE c_custkey % 7 <> 0)"""
+WITH a AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS key, CAST(c_custkey % 4 AS STRING) AS value FROM customer), b AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN -c_custkey ELSE c_custkey END AS key, CAST(c_custkey % 3 AS STRING) AS value FROM customer)"""
 
 
 def _cfg(s, d):
     c = table(s, d, "customer")
-    return (c.where("c_custkey % 5 <> 0").selectExpr("c_custkey AS key", "CAST(c_custkey % 4 AS STRING) AS value"),
-            c.where("c_custkey % 7 <> 0").selectExpr("c_custkey AS key", "CAST(c_custkey % 3 AS STRING) AS value"))
+    return (c.selectExpr("CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS key", "CAST(c_custkey % 4 AS STRING) AS value"),
+            c.selectExpr("CASE WHEN c_custkey % 7 = 0 THEN -c_custkey ELSE c_custkey END AS key", "CAST(c_custkey % 3 AS STRING) AS value"))
 
 
 @query("config_diff", "", _CFG + """
@@ -604,7 +609,7 @@ def json_flatten(s, d):
     text = F.format_string('{"a": {"name": "%s", "list": [%d, {"x": "v%d"}]}, "empty": {}, "none": [], "nul": null, "ok": %s}',
                            "c_mktsegment", "c_nationkey", F.col("c_custkey") % 3, F.when(F.col("c_custkey") % 3 == 0, "true").otherwise("false"))
     docs = table(s, d, "customer").select(F.col("c_custkey").alias("dump_id"), F.parse_json(text).alias("doc"))
-    return CF.json_flatten(docs, "doc", ["dump_id"], max_depth=4)
+    return CF.json_flatten(docs, "doc", ["dump_id"])
 
 
 @query("args_flatten", "", """
@@ -613,7 +618,7 @@ SELECT event_id, 'outer' AS path, '{"k":' || k || '}' AS value FROM e UNION ALL
 def args_flatten(s, d):
     text = F.concat(F.lit('{"outer": '), F.col("props"), F.lit(', "plain": "x"}'))
     docs = table(s, d, "events").select("event_id", F.parse_json(text).alias("doc"))
-    return CF.json_flatten(docs, "doc", ["event_id"], max_depth=3, keep_parents=True)
+    return CF.json_flatten(docs, "doc", ["event_id"], keep_parents=True)
 
 
 @query("env_health", "", """
@@ -710,9 +715,9 @@ def log_format(s, d):
 
 @query("metric_transpose", "lg", _LM + """
 , r AS (SELECT *, row_number() OVER (PARTITION BY log_id, metric ORDER BY seq) AS k FROM lm)
-SELECT log_id, metric, max(value) FILTER (k = 1) AS v1, max(value) FILTER (k = 2) AS v2, max(value) FILTER (k = 3) AS v3, count(*) AS n FROM r GROUP BY 1, 2""")
+SELECT log_id, metric, k, value FROM r""")
 def metric_transpose(s, d):
-    return LG.transpose(LG.line_metrics(lg(s, d)), max_k=3)
+    return LG.transpose(LG.line_metrics(lg(s, d)))
 
 
 @query("first_seen_distinct", "lg", _LM + " SELECT log_id, value, min(seq) AS first_seq FROM lm WHERE metric = 'model_weight_memory' GROUP BY 1, 2")
@@ -722,13 +727,15 @@ def first_seen_distinct(s, d):
 
 @query("launch_args", "", """
 WITH e AS (SELECT 'u' || CAST(user_id AS STRING) AS log_id, arg_min(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT), event_id) AS k FROM events WHERE event_type = 'signup' GROUP BY 1)
-SELECT log_id, 'max_model_len' AS key, CAST(k * 1024 AS STRING) AS value, 'config' AS "group" FROM e UNION ALL SELECT log_id, 'quantization', 'w8a8', 'quantization' FROM e
-UNION ALL SELECT log_id, 'enable_expert_parallel', CASE WHEN k % 2 = 0 THEN 'True' ELSE 'False' END, 'parallel' FROM e UNION ALL SELECT log_id, 'speculative_config', '{''num_spec_tokens'': ' || CAST(k % 5 AS STRING) || ', ''method'': ''mtp''}', 'speculative' FROM e
+SELECT log_id, 'model' AS key, 'm' || CAST(k AS STRING) AS value, 'feature' AS "group" FROM e UNION ALL SELECT log_id, 'enable_list', '[1, [2, ' || CAST(k AS STRING) || ']]', 'feature' FROM e
+UNION ALL SELECT log_id, 'speculative_config.x.num_spec_tokens', '9', 'speculative' FROM e UNION ALL SELECT log_id, 'speculative_config.enable_deep', 'True', 'feature' FROM e
+UNION ALL SELECT log_id, 'max_model_len' AS key, CAST(k * 1024 AS STRING) AS value, 'config' AS "group" FROM e UNION ALL SELECT log_id, 'quantization', 'w8a8', 'quantization' FROM e
+UNION ALL SELECT log_id, 'enable_expert_parallel', CASE WHEN k % 2 = 0 THEN 'True' ELSE 'False' END, 'parallel' FROM e UNION ALL SELECT log_id, 'speculative_config', '{''num_spec_tokens'': ' || CAST(k % 5 AS STRING) || ', ''method'': ''mtp'', ''x'': {''num_spec_tokens'': 9}, ''enable_deep'': True}', 'speculative' FROM e
 UNION ALL SELECT log_id, 'speculative_config.num_spec_tokens', CAST(k % 5 AS STRING), 'speculative' FROM e""")
 def launch_args(s, d):
     e = view(s, d, "ev_k")
     line = F.expr("""CASE WHEN event_type = 'signup' THEN 'INFO non-default args: {''model'': ''m' || k || ''', ''max_model_len'': ' || (k * 1024) || ', ''quantization'': ''w8a8'', ''enable_expert_parallel'': '
-        || IF(k % 2 = 0, 'True', 'False') || ', ''speculative_config'': {''num_spec_tokens'': ' || (k % 5) || ', ''method'': ''mtp''}, ''seed'': ' || k || '}' ELSE 'INFO other line' END""")
+        || IF(k % 2 = 0, 'True', 'False') || ', ''speculative_config'': {''num_spec_tokens'': ' || (k % 5) || ', ''method'': ''mtp'', ''x'': {''num_spec_tokens'': 9}, ''enable_deep'': True}, ''enable_list'': [1, [2, ' || k || ']], ''config'': Config(level=3, x=(1, 2)), ''seed'': ' || k || '}' ELSE 'INFO other line' END""")
     lines = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("log_id"), F.col("event_id").alias("seq"), line.alias("value"))
     return LG.launch_args(lines)
 

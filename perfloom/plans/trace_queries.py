@@ -135,11 +135,13 @@ def host_events(s, d):
 
 @query("multi_source_merge", "tv", """
 SELECT trace_id, seq, ts, 'kernels' AS source, stream_id AS extra FROM tv WHERE cat = 'npu_kernel'
+UNION ALL SELECT trace_id, seq, ts, 'copies' AS source, bytes AS extra FROM tv WHERE device_id >= 0 AND cat <> 'npu_kernel'
 UNION ALL SELECT trace_id, seq, ts, 'host' AS source, NULL AS extra FROM tv WHERE device_id < 0""")
 def multi_source_merge(s, d):
     ev = tv(s, d)
     return EV.merge_sources(
         kernels=ev.where("cat = 'npu_kernel'").select("trace_id", "seq", "ts", F.col("stream_id").alias("extra")),
+        copies=ev.where("device_id >= 0 AND cat <> 'npu_kernel'").select("trace_id", "seq", "ts", F.col("bytes").alias("extra")),
         host=ev.where("device_id < 0").select("trace_id", "seq", "ts"))
 
 
@@ -162,9 +164,9 @@ def trace_metadata(s, d):
     return EV.trace_metadata(tv(s, d))
 
 
-@query("triage_stats", "tv", "SELECT trace_id, name, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT * FROM tv QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY seq) <= 1000) GROUP BY ALL")
+@query("triage_stats", "tv", "SELECT trace_id, name, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM tv GROUP BY ALL")
 def triage_stats(s, d):
-    return EV.triage_stats(tv(s, d), head=1000)
+    return EV.triage_stats(tv(s, d))
 
 
 @query("distinct_names", "tv", "SELECT DISTINCT trace_id, name FROM tv")
@@ -389,7 +391,7 @@ def spike_detect(s, d):
 
 @query("downsample", "tv", """
 , x AS (SELECT trace_id, seq, ts, row_number() OVER (PARTITION BY trace_id ORDER BY ts, seq) - 1 AS i, count(*) OVER (PARTITION BY trace_id) AS n FROM tv)
-SELECT trace_id, seq, ts FROM x WHERE i % greatest(n // 50, 1) = 0 AND i // greatest(n // 50, 1) < 50""")
+SELECT trace_id, seq, ts FROM x WHERE i % CAST(ceil(n / 50.0) AS BIGINT) = 0""")
 def downsample(s, d):
     return TL.downsample(tv(s, d).select("trace_id", "seq", "ts"), ["trace_id"], ["ts", "seq"], keep=50)
 

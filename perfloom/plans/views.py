@@ -60,18 +60,18 @@ VIEWS: dict[str, tuple[str, str, list[str]]] = {
         f"CASE WHEN {_K} % 3 = 0 THEN 'W' ELSE 'R' END AS rwbs",
     ] + _SWITCH),
     # begin/end marks
-    "be": ("events", "event_type IN ('click', 'view')", _EVENT_BASE + [
-        "'span' AS name", "CASE WHEN event_type = 'click' THEN 'B' ELSE 'E' END AS ph", "'python' AS cat"]),
+    "be": ("events", "true", _EVENT_BASE + [
+        "'span' AS name", "CASE WHEN event_type IN ('click', 'signup') THEN 'B' ELSE 'E' END AS ph", "'python' AS cat"]),
     # cluster step timings
     "st": ("lineitem", "true", [
-        "l_returnflag AS cluster_id", "l_suppkey % 16 AS rank", "CAST(year(l_shipdate) AS BIGINT) AS step",
+        "CASE l_returnflag WHEN 'A' THEN 'A' ELSE 'R' END AS cluster_id", "l_suppkey % 16 AS rank", "CAST(year(l_shipdate) AS BIGINT) AS step",
         "l_quantity * 1000 AS computing", "round(l_extendedprice) AS communication", "round(l_discount * 100000) AS free",
         "round(l_tax * 10000) AS overlapped",
         "l_quantity * 1000 + round(l_extendedprice) + round(l_discount * 100000) AS stage",
         "l_orderkey AS row_id"]),
     # communication records
     "cm": ("lineitem", "true", [
-        "l_returnflag AS cluster_id", "l_suppkey % 8 AS src", "l_partkey % 8 AS dst",
+        "CASE l_returnflag WHEN 'A' THEN 'A' ELSE 'R' END AS cluster_id", "l_suppkey % 8 AS src", "l_partkey % 8 AS dst",
         "CASE WHEN l_suppkey % 8 = l_partkey % 8 THEN 'LOCAL' WHEN l_linestatus = 'F' THEN 'HCCS' ELSE 'RDMA' END AS transport",
         "'hcom_op_' || CAST(l_linenumber AS STRING) AS op_name", "l_quantity AS bandwidth",
         "round(l_extendedprice) AS size", "round(l_extendedprice) AS elapsed", "l_quantity * 10 AS transit",
@@ -91,8 +91,8 @@ VIEWS: dict[str, tuple[str, str, list[str]]] = {
                  || CAST({_K} % 50 AS STRING) || '.0%, Prefix cache hit rate: 7.5%'
                  ELSE 'DEBUG nothing to see ' || CAST(event_id AS STRING) END END AS value"""]),
     # configuration entries of three dumps
-    "dp": ("customer", "c_nationkey < 3", [
-        "'n' || CAST(c_nationkey AS STRING) AS dump_id",
+    "dp": ("customer", "true", [
+        "'n' || CAST(c_nationkey % 3 AS STRING) AS dump_id",
         "CASE c_mktsegment WHEN 'BUILDING' THEN 'system' WHEN 'AUTOMOBILE' THEN 'env' WHEN 'MACHINERY' THEN 'user config' "
         "WHEN 'HOUSEHOLD' THEN 'ping' ELSE '_meta' END || '.k' || CAST(c_custkey % 11 AS STRING) AS path",
         "CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST(c_custkey % 3 AS STRING) END AS value"]),
@@ -143,9 +143,9 @@ def _profile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(part, li.l_partkey == part.p_partkey).selectExpr(*_PROFILE)
 
 
-# Kernel calls of three sides.
+# Kernel calls of two sides.
 _PROFILE = [
-    "l_returnflag AS side", "CASE WHEN p_size % 10 = 0 THEN 'hcom_' || p_brand ELSE p_brand END AS kernel",
+    "CASE l_returnflag WHEN 'A' THEN 'A' ELSE 'R' END AS side", "CASE WHEN p_size % 10 = 0 THEN 'hcom_' || p_brand ELSE p_brand END AS kernel",
     "CASE WHEN p_size % 7 = 0 THEN '' ELSE CAST(p_size % 5 AS STRING) || ',' || CAST(p_size % 3 AS STRING) || ';' || CAST(p_size % 4 AS STRING) || ',x' END AS shape",
     "round(l_extendedprice) AS duration", "p_type AS kernel_type", "'core' || CAST(l_linenumber % 2 AS STRING) AS core_type",
     "'L' || CAST(l_linenumber % 3 AS STRING) AS level", "l_orderkey AS row_id", "CAST(l_linenumber AS BIGINT) AS line_no"]

@@ -73,6 +73,9 @@ def glob_regex(pattern: str) -> str:
     return re.escape(pattern).replace(r"\*\*/", "(.*/)?").replace(r"\*", "[^/]*") + "$"
 
 
+BINARY_FILES = r"\.(tar(\.[a-z0-9]+)?|t?gz|zip|bz2|xz|zst|7z|db|sqlite3?|bin|pcap|core)(\.\d+)?$"
+
+
 def log_domains(path: Column, domains: dict[str, list[str]] = NODE_DOMAINS) -> Column:
     """Array of the domains whose patterns a path matches; checksum and backup files match none."""
     hits = [F.when(path.rlike("|".join("^" + glob_regex(p) for p in ps)), d) for d, ps in domains.items()]
@@ -80,11 +83,17 @@ def log_domains(path: Column, domains: dict[str, list[str]] = NODE_DOMAINS) -> C
     return F.when(ignored, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*hits)))
 
 
-def node_logs(spark: SparkSession, path: str, domain: str | None = None, cap: int = 200_000) -> DataFrame:
-    """``file_path, domain, text`` of a node dump tree; text is cut at ``cap`` characters like the original feature."""
-    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    tagged = raw.select(F.col("_metadata.file_path").alias("file_path"), F.substring("value", 1, cap).alias("text"))
-    out = tagged.select("file_path", F.explode(log_domains(F.col("file_path"))).alias("domain"), "text")
+def node_logs(spark: SparkSession, path: str, domain: str | None = None) -> DataFrame:
+    """``file_path, domain, seq, value``: the lines of a node dump tree; archives and database files are no text and left out.
+
+    Files are read in splits, so ``seq`` (place of the split, then of the line in it) orders a file's lines without one task
+    holding the file.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_at"), "value").withColumn(
+        "_row", F.monotonically_increasing_id())
+    kept = lines.where(~F.lower("file_path").rlike(BINARY_FILES))
+    out = kept.select("file_path", F.explode(log_domains(F.col("file_path"))).alias("domain"), F.struct("_at", "_row").alias("seq"), "value")
     return out.where(F.col("domain") == domain) if domain else out
 
 
@@ -98,7 +107,11 @@ def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in pdf["path"]:
             filesystem, inner = fs.FileSystem.from_uri(p)
             with filesystem.open_input_stream(inner) as f:
-                heads.append(f.read(4096))
+                head = f.read(4096)
+                # a long comment header hides the first line that tells the format
+                while head.lstrip()[:1] == b"#" and all(x.lstrip()[:1] in (b"#", b"") for x in head.split(b"\n")) and (more := f.read(65_536)):
+                    head += more
+                heads.append(head)
         yield pdf.assign(head=heads)
 
 
@@ -125,17 +138,14 @@ def classify_head(head: Column, path: Column) -> Column:
 
 
 def trace_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """``file_path, file_size, format, strategy`` of a landing tree.
+    """``file_path, file_size, format`` of a landing tree.
 
-    The listing reads no contents; tasks then read the first 4 KB of each file.
+    The listing reads no contents; tasks then read each file up to its first line that is no comment.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     heads = listing.mapInPandas(_heads, "path string, length bigint, head binary")
-    mb = F.col("length") / F.lit(1 << 20)
-    strategy = F.when(mb < 10, "full").when(mb < 100, "stream_filter").when(mb < 500, "window_100ms").when(
-        mb < 1024, "window_1s").otherwise("window_sample")
     return heads.select(F.col("path").alias("file_path"), F.col("length").alias("file_size"),
-                        classify_head(F.col("head"), F.col("path")).alias("format"), strategy.alias("strategy"))
+                        classify_head(F.col("head"), F.col("path")).alias("format"))
 
 
 # ---------------------------------------------------------------- sinks

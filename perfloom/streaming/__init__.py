@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from perfloom.operators.events import K
 from perfloom.operators.timeline import _summary_aggs, device_kernels
-from perfloom.sources.files import file_id
+from perfloom.sources.files import _LOW33, file_id
 
 
 def shared_dir(spark: SparkSession, name: str, fallback: str | None = None) -> str:
@@ -40,10 +40,11 @@ def tail_parquet(spark: SparkSession, path: str, schema: T.StructType, files_per
 
 
 def tail_lines(spark: SparkSession, path: str, id_col: str = "log_id") -> DataFrame:
-    """Lines of files as they arrive: ``id_col, seq, value``; ``seq`` is the file's arrival time in microseconds."""
+    """Lines of files as they arrive: ``id_col, seq, value``; ``seq`` is the split's byte offset plus the row in it, so it
+    follows the order of lines in a file."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))
     return spark.readStream.text(path).select(
-        file_id(F.col("_metadata.file_path")).alias(id_col),
-        F.unix_micros("_metadata.file_modification_time").alias("seq"), "value")
+        file_id(F.col("_metadata.file_path")).alias(id_col), (F.col("_metadata.file_block_start") + row).alias("seq"), "value")
 
 
 def with_event_time(stream: DataFrame, delay: str = "10 seconds", ts: str = "ts") -> DataFrame:

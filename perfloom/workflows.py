@@ -14,7 +14,7 @@ from perfloom.operators.events import K, typed_args
 
 
 def analyze(ev: DataFrame, K: Sequence[str] = K, min_gap_us: int = 100, significant_us: int = 1000,
-            max_offset_us: int | None = 5000, window_us: int = 1_000_000, strict: bool = False) -> dict[str, DataFrame]:
+            max_offset_us: int | None = None, window_us: int = 1_000_000, strict: bool = False) -> dict[str, DataFrame]:
     """Events -> host metrics, idle gaps, attribution, correlation, weighted rules, verdict.
 
     Nothing runs until a frame is written.  Read ``ev`` from the event table rather than from raw text, so that each branch
@@ -30,9 +30,10 @@ def analyze(ev: DataFrame, K: Sequence[str] = K, min_gap_us: int = 100, signific
     spikes = None if strict else ME.series_spikes(ev, K, window_us)
     features = RU.feature_row(scalars, share, corr, K, spikes)
     evaluated = RU.weighted_rules(features, K=K, strict=strict)
+    pareto = TL.pareto(all_gaps.where(f"gap_dur >= {min_gap_us}"), K, "gap_dur", ties=["gap_start", "device_id", "stream_id"])
     return {
         "scalars": scalars, "gap_stats": TL.gap_stats(ev, all_gaps, K, significant_us), "gaps": gaps,
-        "top_gaps": TL.pareto(all_gaps.where(f"gap_dur >= {min_gap_us}"), K, "gap_dur", ties=["gap_start", "device_id", "stream_id"], top_n=20),
+        "pareto_gaps": pareto, "top_gaps": pareto.where("rank <= 20"),
         "gap_histogram": TL.gap_histogram(all_gaps, K), "attributed_gaps": attributed, "attribution": share, "correlation": corr,
         "critical_path": CO.critical_path(gaps, ev, K, max_offset_us=max_offset_us), "hot_functions": TL.hot_functions(ev, K),
         "features": features, "rules": evaluated, "diagnosis": RU.diagnose(evaluated, features, K),
