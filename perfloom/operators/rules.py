@@ -214,6 +214,16 @@ def boolean_rules(metrics: DataFrame, rules: Sequence[dict] | None = None, K: Se
         *K, "rule_id", "category", "severity", "matched", "margin", "evidence_json", "diagnosis")
 
 
+def advice(evaluated: DataFrame, K: Sequence[str] = K, table: Sequence[dict] | None = None) -> DataFrame:
+    """(rule_id, position, suggestion, hint) of the rules that hold, in the order the rule lists them."""
+    if table is None:
+        table = json.loads((RESOURCES / "rules_advice.json").read_text(encoding="utf-8"))
+    texts = F.create_map(*[F.lit(x) for r in table for x in (r["rule_id"], r["suggestions"])])
+    hints = F.create_map(*[F.lit(x) for r in table for x in (r["rule_id"], r.get("hint"))])
+    hit = evaluated.where("matched")
+    return hit.select(*K, "rule_id", hints[F.col("rule_id")].alias("hint"), F.posexplode(texts[F.col("rule_id")]).alias("position", "suggestion"))
+
+
 def near_misses(evaluated: DataFrame, within: float = 0.1) -> DataFrame:
     return evaluated.where(~F.col("matched") & (F.col("margin") < within))
 

@@ -104,6 +104,18 @@ def boolean_rules(s, d):
     return RU.boolean_rules(rec(s, d)).select("trace_id", "rule_id", "category", "severity", "matched")
 
 
+# Written out: how many suggestions each rule has, and whether it has a hint.
+_ADVICE = """, ad(rule_id, n, hinted) AS (VALUES ('CPU001', 4, true), ('CPU002', 3, true), ('CPU003', 4, false), ('CPU004', 4, true), ('CPU005', 3, false),
+ ('HN001', 5, true), ('HN002', 4, false), ('HN003', 5, false), ('HN004', 5, true), ('HN005', 5, true), ('HN006', 5, true), ('HN007', 5, false), ('HN008', 4, false), ('IO001', 5, true), ('IO002', 5, false), ('IO003', 4, false), ('IO004', 3, false), ('MEM001', 5, true), ('MEM002', 4, false), ('MEM003', 4, false), ('MEM004', 4, false),
+ ('NUMA001', 4, true), ('NUMA002', 4, false), ('NUMA003', 2, false), ('RT001', 4, true), ('RT002', 6, true), ('RT003', 4, false), ('RT004', 4, true), ('SCHED001', 4, true), ('SCHED002', 3, false), ('SCHED003', 4, false), ('SCHED004', 3, false), ('SCHED005', 3, false))"""
+
+
+@query("rule_advice", "rec", _BR + _ADVICE + " SELECT trace_id, rule_id, unnest(range(n)) AS position, hinted FROM br JOIN ad USING (rule_id) WHERE matched")
+def rule_advice(s, d):
+    rows = RU.advice(RU.boolean_rules(rec(s, d)))
+    return rows.select("trace_id", "rule_id", F.col("position").cast("long").alias("position"), F.col("hint").isNotNull().alias("hinted"))
+
+
 @query("rule_margin", "rec", _BR + " SELECT trace_id, rule_id, round(margin, 6) AS margin FROM br WHERE NOT matched AND margin < 0.1")
 def rule_margin(s, d):
     return tidy(RU.near_misses(RU.boolean_rules(rec(s, d))).select("trace_id", "rule_id", "margin"))

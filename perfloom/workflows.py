@@ -51,5 +51,5 @@ def analyze_lines(ev: DataFrame, K: Sequence[str] = K, window_us: int = 100_000,
     return {
         "windows": TL.window_summary(ev, K, window_us), "record": record, "rules": evaluated,
         "ordered": RU.order_rules(evaluated, K), "near_misses": RU.near_misses(evaluated),
-        "evidence": RU.rule_evidence(record, K=K), "causes": RU.causal_patterns(record, K),
+        "evidence": RU.rule_evidence(record, K=K), "advice": RU.advice(evaluated, K), "causes": RU.causal_patterns(record, K),
     }
