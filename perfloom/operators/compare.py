@@ -161,6 +161,14 @@ def dimension_share(metrics: DataFrame, K: Sequence[str] = ()) -> DataFrame:
                       share.alias("contribution_pct"), trend.alias("trend"))
 
 
+def primary_dimensions(shares: DataFrame, K: Sequence[str] = ()) -> DataFrame:
+    """The dimension that improved most and the one that degraded most; null where none did."""
+    d = F.col("diff_duration")
+    return shares.groupBy(*K).agg(
+        F.min_by(F.when(d < 0, F.col("dimension")), F.when(d < 0, F.struct(d, F.col("dimension")))).alias("primary_improved"),
+        F.min_by(F.when(d > 0, F.col("dimension")), F.when(d > 0, F.struct(-d, F.col("dimension")))).alias("primary_degraded"))
+
+
 def sub_metrics(metrics: DataFrame, index: str = "index") -> DataFrame:
     """Rows indented by exactly one tab."""
     return metrics.where(F.col(index).rlike(r"^\t[^\t]")).withColumn(index, F.trim(F.regexp_replace(index, "^\t", "")))
@@ -212,3 +220,9 @@ def module_compare(stat: DataFrame, detail: DataFrame, top_n: int = 10) -> DataF
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("diff_total"), "module")    # at most top_n rows
     ranked = top.select("module", F.row_number().over(w).cast("long").alias("module_rank"), "diff_total")
     return detail.join(ranked.drop("diff_total"), "module")
+
+
+def degraded_with_stack(rows: DataFrame, top_n: int = 5, order: Sequence[str] = ("module_rank", "seq")) -> DataFrame:
+    """The first slower module rows that have a call stack on either side."""
+    has = (F.coalesce(F.trim("base_call_stack"), F.lit("")) != "") | (F.coalesce(F.trim("comp_call_stack"), F.lit("")) != "")
+    return rows.where((F.col("diff_self_time") > 0) & has).orderBy(*order).limit(top_n)

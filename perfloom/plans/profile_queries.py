@@ -439,15 +439,35 @@ SELECT kernel_type, dimension, b AS base_duration, c AS comp_duration, c - b AS
  CASE WHEN c > b THEN 'degraded' WHEN c < b THEN 'improved' ELSE 'flat' END AS trend FROM m"""
 
 
-@query("dimension_share", "pr", _DIM)
-def dimension_share(s, d):
+def _shares(s, d):
     label = F.when(F.col("level") == "L0", "Computing Time").when(F.col("level") == "L1", "\tUncovered Communication Time").otherwise("Free Time")
     m = pr(s, d).groupBy("kernel_type", "level").agg(
         F.coalesce(F.sum(F.when(F.col("side") == "A", F.col("duration"))), F.lit(0.0)).alias("base_duration"),
         F.coalesce(F.sum(F.when(F.col("side") == "R", F.col("duration"))), F.lit(0.0)).alias("comp_duration"))
     m = m.select("kernel_type", label.alias("index"), F.col("level").alias("seq"), "base_duration", "comp_duration",
                  (F.col("comp_duration") - F.col("base_duration")).alias("diff_duration"))
-    return tidy(CP.dimension_share(m, ["kernel_type"]), 4)
+    return CP.dimension_share(m, ["kernel_type"])
+
+
+@query("dimension_share", "pr", _DIM)
+def dimension_share(s, d):
+    return tidy(_shares(s, d), 4)
+
+
+@query("primary_dimensions", "pr", ", q AS (SELECT * FROM (" + _DIM.strip().lstrip(",").replace("m AS (", "WITH m AS (", 1) + """))
+SELECT kernel_type, arg_min(dimension, (diff_duration, dimension)) FILTER (diff_duration < 0) AS primary_improved, arg_min(dimension, (-diff_duration, dimension)) FILTER (diff_duration > 0) AS primary_degraded FROM q GROUP BY 1""")
+def primary_dimensions(s, d):
+    return CP.primary_dimensions(_shares(s, d), ["kernel_type"])
+
+
+@query("degraded_with_stack", "", """
+SELECT l_orderkey AS module_rank, CAST(l_linenumber AS BIGINT) AS seq, CAST(round(l_extendedprice) - 50000 AS BIGINT) AS diff_self_time FROM lineitem
+WHERE round(l_extendedprice) > 50000 AND (l_linestatus <> 'O' OR l_returnflag = 'A') ORDER BY 1, 2 LIMIT 5""")
+def degraded_with_stack(s, d):
+    rows = table(s, d, "lineitem").selectExpr(
+        "l_orderkey AS module_rank", "CAST(l_linenumber AS BIGINT) AS seq", "CAST(round(l_extendedprice) - 50000 AS BIGINT) AS diff_self_time",
+        "CASE WHEN l_linestatus = 'O' THEN '  ' ELSE l_linestatus END AS base_call_stack", "CASE WHEN l_returnflag = 'A' THEN 'f > g' END AS comp_call_stack")
+    return CP.degraded_with_stack(rows).select("module_rank", "seq", "diff_self_time")
 
 
 @query("row_kind", "", """

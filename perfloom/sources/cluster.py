@@ -41,8 +41,11 @@ def step_csv(spark: SparkSession, path: str) -> DataFrame:
     return canonical_steps(df, F.col("_file")).drop("_file")
 
 
-def step_table(spark: SparkSession, path: str, fmt: str = "parquet", cluster_id: str = "cluster") -> DataFrame:
-    return canonical_steps(spark.read.option("header", True).format(fmt).load(path), F.lit(cluster_id))
+def step_table(spark: SparkSession, path: str, fmt: str = "parquet", cluster_id: str | None = None) -> DataFrame:
+    """Step rows of database exports, each file a cluster unless ``cluster_id`` names one for all."""
+    df = spark.read.option("header", True).format(fmt).load(path)
+    df = df.withColumn("_file", file_id(F.col("_metadata.file_path")) if cluster_id is None else F.lit(cluster_id))
+    return canonical_steps(df, F.col("_file")).drop("_file")
 
 
 def _documents(spark: SparkSession, path: str, schema: str, col: str = "doc") -> DataFrame:

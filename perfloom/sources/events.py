@@ -139,7 +139,11 @@ def perf_script(spark: SparkSession, path: str) -> DataFrame:
     Blank lines are the record separator, so files split between samples; a record is then cut at its headers.
     """
     crlf = not spark.read.option("lineSep", "\n").text(path).limit(100).where(F.col("value").endswith("\r")).isEmpty()
-    blocks = numbered_lines(spark, path, line_sep="\r\n\r\n" if crlf else "\n\n").withColumn("l", F.split("value", r"\r?\n"))
+    return _perf_events(numbered_lines(spark, path, line_sep="\r\n\r\n" if crlf else "\n\n"))
+
+
+def _perf_events(records: DataFrame) -> DataFrame:
+    blocks = records.withColumn("l", F.split("value", r"\r?\n"))
     heads = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: F.element_at("l", i).rlike(_HEAD))
     blocks = blocks.withColumn("h", heads).where(F.size("h") > 0)
     samples = F.transform("h", lambda i: F.struct(
@@ -163,8 +167,10 @@ def perf_script(spark: SparkSession, path: str) -> DataFrame:
 
 def perf_lines(spark: SparkSession, path: str) -> DataFrame:
     """One-line variant ``comm pid/tid [cpu] sec: subsystem:event: text``; other lines are read as ftrace."""
-    lines = numbered_lines(spark, path)
+    return _perf_line_events(numbered_lines(spark, path))
+
 
+def _perf_line_events(lines: DataFrame) -> DataFrame:
     def x(i):
         return F.regexp_extract("value", _ONE_LINE, i)
 
@@ -178,8 +184,11 @@ def perf_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def jsonl_events(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object per line; ``name`` or ``type``, ``ts`` or ``timestamp``.  Lines that do not parse are dropped."""
-    lines = numbered_lines(spark, path).where(F.trim("value").startswith("{"))
-    e = lines.select("trace_id", "seq", F.try_parse_json(F.trim("value")).alias("e")).where("e is not null")
+    return _jsonl_events(numbered_lines(spark, path))
+
+
+def _jsonl_events(lines: DataFrame) -> DataFrame:
+    e = lines.where(F.trim("value").startswith("{")).select("trace_id", "seq", F.try_parse_json(F.trim("value")).alias("e")).where("e is not null")
 
     def t(n):
         return F.try_variant_get("e", f"$.{n}", "string")
@@ -245,10 +254,11 @@ def operator_csv(spark: SparkSession, path: str) -> DataFrame:
     return table_events(df, F.col("_file"), F.col("_seq"))
 
 
-def kernel_table(spark: SparkSession, path: str, fmt: str = "parquet", trace_id: str = "kernels") -> DataFrame:
-    """Kernel rows of a database export; process ids are not read."""
-    df = spark.read.option("header", True).format(fmt).load(path).withColumn("_seq", F.monotonically_increasing_id())
-    return table_events(df, F.lit(trace_id), F.col("_seq"), process_ids=False)
+def kernel_table(spark: SparkSession, path: str, fmt: str = "parquet", trace_id: str | None = None) -> DataFrame:
+    """Kernel rows of database exports, each file a trace unless ``trace_id`` names one for all; process ids are not read."""
+    df = spark.read.option("header", True).format(fmt).load(path).withColumns(
+        {"_file": file_id(F.col("_metadata.file_path")) if trace_id is None else F.lit(trace_id), "_seq": F.monotonically_increasing_id()})
+    return table_events(df, F.col("_file"), F.col("_seq"), process_ids=False)
 
 
 def step_events(steps: DataFrame, keys: Sequence[str] = ("trace_id",)) -> DataFrame:
