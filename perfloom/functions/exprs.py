@@ -240,6 +240,19 @@ def normal_key(text: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(_c(text))), "_", "-"), "^[^/]*/", "")
 
 
+# Spellings of number formats -> the one the tables use.
+PRECISION_ALIASES = {
+    "bf16": "bf16", "bfloat16": "bf16", "fp16": "bf16", "w8a8": "w8a8", "w8a8c16": "w8a8", "w8a8c8": "w8a8",
+    "w4a8": "w4a8", "w4a8c16": "w4a8", "w4a8c8": "w4a8",
+}
+
+
+def precision_key(text: str | Column, aliases: Mapping[str, str] = PRECISION_ALIASES) -> Column:
+    """Letters and digits in lower case, known spellings as one."""
+    key = F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), "[^a-z0-9]", "")
+    return F.coalesce(lookup(key, aliases), key)
+
+
 def scenario_tag(concurrency: str | Column, total_len: str | Column, high: int = 16, long: int = 65536) -> Column:
     return F.concat_ws(
         "+",

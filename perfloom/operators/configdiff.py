@@ -124,7 +124,8 @@ SYSTEM_CHECKS = (
     ("system.page_size", "^4096$", "notice"),
 )
 # Variables whose absence is reported, and name endings that look like secrets.
-CRITICAL_VARS = ("LD_LIBRARY_PATH", "HCCL_BUFFSIZE", "TASK_QUEUE_ENABLE", "RANK_TABLE_FILE", "OMP_NUM_THREADS")
+CRITICAL_VARS = ("LD_LIBRARY_PATH", "ATB_HOME_PATH", "ATB_SPEED_HOME_PATH", "HCCL_BUFFSIZE", "TASK_QUEUE_ENABLE", "RANK_TABLE_FILE",
+                 "OMP_NUM_THREADS", "PYTORCH_NPU_ALLOC_CONF")
 SECRET_NAME = r"(_API_KEY|_SECRET|_TOKEN|_PASSWORD)$"
 OPTIONAL_SECTIONS = ("mies config", "user config", "model config", "weight", "ping", "hccl", "link", "vnic", "tls")
 NETWORK_CHECKS = (("ping", r"(^|[^0-9])0% packet loss"), ("link", "link status: UP"), ("hccl", "3 received"),
@@ -136,38 +137,37 @@ def env_health(paths: DataFrame, K: Sequence[str] = ("dump_id",), system_checks=
                sections: Sequence[str] = OPTIONAL_SECTIONS, env_prefix: str = "env.") -> DataFrame:
     """Findings per dump: (check, subject, status, value).
 
-    Fixed questions are conditional aggregates over one pass per dump; open ones (secret-looking names, failing network
-    text, release candidates) are plain filters.
+    One pass and one shuffle: fixed questions are conditional aggregates per dump, open ones (secret-looking names, failing
+    network text, release candidates) are tested on each row and gathered with them, as few rows fail one.
     """
     p, v = F.col("path"), F.lower("value")
     asks = {f"_c{i}": F.max(F.when(p == path, v)) for i, (path, _, _) in enumerate(system_checks)}
     asks |= {f"_v{i}": F.bool_or(p == env_prefix + name) for i, name in enumerate(critical_vars)}
     asks |= {f"_s{i}": F.bool_or(X.path_section("path") == s) for i, s in enumerate(sections)}
+    none = F.lit(None).cast("string")
+
+    def found(test, check, status):
+        return F.when(test, F.struct(F.lit(check).alias("check"), p.alias("subject"), F.lit(status).alias("status"), none.alias("value")))
+
+    version = p.endswith(".version")
+    tests = [found(p.startswith(env_prefix) & p.rlike(SECRET_NAME), "secret_name", "problem"),
+             found(version & v.rlike("rc[0-9]"), "release_candidate", "notice"),
+             found(version & (F.coalesce(v, F.lit("")) == ""), "version", "missing")]
+    tests += [found((X.path_section("path") == s) & ~F.coalesce(F.col("value"), F.lit("")).rlike(good), f"network_{s}", "problem")
+              for s, good in network_checks]
+    failed = F.array_compact(F.array(*tests))
+    asks["_open"] = F.flatten(F.collect_list(F.when(F.size(failed) > 0, failed)))
     one = paths.groupBy(*K).agg(*[c.alias(n) for n, c in asks.items()])
 
     def row(check, subject, status, value):
         return F.struct(F.lit(check).alias("check"), F.lit(subject).alias("subject"), status.alias("status"),
                         value.alias("value"))
 
-    none = F.lit(None).cast("string")
     rows = [row("system", path, F.when(F.col(f"_c{i}").isNull(), "missing").when(F.col(f"_c{i}").rlike(good), "ok").otherwise(bad),
                 F.col(f"_c{i}")) for i, (path, good, bad) in enumerate(system_checks)]
     rows += [row("variable", n, F.when(F.col(f"_v{i}"), "ok").otherwise("missing"), none) for i, n in enumerate(critical_vars)]
     rows += [row("section", s, F.when(F.col(f"_s{i}"), "ok").otherwise("missing"), none) for i, s in enumerate(sections)]
-    fixed = one.select(*K, F.inline(F.array(*rows))).where("status <> 'ok'")
-
-    def found(test, check, status):
-        return paths.where(test).select(*K, F.lit(check).alias("check"), p.alias("subject"), F.lit(status).alias("status"),
-                                        F.lit(None).cast("string").alias("value"))
-
-    secret = found(p.startswith(env_prefix) & p.rlike(SECRET_NAME), "secret_name", "problem")
-    candidate = found(p.endswith(".version") & v.rlike("rc[0-9]"), "release_candidate", "notice")
-    unversioned = found(p.endswith(".version") & (F.coalesce(v, F.lit("")) == ""), "version", "missing")
-    bad_net = None
-    for s, good in network_checks:
-        one_net = found((X.path_section("path") == s) & ~F.coalesce(F.col("value"), F.lit("")).rlike(good), f"network_{s}", "problem")
-        bad_net = one_net if bad_net is None else bad_net.unionByName(one_net)
-    return fixed.unionByName(secret).unionByName(candidate).unionByName(unversioned).unionByName(bad_net)
+    return one.select(*K, F.inline(F.concat(F.array(*rows), "_open"))).where("status <> 'ok'")
 
 
 def component_consistency(paths: DataFrame, left: str, right: str, K: Sequence[str] = ("dump_id",)) -> DataFrame:

@@ -552,6 +552,13 @@ def key_normalize(s, d):
     return table(s, d, "part").select("p_partkey", X.normal_key(t).alias("key"))
 
 
+@query("precision_key", "", """
+SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'bf16' WHEN 1 THEN 'w8a8' WHEN 2 THEN 'w4a8' WHEN 3 THEN 'bf16' ELSE 'int' || CAST(p_size AS STRING) END AS key FROM part""")
+def precision_key(s, d):
+    t = F.expr("CASE p_size % 5 WHEN 0 THEN 'BFloat-16' WHEN 1 THEN 'W8A8_C16' WHEN 2 THEN 'w4a8c8' WHEN 3 THEN ' FP16' ELSE 'INT-' || p_size END")
+    return table(s, d, "part").select("p_partkey", X.precision_key(t).alias("key"))
+
+
 @query("key_interest", "ev_k", """
 SELECT event_id, k % 5 IN (0, 1, 2, 3) AS kept FROM ev_k""")
 def key_interest(s, d):
@@ -650,7 +657,7 @@ d AS (SELECT DISTINCT dump_id FROM f),
 sc(path, good, bad) AS (VALUES ('system.high_performance', 'true', 'problem'), ('system.virtual_machine', 'false', 'notice'), ('system.transparent_hugepage', 'always', 'warning'), ('system.overcommit_memory', '0', 'problem'), ('system.page_size', '4096', 'notice')),
 mx AS (SELECT dump_id, path, max(lower(value)) AS v FROM f GROUP BY 1, 2),
 s1 AS (SELECT d.dump_id, 'system' AS "check", sc.path AS subject, CASE WHEN v IS NULL THEN 'missing' WHEN v = good THEN 'ok' ELSE bad END AS status, v AS value FROM d CROSS JOIN sc LEFT JOIN mx ON mx.dump_id = d.dump_id AND mx.path = sc.path),
-vr AS (SELECT d.dump_id, 'variable' AS c, n AS subject, 'missing' AS status, CAST(NULL AS STRING) AS value FROM d CROSS JOIN (SELECT unnest(['LD_LIBRARY_PATH', 'HCCL_BUFFSIZE', 'TASK_QUEUE_ENABLE', 'RANK_TABLE_FILE', 'OMP_NUM_THREADS']) AS n) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.dump_id = d.dump_id AND f.path = 'env.' || n)),
+vr AS (SELECT d.dump_id, 'variable' AS c, n AS subject, 'missing' AS status, CAST(NULL AS STRING) AS value FROM d CROSS JOIN (SELECT unnest(['LD_LIBRARY_PATH', 'ATB_HOME_PATH', 'ATB_SPEED_HOME_PATH', 'HCCL_BUFFSIZE', 'TASK_QUEUE_ENABLE', 'RANK_TABLE_FILE', 'OMP_NUM_THREADS', 'PYTORCH_NPU_ALLOC_CONF']) AS n) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.dump_id = d.dump_id AND f.path = 'env.' || n)),
 se AS (SELECT d.dump_id, 'section' AS c, n AS subject, 'missing' AS status, CAST(NULL AS STRING) AS value FROM d CROSS JOIN (SELECT unnest(['mies config', 'user config', 'model config', 'weight', 'ping', 'hccl', 'link', 'vnic', 'tls']) AS n) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.dump_id = d.dump_id AND split_part(f.path, '.', 1) = n))
 SELECT * FROM s1 WHERE status <> 'ok' UNION ALL SELECT * FROM vr UNION ALL SELECT * FROM se
 UNION ALL SELECT dump_id, 'secret_name', path, 'problem', NULL FROM f WHERE path = 'env.MY_API_KEY' UNION ALL SELECT dump_id, 'release_candidate', path, 'notice', NULL FROM f WHERE path LIKE '%.version' AND value LIKE '%RC1'
