@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from perfloom import streaming as SM
@@ -11,50 +9,47 @@ from perfloom.operators import logs as LG
 from perfloom.plans.registry import query, tidy
 from perfloom.plans.trace_queries import _GAPS, _LAT, _SUMMARY, HOUR
 from perfloom.plans.views import VIEWS
-
-_DELAY_US = HOUR
+from perfloom.shared import shared_dir as new_folder
 
 
-def _stream(s, d, name):
+def _stream(s, d, name, timed=False):
     table, where, exprs = VIEWS[name]
     # a glob, as the file stream source takes a plain path for a folder; it matches the file or a folder of that name
     path = f"{d}/{table[:-1]}[{table[-1]}].parquet"
-    raw = SM.tail_parquet(s, path, s.read.parquet(f"{d}/{table}.parquet").schema)
+    rows = s.read.parquet(f"{d}/{table}.parquet")
+    raw = SM.tail_parquet(s, path, rows.schema)
+    if timed:
+        raw = SM.closed(raw, rows, "event_type")
     return raw.where(where).selectExpr(*[e.format(us="unix_micros(CAST(ts AS TIMESTAMP))") if "{us}" in e else e for e in exprs])
 
 
 def _timed(s, d, name):
-    return SM.with_event_time(_stream(s, d, name), "1 hour")
+    return SM.with_event_time(_stream(s, d, name, timed=True), "1 hour")
 
 
 def _drain(stream, name):
-    configured = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
-    return SM.drain(stream, name, None if configured else tempfile.mkdtemp(prefix="spark-"))
-
-
-# The optimizer filters below the watermark, so it follows the rows the operator keeps.
-_MARK = ", mk AS (SELECT max(ts) // 1000 * 1000 - {0} AS wm FROM {1})"
+    return SM.drain(stream, name, new_folder(stream.sparkSession))
 
 
-@query("stream_window_summary", "lt", _MARK.format(_DELAY_US, "lt") + f"""
-SELECT trace_id, ts // {HOUR} * {HOUR} AS window_start, {_SUMMARY} FROM lt GROUP BY 1, 2 HAVING window_start + {HOUR} <= (SELECT wm FROM mk)""")
+@query("stream_window_summary", "lt", f"""
+SELECT trace_id, ts // {HOUR} * {HOUR} AS window_start, {_SUMMARY} FROM lt GROUP BY 1, 2""")
 def stream_window_summary(s, d):
     return _drain(SM.tumbling_summary(_timed(s, d, "lt"), window_us=HOUR), "stream_window_summary")
 
 
-@query("stream_sliding_util", "tv", _MARK.format(_DELAY_US, "tv WHERE dur > 0 AND cpu >= 0") + f"""
+@query("stream_sliding_util", "tv", f"""
 , w AS (SELECT trace_id, cpu, dur, unnest([ts // {HOUR // 2} * {HOUR // 2}, ts // {HOUR // 2} * {HOUR // 2} - {HOUR // 2}]) AS window_start FROM tv WHERE dur > 0 AND cpu >= 0)
-SELECT trace_id, cpu, window_start, round(sum(dur) / {HOUR}.0 * 100, 6) AS util_pct FROM w GROUP BY 1, 2, 3 HAVING window_start + {HOUR} <= (SELECT wm FROM mk)""")
+SELECT trace_id, cpu, window_start, round(sum(dur) / {HOUR}.0 * 100, 6) AS util_pct FROM w GROUP BY 1, 2, 3""")
 def stream_sliding_util(s, d):
     return tidy(_drain(SM.sliding_util(_timed(s, d, "tv"), window_us=HOUR, slide_us=HOUR // 2), "stream_sliding_util"))
 
 
-@query("stream_gap_scan", "tv", _MARK.format(_DELAY_US, "tv WHERE device_id >= 0") + _GAPS + " SELECT * FROM g WHERE gap_dur >= 100 AND gap_end < (SELECT wm FROM mk)")
+@query("stream_gap_scan", "tv", _GAPS + " SELECT * FROM g WHERE gap_dur >= 100")
 def stream_gap_scan(s, d):
     return _drain(SM.gap_scan(_timed(s, d, "tv")), "stream_gap_scan")
 
 
-@query("stream_sched_latency", "tv", _MARK.format(_DELAY_US, "tv WHERE cat = 'cpu_sched'") + _LAT + " SELECT * FROM la WHERE switch_ts < (SELECT wm FROM mk)")
+@query("stream_sched_latency", "tv", _LAT + " SELECT * FROM la")
 def stream_sched_latency(s, d):
     return _drain(SM.sched_latency(_timed(s, d, "tv")), "stream_sched_latency")
 

@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from perfloom.operators.events import K
 from perfloom.operators.timeline import _summary_aggs, device_kernels
+from perfloom.shared import shared_dir as new_folder
 from perfloom.sources.files import _LOW33, file_id
 
 
@@ -39,6 +40,22 @@ def tail_parquet(spark: SparkSession, path: str, schema: T.StructType, files_per
     return r.parquet(path)
 
 
+def closed(stream: DataFrame, rows: DataFrame, kind: str, ts: str = "ts", after: str = "30 days") -> DataFrame:
+    """A bounded ``stream`` of ``rows`` that ends: one more row of each ``kind``, ``after`` the last time stamp.
+
+    The watermark passes all real rows with them, so windows close and waiting rows are released; the closing rows themselves
+    stay above the watermark and come out of nothing.  Choose ``after`` longer than delay and windows.
+    """
+    last = rows.agg(F.max(ts)).first()[0]
+    if last is None:
+        return stream
+    ends = rows.groupBy(kind).agg(F.max_by(F.struct(*rows.columns), ts).alias("r")).select("r.*").withColumn(
+        ts, F.lit(last) + F.expr(f"INTERVAL {after}"))
+    path = new_folder(rows.sparkSession)
+    ends.select(*rows.columns).write.parquet(path)
+    return stream.unionByName(tail_parquet(rows.sparkSession, path, rows.schema))
+
+
 def tail_lines(spark: SparkSession, path: str, id_col: str = "log_id") -> DataFrame:
     """Lines of files as they arrive: ``id_col, seq, value``; ``seq`` is the split's byte offset plus the row in it, so it
     follows the order of lines in a file."""
