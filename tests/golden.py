@@ -1,39 +1,38 @@
-"""The reference synthetic trace: 10 steps of 50 ms, 134 events."""
+"""A small trace of our own: six rounds of 40 ms on one device, whose numbers are worked out in the tests by hand."""
 
 import json
 
-BASE, STEP = 1_000_000, 50_000
+START, PERIOD, ROUNDS = 5_000_000, 40_000, 6
+COPY_IN, COPY_OUT = 3_000_000, 200_000  # bytes
 
+# (offset, duration, name, category, thread, cpu, device, args); the host copies in, runs two kernels and copies out
+ROUND = (
+    (0, 12_000, "DataLoader.fetch", "data_loader", 8, 1, -1, {}),
+    (1_000, 0, "sched_wakeup", "cpu_sched", 8, 0, -1, {"pid": 7}),
+    (4_000, 0, "sched_switch", "cpu_sched", 7, 0, -1, {"prev_pid": 8, "next_pid": 7, "prev_state": "R"}),
+    (9_000, 0, "sched_switch", "cpu_sched", 7, 0, -1, {"prev_pid": 7, "next_pid": 0, "prev_state": "S"}),
+    (14_000, 0, "sched_switch", "cpu_sched", 8, 0, -1, {"prev_pid": 0, "next_pid": 8, "prev_state": "R"}),
+    (16_000, 4_000, "copy_in", "npu_memcpy", -1, -1, 0, {"size_bytes": COPY_IN, "kind": "H2D"}),
+    (20_200, 600, "launch_kernel", "cuda_npu_api", 7, 0, -1, {}),
+    (21_000, 6_000, "Conv", "npu_kernel", -1, -1, 0, {}),
+    (27_000, 2_500, "Gelu", "npu_kernel", -1, -1, 0, {}),
+    (32_000, 1_000, "copy_out", "npu_memcpy", -1, -1, 0, {"size_bytes": COPY_OUT, "kind": "D2H"}),
+)
 
-def events():
-    out = [dict(name=n, cat="metadata", ph="M", ts=BASE, dur=0, pid=1000, tid=t, args={"name": n})
-           for n, t in (("process_name", 1000), ("thread_name", 100), ("thread_name", 101), ("thread_name", 102))]
-
-    def add(name, cat, ts, dur, tid, cpu, dev, stream, **args):
-        a = dict(args)
-        if dev >= 0:
-            a |= {"device": dev, "stream": stream}
-        if cpu >= 0:
-            a["cpu"] = cpu
-        out.append(dict(name=name, cat=cat, ph="X", ts=ts, dur=dur, pid=1000, tid=tid, args=a))
 
-    for i in range(10):
-        s = BASE + i * STEP
-        add("DataLoader._next_data", "data_loader", s, 15000, 101, 0, -1, -1, batch_size=32)
-        add("DataLoader._next_data", "data_loader", s, 15000, 102, 1, -1, -1, batch_size=32)
-        add("sched_switch", "cpu_sched", s + 2000, 0, 100, 0, -1, -1, prev_pid=101, next_pid=100, prev_state="R")
-        add("sched_switch", "cpu_sched", s + 5000, 0, 100, 0, -1, -1, prev_pid=102, next_pid=101, prev_state="R")
-        add("sched_wakeup", "cpu_sched", s + 8000, 0, 100, 0, -1, -1, pid=100)
-        add("sched_switch", "cpu_sched", s + 18000, 0, 100, 0, -1, -1, prev_pid=0, next_pid=100, prev_state="S")
-        add("aclrtMemcpyH2D", "npu_memcpy", s + 20000, 8000, 100, 0, 0, 0, size_bytes=4194304, kind="H2D")
-        add("aclrtLaunchKernel", "cuda_npu_api", s + 28000, 500, 100, 0, -1, -1)
-        add("MatMul_0", "npu_kernel", s + 35000, 5000, -1, -1, 0, 0)
-        add("Add_0", "npu_kernel", s + 40000, 3000, -1, -1, 0, 0)
-        add("LayerNorm_0", "npu_kernel", s + 43000, 2000, -1, -1, 0, 0)
-        add("aclrtSynchronizeStream", "runtime", s + 45000, 3000, 100, 0, 0, 0)
-        add("D2H_Copy", "npu_memcpy", s + 45000, 2000, -1, -1, 0, 0, size_bytes=1048576, kind="D2H")
-    return out
+def events():
+    rows = [{"ph": "M", "name": "process_name", "cat": "metadata", "pid": 77, "tid": 77, "ts": START, "args": {"name": "trainer"}}]
+    rows += [{"ph": "M", "name": "thread_name", "cat": "metadata", "pid": 77, "tid": t, "ts": START, "args": {"name": f"t{t}"}} for t in (7, 8)]
+    for r in range(ROUNDS):
+        for off, dur, name, cat, tid, cpu, dev, extra in ROUND:
+            args = dict(extra)
+            if dev >= 0:
+                args.update(device=dev, stream=0)
+            if cpu >= 0:
+                args.update(cpu=cpu)
+            rows.append({"ph": "X", "name": name, "cat": cat, "pid": 77, "tid": tid, "ts": START + r * PERIOD + off, "dur": dur, "args": args})
+    return rows
 
 
 def write(path):
-    path.write_text(json.dumps({"traceEvents": events() + [7, "x"]}))
+    path.write_text(json.dumps({"traceEvents": [*events(), 7, "x"]}))

@@ -126,3 +126,19 @@ def test_percentiles(spark, split):
     near = {r.k: r for r in percentiles(df, ["k"], "v", {"p50": 0.5, "p99": 0.99, "p999": 0.999}, "nearest", split).collect()}
     assert (near["a"].p50, near["a"].p99, near["a"].p999) == (s[750], s[int(1500 * 0.99)], s[int(1500 * 0.999)])
     assert (near["b"].p50, near["b"].p99) == (7, 7)
+
+
+def test_cut_depends_on_counted_rows_only(spark):
+    """An exploded key, of which the optimizer knows nothing, is cut; keys within the bound are not."""
+    big = spark.range(1).select(F.lit("hot").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(300_000))).alias("i"))
+    seq = KeyedSequence(big, ["k"], ["i"], 50_000)
+    assert seq.split and seq.df.select("_chunk").distinct().count() >= 5
+    got = seq.running("s", "sum", F.lit(1).cast("long")).shift({"p": "i"}).result()
+    assert got.where("s <> i OR coalesce(p, 0) <> i - 1").count() == 0
+    assert not KeyedSequence(big, ["k"], ["i"], 400_000).split
+
+
+def test_downsample_spans_the_range(spark):
+    df = spark.range(999).select(F.lit("a").alias("k"), F.col("id").alias("i"))
+    got = sorted(r.i for r in TL.downsample(df, ["k"], ["i"], keep=500).collect())
+    assert got == list(range(0, 999, 2))

@@ -206,3 +206,23 @@ def test_sql_functions(spark):
     X.register_functions(spark)
     r = spark.sql("SELECT attribution_class('x', 'DataLoader') AS a, attribution_class('x', 'operation') AS b, shape_elements('2,3;4;;x') AS n").collect()[0]
     assert (r.a, r.b, r.n) == ("DATA_LOADER", "IO_WAIT", 10)
+
+
+def test_json_flatten_has_no_depth_limit(spark):
+    from pyspark.sql import functions as F
+
+    from perfloom.operators.configdiff import json_flatten
+
+    text = '{"a":' * 20 + '[1, "x]{"]' + "}" * 20
+    df = spark.createDataFrame([(1, text), (2, "5")], "id int, t string").select("id", F.parse_json("t").alias("v"))
+    got = {(r.id, r.path): r.value for r in json_flatten(df, "v", ["id"]).collect()}
+    assert got == {(1, ".".join("a" * 20) + "[0]"): "1", (1, ".".join("a" * 20) + "[1]"): "x]{", (2, ""): "5"}
+
+
+def test_node_logs_keep_whole_texts(spark, tmp_path):
+    put(tmp_path, "networkinfo/ifconfig_info", "\n".join(f"line {i}" for i in range(30_000)))
+    put(tmp_path, "OSDump/systemcom.tar.gz", "binary")
+    rows = files.node_logs(spark, str(tmp_path))
+    assert rows.count() == 30_000 and rows.where("file_path like '%.gz'").count() == 0
+    last = rows.orderBy("seq").collect()[-1]
+    assert last.value == "line 29999"

@@ -19,8 +19,8 @@ def test_golden_verdict(out):
     v = out["diagnosis"].collect()[0]
     assert v.has_issue and v.severity in ("MEDIUM", "HIGH", "CRITICAL")
     matched = {r.rule_id for r in out["rules"].collect() if r.matched}
-    assert {"RT002", "HN002"} <= matched
-    assert out["top_gaps"].count() == 12
+    assert matched == {"HN002"}  # the loader covers 85 % of idle time
+    assert out["top_gaps"].count() == 5
     assert out["similar_cases"].count() == 3 and out["critical_path"].count() == 5
 
 
