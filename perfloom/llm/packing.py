@@ -7,9 +7,11 @@ bin of class k is filled with exactly k pieces. Documents are cut freely, so lon
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,46 +26,64 @@ from perfloom.llm.common import numbered, ship, written
 #: White space of Unicode. A text is cut where it begins; the tokenizer's own pattern never takes a token across such a place.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_OTHER = re.compile("[^\x00-\u024f]")
 #: Chunks whose ids a worker remembers, and the longest such chunk in characters.
-CACHED, CACHED_CHARS = 400_000, 24
+CACHED, CACHED_CHARS = 800_000, 24
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Ids:
+    """Ids of texts by a byte-level BPE tokenizer file, without special tokens added, as unsigned 32-bit numbers.
 
-    return Tokenizer.from_file(path), {}, [x["content"] for x in _added(path)]
+    A text is tokenized in chunks of white space and what follows it, with a memory of frequent chunks. New chunks of Latin
+    letters, digits and signs go through the same vocabulary in the faster public library, where it splits words alike; all
+    others, and texts in which an added token's string stands, through the tokenizer itself.
+    """
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [x["content"] for x in spec.get("added_tokens") or []]
+        # The byte alphabet of such vocabularies: printable bytes stand for themselves, the others for code points from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.added}
+        self.part = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        self.known: dict[str, bytes] = {}
+
+    def chunk(self, text: str) -> bytes:
+        ids = self.whole.encode(text, add_special_tokens=False).ids if _OTHER.search(text) else self.part(text)
+        return array("I", ids).tobytes()
+
+    def __call__(self, text: str) -> np.ndarray:
+        if any(x in text for x in self.added):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        chunks, known = _CHUNK.findall(text), self.known
+        parts = list(map(known.get, chunks))
+        if None in parts:
+            if len(known) > CACHED:
+                known.clear()
+            for i, p in enumerate(parts):
+                if p is None:
+                    c = chunks[i]
+                    p = parts[i] = known.get(c) or self.chunk(c)
+                    if len(c) <= CACHED_CHARS:
+                        known[c] = p
+        return np.frombuffer(b"".join(parts), dtype="<u4")
 
-def _added(path: str) -> list[dict]:
-    import json
 
-    with open(path, encoding="utf-8") as f:
-        return json.load(f).get("added_tokens") or []
+@lru_cache(maxsize=2)
+def _ids(path: str) -> Ids:
+    return Ids(path)
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
-    """Ids of ``text`` as unsigned 32-bit numbers, without special tokens added.
-
-    The text is tokenized in chunks of white space and what follows it, with a memory of frequent chunks. Texts in which an
-    added token's string stands are tokenized whole.
-    """
-    tok, known, added = _tokenizer(path)
-    if any(x in text for x in added):
-        return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
-    chunks = _CHUNK.findall(text)
-    new = [c for c in dict.fromkeys(chunks) if c not in known]
-    once = {}
-    if new:
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = list(dict.fromkeys(chunks))
-        for c, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-            (known if len(c) <= CACHED_CHARS else once)[c] = np.array(e.ids, dtype="<u4").tobytes()
-    if once:
-        return np.frombuffer(b"".join([known[c] if c in known else once[c] for c in chunks]), dtype="<u4")
-    return np.frombuffer(b"".join([known[c] for c in chunks]), dtype="<u4")
+    return _ids(path)(text)
 
 
 def cut(n: int, capacity: int) -> list[int]:
@@ -84,12 +104,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     Each document is its ids and ``end_id``; null and empty texts are that id alone.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, end = _ids(tokenizer), np.array([end_id], dtype="<u4")
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 rows, start, length, crc, total, ids = [], [], [], [], [], []
                 for i, t in enumerate(part.column(1)):
-                    x = np.append(token_ids(t.as_py() or "", tokenizer), np.uint32(end_id)).astype("<u4")
+                    x = np.append(ids_of(t.as_py() or ""), end)
                     at_id = 0
                     for n in cut(len(x), capacity):
                         p = x[at_id : at_id + n]
