@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from perfloom.functions import exprs as X
 from perfloom.operators.events import K, host_events
-from perfloom.operators.ranges import overlapping, points_in_intervals
+from perfloom.operators.ranges import list_buckets, points_in_intervals
 from perfloom.operators.sequence import same_keys, top_k
 
 GAP_ID = ("device_id", "stream_id", "gap_start")
@@ -30,17 +30,29 @@ def gap_host_join(gaps: DataFrame, ev: DataFrame, K: Sequence[str] = K, max_offs
     None takes every overlap.  Gaps without host events stay with null host columns.
     """
     bucket_us = bucket_us or max(max_offset_us or 0, 5000)
-    hosts = _hosts(ev, K)
+    order = [F.desc("host_dur"), F.asc("host_ts"), F.asc("host_seq")]
+    hosts = _hosts(ev, K).withColumn("host_end", F.col("host_ts") + F.col("host_dur"))
     slim = gaps.select(*K, *GAP_ID, "gap_end")
+    width = F.lit(int(bucket_us)).cast("long")
+    lo = F.col("gap_start") if max_offset_us is None else F.greatest(F.lit(0).cast("long"), F.col("gap_start") - max_offset_us)
+
+    # Host events that start in a bucket that lies in the gap: the bucket's best are enough, whatever the number of streams.
+    listed = list_buckets(slim.withColumn("_lo", lo).where(F.col("_lo") <= F.col("gap_end")), F.col("_lo"), F.col("gap_end"), bucket_us)
+    inside = (F.col("_bucket") * width >= F.col("gap_start")) & ((F.col("_bucket") + 1) * width - 1 <= F.col("gap_end"))
+    starts = hosts.withColumn("_bucket", F.floor(F.col("host_ts") / width))
+    cols = [*K, *GAP_ID, *HOST_COLS]
+    inner = listed.where(inside).join(top_k(starts, [*K, "_bucket"], order, top_n, "_r"), [*K, "_bucket"]).select(*cols)
+    # Buckets at the gap's ends: each host event is tested.
+    edge = listed.where(~inside).join(starts, [*K, "_bucket"]).where(
+        (F.col("host_ts") >= F.col("_lo")) & (F.col("host_ts") <= F.col("gap_end")) & (F.col("host_end") >= F.col("gap_start"))).select(*cols)
+    pairs = inner.unionByName(edge)
     if max_offset_us is None:
-        spans = hosts.withColumn("host_end", F.col("host_ts") + F.col("host_dur"))
-        pairs = overlapping(slim, spans, K, "gap_start", "gap_end", "host_ts", "host_end", bucket_us).drop("host_end")
-    else:
-        lo = F.greatest(F.lit(0).cast("long"), F.col("gap_start") - max_offset_us)
-        pairs = points_in_intervals(
-            slim, hosts, K, lo, F.col("gap_end"), "host_ts", bucket_us,
-            residual=F.col("host_ts") + F.col("host_dur") >= F.col("gap_start"))
-    best = top_k(pairs.drop("gap_end"), [*K, *GAP_ID], [F.desc("host_dur"), F.asc("host_ts"), F.asc("host_seq")], top_n)
+        # Host events that began before the gap and reach into it: met in the bucket of its start only.
+        begun = slim.withColumn("_bucket", F.floor(F.col("gap_start") / width)).join(
+            list_buckets(hosts, F.col("host_ts"), F.col("host_end"), bucket_us), [*K, "_bucket"]).where(
+            (F.col("host_ts") < F.col("gap_start")) & (F.col("host_end") >= F.col("gap_start")))
+        pairs = pairs.unionByName(begun.select(*cols))
+    best = top_k(pairs, [*K, *GAP_ID], order, top_n)
     if not keep_empty:
         return gaps.join(best, [*K, *GAP_ID])
     return gaps.join(best, [*K, *GAP_ID], "left")
