@@ -35,16 +35,3 @@ def points_in_intervals(intervals: DataFrame, points: DataFrame, keys: Sequence[
     if residual is not None:
         out = out.where(residual)
     return out.drop("_lo", "_hi", "_bucket")
-
-
-def overlapping(intervals: DataFrame, spans: DataFrame, keys: Sequence[str], lo: str, hi: str, s_lo: str, s_hi: str,
-                bucket_us: int) -> DataFrame:
-    """Inner join of intervals and spans that share any instant; each pair is met in the first bucket both touch."""
-    left = list_buckets(intervals, F.col(lo), F.col(hi), bucket_us)
-    right = list_buckets(spans, F.col(s_lo), F.col(s_hi), bucket_us)
-    first = F.floor(F.greatest(F.col(lo), F.col(s_lo)) / F.lit(int(bucket_us)).cast("long"))
-    return (
-        left.join(right, [*keys, "_bucket"])
-        .where((F.col(s_lo) <= F.col(hi)) & (F.col(s_hi) >= F.col(lo)) & (F.col("_bucket") == first))
-        .drop("_bucket")
-    )
