@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from perfloom.shared import written
+
+__all__ = ["ascii_lower", "fresh", "id_remainder", "numbered", "ship", "written"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,22 +36,6 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; where none is set (tests), one of our own is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/perfloom-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it is computed once, and lost executors cost no recomputation."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a variant of it that is no column of ``df`` in any case."""
     taken = {c.lower() for c in df.columns}
