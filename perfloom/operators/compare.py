@@ -17,16 +17,32 @@ def compare(base: DataFrame, comp: DataFrame, on: Sequence[str], measures: Seque
     a = base.select(*on, *[F.col(m).alias(f"base_{m}") for m in measures])
     b = comp.select(*[F.col(k).alias(f"_c_{k}") for k in on], *[F.col(m).alias(f"comp_{m}") for m in measures])
     j = a.join(b, same_keys(a, b, [(k, f"_c_{k}") for k in on]), how)
-    cols = [F.coalesce(F.col(k), F.col(f"_c_{k}")).alias(k) for k in on]
-    for m in measures:
-        x, y = F.coalesce(f"base_{m}", F.lit(0)), F.coalesce(f"comp_{m}", F.lit(0))
-        cols += [x.alias(f"base_{m}"), y.alias(f"comp_{m}"), (y - x).alias(f"diff_{m}"), X.ratio(x, y).alias(f"ratio_{m}")]
-    out = j.select(*cols)
+    out = j.select(*[F.coalesce(F.col(k), F.col(f"_c_{k}")).alias(k) for k in on], *_changes(measures))
     if top_n:
         out = out.orderBy(F.desc(F.abs(f"diff_{rank_by or measures[0]}")), *on).limit(top_n)
     return out
 
 
+def _changes(measures: Sequence[str]) -> list[Column]:
+    """Both sides, their difference and ratio per measure; a missing side counts as 0."""
+    cols = []
+    for m in measures:
+        x, y = F.coalesce(f"base_{m}", F.lit(0)), F.coalesce(f"comp_{m}", F.lit(0))
+        cols += [x.alias(f"base_{m}"), y.alias(f"comp_{m}"), (y - x).alias(f"diff_{m}"), X.ratio(x, y).alias(f"ratio_{m}")]
+    return cols
+
+
+def compare_rows(rows: DataFrame, is_base: Column, on: Sequence[str], value: str = "duration",
+                 measures: Sequence[str] = ("total", "avg", "max", "min", "calls")) -> DataFrame:
+    """``compare`` of the profiles of two sides of one frame, by one conditional aggregate: one scan, one shuffle."""
+    aggs = []
+    for side, test in (("base", is_base), ("comp", ~is_base)):
+        v = F.when(test, F.col(value))
+        of = {"total": F.sum(v), "avg": F.avg(v), "max": F.max(v), "min": F.min(v), "calls": F.count(F.when(test, F.lit(1)))}
+        aggs += [of[m].alias(f"{side}_{m}") for m in measures]
+    return rows.groupBy(*on).agg(*aggs).select(*on, *_changes(measures))
+
+
 def profile(rows: DataFrame, by: Sequence[str], value: str = "duration") -> DataFrame:
     """Total, mean, extreme values and calls of one side."""
     return rows.groupBy(*by).agg(

@@ -277,10 +277,7 @@ kc AS (SELECT coalesce(b.kernel, c.kernel) AS kernel, coalesce(b.shape, c.shape)
 
 
 def kc(s, d):
-    p = pr(s, d)
-    base = CP.profile(p.where("side = 'A'"), ["kernel", "shape"])
-    comp = CP.profile(p.where("side <> 'A'"), ["kernel", "shape"])
-    return CP.compare(base, comp, ["kernel", "shape"], ["total", "avg", "max", "min", "calls"])
+    return CP.compare_rows(pr(s, d), F.col("side") == "A", ["kernel", "shape"])
 
 
 @query("compare_full_outer", "pr", _KC + " SELECT kernel, shape, base_total, comp_total, diff_total, round(ratio_total, 6) AS ratio_total, base_calls, comp_calls FROM kc")
@@ -401,8 +398,7 @@ ar AS (SELECT *, comp_total - base_total AS diff_total, CASE WHEN base_total = 0
 
 
 def _api_rows(s, d):
-    p = pr(s, d).where("side <> 'N'").withColumn("api", F.concat("level", "kernel"))
-    return CP.compare(CP.profile(p.where("side = 'A'"), ["api"]), CP.profile(p.where("side = 'R'"), ["api"]), ["api"], ["total", "calls"])
+    return CP.compare_rows(pr(s, d).withColumn("api", F.concat("level", "kernel")), F.col("side") == "A", ["api"], measures=["total", "calls"])
 
 
 @query("compare_api", "pr", _API + """
