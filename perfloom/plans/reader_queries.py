@@ -9,6 +9,7 @@ from perfloom.plans.registry import query
 from perfloom.plans.views import view
 from perfloom.sources import cluster as SC
 from perfloom.sources import events as SE
+from perfloom.sources import files as SF
 
 
 def _lt(s, d):
@@ -96,6 +97,13 @@ def read_step_tables(s, d):
         SC.canonical_steps(new, F.col("cluster_id")).select(*cols, F.lit("new").alias("version")))
 
 
+@query("directory_kinds", "", """
+SELECT '/land/run' || CAST(p_size AS STRING) AS directory, CASE WHEN bool_or(p_partkey % 40 IN (0, 1, 2, 3)) THEN 'profiler' ELSE 'unknown' END AS kind FROM part GROUP BY 1""")
+def directory_kinds(s, d):
+    name = "CASE p_partkey % 40 WHEN 0 THEN 'Trace_View.json' WHEN 1 THEN 'operator_detail_7.csv' WHEN 2 THEN 'step_trace_1.json' WHEN 3 THEN 'my_profiler_0.db' WHEN 4 THEN 'operator_detail.txt' WHEN 5 THEN 'other.db' ELSE 'f' || p_partkey || '.log' END"
+    return SF.directory_kinds(s.read.parquet(f"{d}/part.parquet").selectExpr(f"'/land/run' || p_size || '/' || {name} AS file_path"))
+
+
 @query("read_dump_repair", "", """
 SELECT c_custkey AS dump_id, CASE WHEN c_custkey % 5 = 4 THEN NULL ELSE 'x_' || CAST(c_nationkey AS STRING) END AS name, CASE WHEN c_custkey % 5 <> 4 THEN c_mktsegment END AS segment FROM customer""")
 def read_dump_repair(s, d):

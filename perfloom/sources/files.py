@@ -150,6 +150,17 @@ def trace_catalog(spark: SparkSession, path: str) -> DataFrame:
                         classify_head(F.col("head"), F.col("path")).alias("format"))
 
 
+def directory_kinds(paths: DataFrame, path_col: str = "file_path", database_word: str = "profiler") -> DataFrame:
+    """(directory, kind): ``profiler`` where a directory directly holds a timeline view, an operator detail table, a step trace
+    or a database file with ``database_word`` in its name, else ``unknown``."""
+    p = F.lower(path_col)
+    name = F.element_at(F.split(p, "/"), -1)
+    hit = name.contains("trace_view") | (name.contains("operator_detail") & name.endswith(".csv")) | name.contains("step_trace") | (
+        name.endswith(".db") & name.contains(database_word.lower()))
+    folder = F.regexp_replace(path_col, "/[^/]*$", "")
+    return paths.groupBy(folder.alias("directory")).agg(F.when(F.bool_or(hit), "profiler").otherwise("unknown").alias("kind"))
+
+
 # ---------------------------------------------------------------- sinks
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
