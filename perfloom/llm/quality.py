@@ -87,15 +87,15 @@ def dual_descent(xs: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: f
     """Hinge-loss weights: one dual variable per row, raised or lowered to its best value within 0 and ``cost`` in turn."""
     rng = np.random.default_rng(seed)
     weight, bias, sign, dual = np.zeros(1 << BITS), 0.0, np.where(y, 1.0, -1.0), np.zeros(len(y))
-    values = [ratio[x] / max(float(np.linalg.norm(ratio[x])), 1e-12) for x in xs]
-    curve = [float(v @ v) + 1.0 for v in values]  # the bias is a feature of value 1
+    norm = [max(float(np.linalg.norm(ratio[x])), 1e-12) for x in xs]
     for _ in range(rounds):
         for i in rng.permutation(len(y)):
-            slope = sign[i] * (weight[xs[i]] @ values[i] + bias) - 1.0
-            new = min(max(dual[i] - slope / curve[i], 0.0), cost)
+            value = ratio[xs[i]] / norm[i]
+            slope = sign[i] * (weight[xs[i]] @ value + bias) - 1.0
+            new = min(max(dual[i] - slope / (float(value @ value) + 1.0), 0.0), cost)  # the bias is a feature of value 1
             if new != dual[i]:
                 step = (new - dual[i]) * sign[i]
-                weight[xs[i]] += step * values[i]
+                weight[xs[i]] += step * value
                 bias += step
                 dual[i] = new
     return weight, bias
@@ -141,7 +141,7 @@ def train(xs: list[np.ndarray], y: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Model of at most ``per_class`` labelled documents of each class, the same ones whatever the order of rows.
 
-    Rows whose id's crc32 modulo 4 is 2 are held out. Null labels, ids and texts that are missing are not learned from.
+    One task fits it, as it is sequential; its input is bounded by ``per_class``, and two vectors come back. Rows whose id's crc32 modulo 4 is 2 are held out. Null labels, ids and texts that are missing are not learned from.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(
@@ -158,9 +158,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(str(i.as_py()).encode()) for i in b.column(0)], pa.int64()), b.column(1),
                                               pa.array(xs, pa.list_(pa.int32()))], ["key", "label", "x"])
 
-    got = rows.select("id", "label", "text").mapInArrow(indicate, "key long, label int, x array<int>").toArrow().sort_by([("key", "ascending")])
-    xs = [np.asarray(x.values, dtype=np.int64) for x in got.column("x")]
-    return train(xs, np.array(got.column("label").to_pylist(), dtype=bool))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = []
+        for b in batches:
+            at, all_x = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy()
+            got += [(k, label, all_x[at[i] : at[i + 1]].copy()) for i, (k, label) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))]
+        got.sort(key=lambda g: g[:2])
+        m = train([g[2] for g in got], np.array([g[1] for g in got], dtype=bool))
+        yield pa.RecordBatch.from_arrays([pa.array([m.ratio.tobytes()]), pa.array([m.weight.tobytes()]), *[pa.array([x]) for x in (m.bias, m.slope, m.shift)]],
+                                         ["ratio", "weight", "bias", "slope", "shift"])
+
+    found = rows.select("id", "label", "text").mapInArrow(indicate, "key long, label int, x array<int>").repartition(1).mapInArrow(
+        learn, "ratio binary, weight binary, bias double, slope double, shift double").first()
+    if found is None:
+        return train([], np.zeros(0, dtype=bool))
+    return Model(np.frombuffer(found["ratio"]), np.frombuffer(found["weight"]), found["bias"], found["slope"], found["shift"])
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
