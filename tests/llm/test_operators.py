@@ -377,6 +377,14 @@ def test_template_pages_give_their_source_documents(spark):
     assert QUERIES["op8_template"](spark, SF).count() == spark.read.parquet(f"{SF}/pages.parquet").count()
 
 
+@pytest.mark.parametrize("script", ["<script>for(var i=0;i<n;i++){go(i)}</script>", "<SCRIPT>if(a<b)x='it</SCRIPT >", "<style>a<b{}'</style\n>",
+                                    "<script>document.write('</scripts>');a<b</script>"])
+def test_scripts_with_comparisons_do_not_swallow_the_page(script):
+    found = [w for _, w, _ in html_template.blocks(f"<body><p>before</p>{script}<p>after</p><script>x</script><p>last</p>") if w]
+    assert found == ["before", "after", "last"]
+    assert [w for _, w, _ in html_template.blocks("<p>kept<script>never closed <p>no") if w] == ["kept"]
+
+
 # ---- preference pairs
 
 def test_preference_pairs(spark):
