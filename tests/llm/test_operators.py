@@ -385,6 +385,18 @@ def test_scripts_with_comparisons_do_not_swallow_the_page(script):
     assert [w for _, w, _ in html_template.blocks("<p>kept<script>never closed <p>no") if w] == ["kept"]
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    rows = [(i, "http://copies.example.com/a", PAGE % ((1,) * 5)) for i in range(60)] + [(60 + i, None, "<p>Lone %d" % (i // 3)) for i in range(12)]
+    rows += [(80 + i, f"http://copies.example.com/{i}", PAGE % ((i,) * 5)) for i in range(3)]
+    # Six different pages beside fifty copies of the first: menus go, paragraphs stay.
+    rows += [(100 + i, "http://mixed.example.com/0", "<div>Menu</div><p>Own text %d" % max(0, i - 49)) for i in range(55)]
+    text = {r.page_id: r.text for r in html_template.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(text) == len(rows)
+    assert {text[i] for i in range(60)} == {"Head & tail 1\n\nFirst para 1 more\n\nSecond <b> para 1"}
+    assert [text[60 + i] for i in range(12)] == [f"Lone {i // 3}" for i in range(12)]
+    assert [text[100 + i] for i in range(55)] == [f"Own text {max(0, i - 49)}" for i in range(55)]
+
+
 # ---- preference pairs
 
 def test_preference_pairs(spark):
