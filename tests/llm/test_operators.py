@@ -150,6 +150,26 @@ def test_simhash_odd_rows(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == simhash.keep_one(empty).count() == 0
 
 
+def test_near_duplicates_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts, words = [], lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    for size in (9, 40, 204, 204, 204, 1000):
+        base = words(size)
+        texts.append(base)
+        for changed in (1, 2, 3, 4, 5, 6, 8, 10, 14):  # a changed word changes five shingles
+            copy = list(base)
+            for at in rng.choice(size, min(size, changed), replace=False):
+                copy[at] = words(1)[0]
+            texts.append(copy)
+        texts += [base[: int(size * part)] for part in (0.7, 0.79, 0.81, 0.9)]
+        texts += [base + base[:8] * 30, base * 3, texts[-1] + words(4)]  # repeats hardly change the set
+    docs = {i: " ".join(t) for i, t in enumerate(texts)}
+    sets = {i: {tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for i, t in enumerate(texts)}
+    top = groups_of(sorted(docs), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+    got = simhash.keep_one(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(top.values()))
+
+
 # ---- sharding
 
 def test_shards_move_rows_only_to_the_new_one_and_slots_are_gapless(spark, odd, empty):
