@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfloom.llm import ann, decontaminate, html_template, packing, pitman_yor, preference, quality, sharding, simhash, tokencount
+from perfloom.llm import (
+    ann, decontaminate, html_template, packing, periodic, piecewise, pitman_yor, preference, quality, resample, sharding, simhash, tokencount)
 from perfloom.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +152,54 @@ def op6_pitman_yor(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = pitman_yor.score(docs, ~pitman_yor.held_out())
     return out.withColumn("held_out", pitman_yor.held_out())
+
+
+#: crc32 byte by byte over a table that a rule gives; DuckDB has no such function.
+RESAMPLING_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce([x::BIGINT] || list_transform(range(8), lambda k: k::BIGINT),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+texts AS (
+  SELECT 'd' AS side, doc_id, row_number() OVER () AS rid, text FROM documents
+  UNION ALL SELECT 'b', NULL, NULL, text FROM benchmark),
+words AS (
+  SELECT side, doc_id, rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (
+  SELECT side, rid, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT side, rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)),
+grams AS (SELECT side, rid, g, count(*) AS k FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT g, xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(g)), '..'), lambda b: ('0x' || b)::BIGINT),
+                            lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT g FROM grams), crc),
+sums AS (
+  SELECT bucket, coalesce(sum(k) FILTER (side = 'd'), 0) AS s, coalesce(sum(k) FILTER (side = 'b'), 0) AS t
+  FROM grams JOIN hashed USING (g) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (sum(s::DOUBLE) OVER () + 10000)
+                                      / ((CAST(s AS DOUBLE) + 1) * (sum(t::DOUBLE) OVER () + 10000)))) AS BIGINT) AS gain FROM sums),
+weighed AS (SELECT rid, sum(k) AS n_features, sum(k * gain) AS weight FROM grams JOIN hashed USING (g) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY rid),
+scored AS (
+  SELECT doc_id, rid, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM words LEFT JOIN weighed USING (rid) WHERE side = 'd'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS n FROM scored)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN able AND place <= 5 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+@query("op11_line_resampling", RESAMPLING_SQL)
+def op11_line_resampling(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, seed=42, least_words=20)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    return periodic.report(table(spark, sf_dir, "documents"), alter=True)
+
+
+@query("op13_piecewise_hash")
+def op13_piecewise_hash(spark, sf_dir):
+    return piecewise.against_next(table(spark, sf_dir, "documents"))
