@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perfloom.functions import exprs as X
+from perfloom.shared import ship
 
 
 def parse_json_tolerant(text: str | Column) -> Column:
@@ -18,47 +23,77 @@ def parse_json_tolerant(text: str | Column) -> Column:
     return F.coalesce(F.try_parse_json(c), F.try_parse_json(fixed), F.try_parse_json(packed))
 
 
-def nesting(text: str | Column) -> Column:
-    """How deep containers nest in a JSON text."""
-    marks = F.regexp_replace(F.regexp_replace(text, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(acc: Column, c: Column) -> Column:
-        now = acc["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
-
-    return F.aggregate(F.split(marks, ""), zero, step, lambda acc: acc["most"])
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+', re.S)
+
+
+def _text(token: str) -> str:
+    return json.loads(token) if "\\" in token else token[1:-1]
+
+
+def flatten_text(text: str | None, keep_parents: bool = False) -> list[tuple[str, str | None]]:
+    """(path, value) per leaf of a JSON text, by its tokens and a stack of open containers, to any depth."""
+    if text is None:
+        return [("", None)]
+    out: list = []
+    stack: list[list] = []  # path, is an object, number of the item, has items, where it starts, place of its own row
+    key = None
+
+    def here() -> str:
+        if not stack:
+            return ""
+        top = stack[-1]
+        top[3] = True
+        return f"{top[0]}[{top[2]}]" if not top[1] else f"{top[0]}.{key}" if top[0] else key or ""
+
+    for m in _TOKEN.finditer(text):
+        token = m[0]
+        c = token[0]
+        if c in "{[":
+            stack.append([here(), c == "{", 0, False, m.start(), len(out)])
+            key = None
+            if keep_parents and stack[-1][0]:
+                out.append(None)
+        elif c in "}]":
+            if stack:
+                path, _, _, some, start, place = stack.pop()
+                if keep_parents and path:
+                    out[place] = (path, text[start : m.end()])
+                elif not some:
+                    out.append((path, text[start : m.end()]))
+        elif c == ",":
+            if stack:
+                stack[-1][2] += 1
+        elif c == '"' and stack and stack[-1][1] and key is None:
+            key = _text(token)
+        elif c != ":":
+            out.append((here(), _text(token) if c == '"' else None if token == "null" else token))
+            key = None
+    return [row for row in out if row]
 
 
 def json_flatten(df: DataFrame, col: str, K: Sequence[str], keep_parents: bool = False) -> DataFrame:
-    """(path, value) per leaf of a variant column: ``a.b[0].c``; empty containers stay as ``{}`` and ``[]``.
+    """(path, value) per leaf of a variant or JSON text column: ``a.b[0].c``; empty containers stay as ``{}`` and ``[]``.
 
-    Each level explodes the containers of the level before and passes leaves through, so the plan is one chain over the
-    rows, as long as the deepest document nests (one pass finds that out).  ``keep_parents`` also lists containers.
+    One pass over the tokens of each document, so the plan is the same for any depth.  Numbers of a text stay as they are
+    written; a null document gives one row with an empty path.  ``keep_parents`` also lists containers.
     """
-    max_depth = df.agg(F.max(nesting(F.to_json(col)))).first()[0] or 0
-    out = df.select(*K, F.lit("").alias("_path"), F.col(col).alias("_v"), F.lit(True).alias("_new"), F.lit(False).alias("_done"))
-    container = F.expr("schema_of_variant(_v) RLIKE '^(OBJECT|ARRAY)'")
-    for _ in range(max_depth):
-        if keep_parents:        # a fresh container leaves one finished row behind before it is opened
-            twice = F.col("_new") & ~F.col("_done") & (F.col("_path") != "") & F.coalesce(container, F.lit(False))
-            out = out.withColumn("_done", F.explode(
-                F.when(twice, F.array(F.lit(True), F.lit(False))).otherwise(F.array("_done"))))
-        opened = F.when(~F.col("_done"), F.col("_v"))
-        out = out.withColumn("_open", opened).lateralJoin(
-            df.sparkSession.tvf.variant_explode_outer(F.col("_open").outer()).select(
-                F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_child")))
-        step = F.when(F.col("_key").isNotNull(), F.concat(
-            F.when(F.col("_path") == "", F.lit("")).otherwise(F.lit(".")), "_key")).when(
-            F.col("_pos").isNotNull(), F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(F.lit(""))
-        grew = F.col("_pos").isNotNull()
-        if keep_parents:        # an empty container is already listed by its finished row
-            out = out.where(grew | F.col("_done") | (F.col("_path") == "") | ~F.coalesce(container, F.lit(False)))
-        out = out.select(*K, F.concat("_path", step).alias("_path"),
-                         F.when(grew, F.col("_child")).otherwise(F.col("_v")).alias("_v"), grew.alias("_new"), "_done")
-    scalar = F.try_variant_get("_v", "$", "string")
-    value = F.when(F.is_variant_null("_v"), None).when(container, F.to_json("_v")).otherwise(scalar)
-    return out.select(*K, F.col("_path").alias("path"), value.alias("value"))
+    ship(df.sparkSession)
+    is_text = isinstance(df.schema[col].dataType, T.StringType)
+    rows = df.select(*K, (F.col(col) if is_text else F.to_json(col)).alias("_text"))
+    schema = T.StructType([*(rows.schema[k] for k in K), T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, paths, values = [], [], []
+            for i, text in enumerate(b.column("_text").to_pylist()):
+                leaves = flatten_text(text, keep_parents)
+                at += [i] * len(leaves)
+                paths += [p for p, _ in leaves]
+                values += [v for _, v in leaves]
+            keys = [b.column(k).take(pa.array(at, pa.int64())) for k in K]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(paths, pa.string()), pa.array(values, pa.string())], [*K, "path", "value"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def nway_diff(paths: DataFrame, dump_col: str, dumps: Sequence[str], K: Sequence[str] = (),

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from perfloom.functions import exprs as X
 from perfloom.operators.events import K, host_events
-from perfloom.operators.ranges import list_buckets, points_in_intervals
-from perfloom.operators.sequence import same_keys, top_k
+from perfloom.operators.ranges import covering_cells, spans_around, upper_cells
+from perfloom.operators.sequence import KeyedSequence, same_keys, top_k
 
 GAP_ID = ("device_id", "stream_id", "gap_start")
 HOST_COLS = ("host_seq", "host_name", "host_cat", "host_ts", "host_dur")
@@ -32,25 +32,29 @@ def gap_host_join(gaps: DataFrame, ev: DataFrame, K: Sequence[str] = K, max_offs
     bucket_us = bucket_us or max(max_offset_us or 0, 5000)
     order = [F.desc("host_dur"), F.asc("host_ts"), F.asc("host_seq")]
     hosts = _hosts(ev, K).withColumn("host_end", F.col("host_ts") + F.col("host_dur"))
-    slim = gaps.select(*K, *GAP_ID, "gap_end")
     width = F.lit(int(bucket_us)).cast("long")
     lo = F.col("gap_start") if max_offset_us is None else F.greatest(F.lit(0).cast("long"), F.col("gap_start") - max_offset_us)
-
-    # Host events that start in a bucket that lies in the gap: the bucket's best are enough, whatever the number of streams.
-    listed = list_buckets(slim.withColumn("_lo", lo).where(F.col("_lo") <= F.col("gap_end")), F.col("_lo"), F.col("gap_end"), bucket_us)
-    inside = (F.col("_bucket") * width >= F.col("gap_start")) & ((F.col("_bucket") + 1) * width - 1 <= F.col("gap_end"))
+    slim = gaps.select(*K, *GAP_ID, "gap_end").withColumn("_lo", lo).where("_lo <= gap_end").withColumns({
+        "_in0": F.ceil(F.col("gap_start") / width), "_in1": F.floor((F.col("gap_end") + 1) / width) - 1})
     starts = hosts.withColumn("_bucket", F.floor(F.col("host_ts") / width))
     cols = [*K, *GAP_ID, *HOST_COLS]
-    inner = listed.where(inside).join(top_k(starts, [*K, "_bucket"], order, top_n, "_r"), [*K, "_bucket"]).select(*cols)
-    # Buckets at the gap's ends: each host event is tested.
-    edge = listed.where(~inside).join(starts, [*K, "_bucket"]).where(
+
+    # Host events that start in a bucket inside the gap: of each cell that covers these buckets the best are enough.
+    best = top_k(starts, [*K, "_bucket"], order, top_n, "_r").drop("_r")
+    higher = top_k(upper_cells(best, "_bucket"), [*K, "_floor", "_node"], order, top_n, "_r").drop("_r")
+    by_cell = best.withColumns({"_floor": F.lit(0), "_node": F.col("_bucket")}).unionByName(higher)
+    inner = covering_cells(slim.where("_in0 <= _in1"), "_in0", "_in1").join(by_cell, [*K, "_floor", "_node"]).select(*cols)
+    # The few buckets at the gap's ends: each host event is tested.
+    first, last = F.floor(F.col("_lo") / width), F.floor(F.col("gap_end") / width)
+    ends = F.when(F.col("_in0") > F.col("_in1"), F.sequence(first, last)).otherwise(F.concat(
+        F.when(first < F.col("_in0"), F.sequence(first, F.col("_in0") - 1)).otherwise(F.array().cast("array<bigint>")),
+        F.when(F.col("_in1") < last, F.sequence(F.col("_in1") + 1, last)).otherwise(F.array().cast("array<bigint>"))))
+    edge = slim.withColumn("_bucket", F.explode(ends)).join(starts, [*K, "_bucket"]).where(
         (F.col("host_ts") >= F.col("_lo")) & (F.col("host_ts") <= F.col("gap_end")) & (F.col("host_end") >= F.col("gap_start"))).select(*cols)
     pairs = inner.unionByName(edge)
     if max_offset_us is None:
-        # Host events that began before the gap and reach into it: met in the bucket of its start only.
-        begun = slim.withColumn("_bucket", F.floor(F.col("gap_start") / width)).join(
-            list_buckets(hosts, F.col("host_ts"), F.col("host_end"), bucket_us), [*K, "_bucket"]).where(
-            (F.col("host_ts") < F.col("gap_start")) & (F.col("host_end") >= F.col("gap_start")))
+        # Host events that began before the gap and reach into it are those around its start.
+        begun = spans_around(slim, hosts.where("host_dur > 0"), K, "gap_start", "host_ts", "host_end").where("host_ts < gap_start")
         pairs = pairs.unionByName(begun.select(*cols))
     best = top_k(pairs, [*K, *GAP_ID], order, top_n)
     if not keep_empty:
@@ -128,31 +132,33 @@ PATTERN_CONFIDENCE = {"CPU_SCHED_CONTENTION": 0.85, "IO_BLOCK": 0.78, "MEMORY_PR
 
 
 def gap_lookback(gaps: DataFrame, signals: DataFrame, K: Sequence[str] = K, lookback_us: dict[str, int] = LOOKBACK_US,
-                 launch_gap_us: int = 20_000, bucket_us: int | None = None) -> DataFrame:
+                 launch_gap_us: int = 20_000, split_rows: int | None = None) -> DataFrame:
     """Evidence before each gap and the strongest cause pattern.
 
-    ``signals`` holds ``ts`` and the booleans ``queue_high, sched_delay, io_pending, d_state, major_fault``.
-    One join covers the longest look-back; each pattern only counts signals inside its own.
+    ``signals`` holds ``ts`` and the booleans ``queue_high, sched_delay, io_pending, d_state, major_fault``.  Gaps and signals are
+    merged by time and the last time of each flag is carried along, so a flag was seen in a look-back if its last time lies in
+    it: one row per gap and signal, no pairs.
     """
-    far = max(lookback_us.values())
-    slim = gaps.select(*K, *GAP_ID, "gap_dur")
-    pts = signals.select(*K, F.col("ts").alias("_at"), "queue_high", "sched_delay", "io_pending", "d_state", "major_fault")
-    pts = pts.where("queue_high or sched_delay or io_pending or d_state or major_fault")
-    pairs = points_in_intervals(slim, pts, K, F.col("gap_start") - far, F.col("gap_start") - 1, "_at", bucket_us or far)
+    flags = ("queue_high", "sched_delay", "io_pending", "d_state", "major_fault")
+    gap = F.struct(*[c for c in gaps.columns if c not in K])
+    asks = gaps.select(*K, F.col("gap_start").alias("_at"), gap.alias("_gap"), F.lit(0).alias("_side"))
+    points = signals.select(*K, F.col("ts").alias("_at"), *flags, F.lit(1).alias("_side")).where(" or ".join(flags))
+    both = asks.unionByName(points, allowMissingColumns=True)
+    # a signal at the gap's start comes after the gap, so it does not count
+    seq = KeyedSequence(both, K, ["_at", "_side", F.xxhash64("_gap", *flags)], split_rows)
+    seq.scan({f"_last_{f}": ("max", F.when(F.col(f), F.col("_at"))) for f in flags} | {"_last": ("max", F.when(F.col("_side") == 1, F.col("_at")))})
+    rows = seq.result().where("_side = 0").select(*K, "_gap.*", *[f"_last_{f}" for f in flags], "_last")
 
     def seen(flag: str, pattern: str):
-        return F.coalesce(F.bool_or(F.col(flag) & (F.col("_at") >= F.col("gap_start") - lookback_us[pattern])),
-                          F.lit(False))
+        return F.coalesce(F.col(f"_last_{flag}") >= F.col("gap_start") - lookback_us[pattern], F.lit(False))
 
-    facts = pairs.groupBy(*K, *GAP_ID).agg(
+    out = rows.select(
+        *gaps.columns,
         (seen("queue_high", "CPU_SCHED_CONTENTION") & seen("sched_delay", "CPU_SCHED_CONTENTION")).alias("_a"),
-        (seen("io_pending", "IO_BLOCK") & seen("d_state", "IO_BLOCK")).alias("_b"),
-        seen("major_fault", "MEMORY_PRESSURE").alias("_c"), F.max("_at").alias("closest_ts"))
-    out = gaps.join(facts, [*K, *GAP_ID], "left")
-    no = F.lit(False)
+        (seen("io_pending", "IO_BLOCK") & seen("d_state", "IO_BLOCK")).alias("_b"), seen("major_fault", "MEMORY_PRESSURE").alias("_c"),
+        F.when(F.col("_last") >= F.col("gap_start") - max(lookback_us.values()), F.col("_last")).alias("closest_ts"))
     pattern = X.first_match(
-        (F.coalesce("_a", no), "CPU_SCHED_CONTENTION"), (F.coalesce("_b", no), "IO_BLOCK"),
-        (F.coalesce("_c", no), "MEMORY_PRESSURE"), (F.col("gap_dur") > launch_gap_us, "KERNEL_LAUNCH_GAP"))
+        (F.col("_a"), "CPU_SCHED_CONTENTION"), (F.col("_b"), "IO_BLOCK"), (F.col("_c"), "MEMORY_PRESSURE"), (F.col("gap_dur") > launch_gap_us, "KERNEL_LAUNCH_GAP"))
     return out.withColumn("pattern", pattern).withColumn(
         "confidence", X.lookup(F.col("pattern"), PATTERN_CONFIDENCE)).drop("_a", "_b", "_c")
 

@@ -116,8 +116,8 @@ def pair_begin_end(ev: DataFrame, K: Sequence[str] = K, by: Sequence[str] = ("pi
     cols = ev.columns
     rest = ev.where(~F.col("ph").isin("B", "E", "M"))
     seq = KeyedSequence(ev.where(F.col("ph").isin("B", "E")), [*K, *by], order, split_rows)
-    seq.running("_raw", "sum", F.when(F.col("ph") == "B", 1).otherwise(-1).cast("long"))
-    seq.running("_low", "min", "_raw")
+    step = F.when(F.col("ph") == "B", 1).otherwise(-1).cast("long")
+    seq.scan({"_raw": ("sum", step), "_low": ("low", step)})
     depth = F.col("_raw") - F.least(F.lit(0).cast("long"), "_low")
     seq.derive(_level=F.when(F.col("ph") == "B", depth).otherwise(depth + 1))
     seq.shift({"_p_ph": "ph", "_p_ts": "ts"}, by=-1, within=["_level"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from perfloom.functions import exprs as X
 from perfloom.operators.sequence import KeyedSequence
+from perfloom.shared import ship
 
 LK = ("log_id",)
 # Fixed values: (metric, pattern, unit) in matching order; a unit of None takes the second group.
@@ -115,50 +117,70 @@ def argument_group(key: str | Column) -> Column:
                          (last.isin(*CONFIG_KEYS), "config"), (last.rlike("spec|eagle3"), "speculative"), default="feature")
 
 
-#: Levels of containers inside a value; a deeper one is read as far as it goes.
-_LEVELS = 6
+_TOKEN = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|[{}\[\](),:]|[^\s{}\[\](),:'\"]+|['\"]", re.S)
+_CLOSES = {"}": "{", "]": "[", ")": "("}
 
 
-def _container(left: str, right: str, levels: int = _LEVELS) -> str:
-    """Pattern of a balanced container, strings inside it skipped."""
-    text = r"'[^']*'|\"[^\"]*\""
-    inner = ""
-    for _ in range(levels):
-        inner = rf"\{left}(?:{text}|[^\{left}\{right}'\"]{inner and '|' + inner})*\{right}"
-    return inner
+def literal_pairs(text: str | None) -> list[tuple[str, str]]:
+    """(dotted key, value text) of the pairs of a Python literal, from inside its outer brace, to any depth.
 
-
-_VALUE = rf"'[^']*'|\"[^\"]*\"|{_container('{', '}')}|{_container('[', ']')}|[\w.]+{_container('(', ')')}|{_container('(', ')')}|[^,{{}}\[\]]+"
-_PAIR = rf"'([^']+)'\s*:\s*({_VALUE})"
+    A stack of open brackets says where a value ends, so a value that is no literal (a call, a representation) is kept as it
+    stands and hides nothing around it. Dictionaries that are values are opened under their key; what is inside lists and calls
+    is not. A text that breaks off gives its open values as far as they go. A closing bracket that nothing opened is skipped, one
+    that closes an outer bracket closes the inner ones too.
+    """
+    out: list[tuple[str, str]] = []
+    stack = ["{"]
+    # open dictionaries: brackets around them, dotted key, key of the pair that is read, its value's start, whether a key may come
+    dicts: list[list] = [[1, "", None, None, True]]
+    last, end = None, 0
+
+    def close(at: int) -> None:
+        d = dicts[-1]
+        if d[2] is not None and d[3] is not None:
+            out.append((d[2], text[d[3] : at].strip()))
+        d[2] = d[3] = None
+
+    for m in _TOKEN.finditer(text or ""):
+        token, d = m[0], dicts[-1]
+        direct = d[0] == len(stack)
+        if token in "{[(":
+            opens = token == "{" and direct and d[3] is not None and not text[d[3] : m.start()].strip()
+            stack.append(token)
+            if opens:
+                dicts.append([len(stack), d[2], None, None, True])
+        elif token in _CLOSES:
+            if _CLOSES[token] in stack:
+                while True:
+                    if dicts[-1][0] == len(stack):
+                        close(m.start())
+                        dicts.pop()
+                    if stack.pop() == _CLOSES[token]:
+                        break
+                if not dicts:
+                    return [(k, v) for k, v in out if v]
+        elif token == "," and direct:
+            close(m.start())
+            d[4] = True
+        elif token == ":" and direct and d[4] and last:
+            d[2] = f"{d[1]}.{last}" if d[1] else last
+            d[3], d[4] = m.end(), False
+        last = token[1:-1] if len(token) > 1 and token[0] in "'\"" else None
+        end = m.end()
+    while dicts:
+        close(end)
+        dicts.pop()
+    return [(k, v) for k, v in out if v]
 
 
 def launch_args(lines: DataFrame, K: Sequence[str] = LK, marker: str = "non-default args:") -> DataFrame:
-    """(key, value, group) of the first argument line of each log.
-
-    The literal is read as key/value pairs, one nesting level at a time, which also serves truncated lines and object
-    representations; nested pairs come out under dotted keys next to their parent, to any of the levels that a value is
-    matched to.
-    """
+    """(key, value, group) of the first argument line of each log; nested pairs under dotted keys next to their parent."""
     raw = lines.where(F.col("value").contains(marker)).where(
         F.substring_index("value", marker, -1).contains("{")).groupBy(*K).agg(F.min_by("value", "seq").alias("_l"))
     body = F.regexp_extract("_l", marker + r"\s*.*?\{(.*)$", 1)
     q = lambda c: F.regexp_replace(F.trim(c), "^['\"]|['\"]$", "")
     body = F.regexp_replace(F.regexp_replace(body, r'"([\w.\-]+)"\s*:', "'$1':"), r"\bnull\b", "None")
-
-    def pairs(text: Column) -> Column:
-        return F.zip_with(F.regexp_extract_all(text, F.lit(_PAIR), 1), F.regexp_extract_all(text, F.lit(_PAIR), 2),
-                          lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-
-    # one column of open rows per line: each level appends what its containers hold, so lines are read once
-    def opened(items: Column) -> Column:
-        inside = F.transform(F.filter(items, lambda p: p["v"].startswith("{")), lambda p: F.transform(
-            pairs(F.substring(p["v"], 2, 1 << 30)), lambda n: F.struct(F.concat_ws(".", p["k"], n["k"]).alias("k"), n["v"].alias("v"))))
-        return F.flatten(inside)
-
-    level = pairs(body)
-    rows = raw.select(*K, level.alias("_l0"))
-    for i in range(1, _LEVELS):
-        rows = rows.withColumn(f"_l{i}", opened(F.col(f"_l{i - 1}")))
-    rows = rows.select(*K, F.explode(F.flatten(F.array(*[f"_l{i}" for i in range(_LEVELS)]))).alias("_p")).select(
-        *K, F.col("_p.k").alias("key"), F.col("_p.v").alias("_v")).where(is_interesting("key") & (F.trim("_v") != ""))
-    return rows.select(*K, "key", q(F.col("_v")).alias("value"), argument_group("key").alias("group"))
+    ship(lines.sparkSession)
+    pairs = F.pandas_udf(lambda texts: texts.map(literal_pairs), "array<struct<k: string, v: string>>")
+    rows = raw.select(*K, body.alias("_b")).select(*K, F.inline(pairs("_b"))).where(is_interesting("k") & (F.trim("v") != ""))
+    return rows.select(*K, F.col("k").alias("key"), q(F.col("v")).alias("value"), argument_group("k").alias("group"))

@@ -26,8 +26,8 @@ def nearest(wanted: DataFrame, table: DataFrame, keys: Sequence[str], want: str,
     both = _merged(wanted, table, keys, want, size, payload, tie)
     side = F.col("_ask").isNotNull().cast("int")
     spread = F.xxhash64("_ask")
-    seq = KeyedSequence(both, keys, [F.col("_x"), side, spread], split_rows).running("_below", "last", "_hit")
-    up = KeyedSequence(seq.result(), keys, [-F.col("_x"), side, spread], split_rows).running("_above", "last", "_hit").result()
+    # table rows come before wanted rows of their size, so an equal size is met from below
+    up = KeyedSequence(both, keys, [F.col("_x"), side, spread], split_rows).scan({"_below": ("last", "_hit"), "_above": ("next", "_hit")}).result()
     lo = F.when(F.col("_below").isNotNull(), F.struct(
         (F.col("_x") - F.col("_below._x")).alias("d"), F.col("_below._t").alias("t"), F.col("_below._pay").alias("p"),
         F.col("_below._x").alias("s")))

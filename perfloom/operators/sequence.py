@@ -3,7 +3,8 @@
 A plain ``Window.partitionBy(key)`` sorts a whole key in one task.  ``KeyedSequence`` gives the same answers but cuts
 keys of more than ``split_rows`` counted rows into order-preserving chunks: windows run per (key, chunk), one row per chunk
 is carried over to the next chunk, and the carry comes back through a join on (key, chunk).  Chunk bounds come from a hash
-sample of the hot keys only.  Where keys are cut, the rows go to the shared folder once per step, so no step repeats another.
+sample of the hot keys only.  Where keys are cut, the rows go to the shared folder once per step, so no step repeats another;
+``scan`` takes any number of folds in one step.
 """
 
 from __future__ import annotations
@@ -51,6 +52,10 @@ def _pick_chunk(bounds: Column, point: Column) -> Column:
     return head * FANOUT + F.size(F.filter(tail, lambda b: b <= point))
 
 
+_RUNNING = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True), "next": lambda c: F.first(c, ignorenulls=True)}
+_TOTAL = {"sum": F.sum, "max": F.max, "count": F.count}
+
+
 class KeyedSequence:
     """Rows of ``df`` grouped by ``keys`` in ascending ``order`` (names or columns; negate numbers for descending).
 
@@ -128,51 +133,84 @@ class KeyedSequence:
         self.columns = self.columns + list(values)
         return self
 
-    def running(self, name: str, how: str, value: str | Column, within: Sequence[str] = ()) -> "KeyedSequence":
-        """Running ``sum``/``min``/``max``/``last`` (last non-null) from the start of the key to the current row."""
-        keys = self.keys + list(within)
-        value = F.col(value) if isinstance(value, str) else value
-        w = self._window(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        fold = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
-        if not self.split:
-            self.df = self.df.withColumn(name, fold(value).over(w))
-        else:
-            self.df = self.df.withColumn("_v", value)
-            self.df = self.df.withColumn(name, fold("_v").over(w))
-            before = lambda cw: cw.rowsBetween(Window.unboundedPreceding, -1)
-            if how == "last":
-                edge = F.when(F.col("_v").isNotNull(), F.struct(*self._order))
-                self._carry(keys, F.max_by("_v", edge), lambda cw: fold("_sum").over(before(cw)))
-                joined = F.coalesce(name, "_carry")
-            else:
-                self._carry(keys, fold("_v"), lambda cw: fold("_sum").over(before(cw)))
-                if how == "sum":
-                    joined = F.when(F.col(name).isNull(), F.col("_carry")).otherwise(
-                        F.col(name) + F.coalesce("_carry", F.lit(0)))
-                else:
-                    joined = (F.least if how == "min" else F.greatest)(name, "_carry")
-            self.df = self.df.withColumn(name, joined).drop("_carry", "_v")
-        self.columns = self.columns + [name]
+    def scan(self, running: dict[str, tuple[str, str | Column]], total: dict[str, tuple[str, str | Column]] | None = None,
+             within: Sequence[str] = ()) -> "KeyedSequence":
+        """Several folds in one pass: one rewrite of the rows, one aggregate per chunk and one join, however many there are.
+
+        ``running`` columns fold from the start of the key to the current row: ``sum``, ``min``, ``max``, ``last`` (last non-null),
+        ``low`` (least running sum so far); ``next`` is the first non-null value from the current row on. ``total`` columns hold
+        ``sum``, ``max`` or ``count`` over the whole key.
+        """
+        keys, total = self.keys + list(within), total or {}
+        value = {n: F.col(v) if isinstance(v, str) else v for n, (_, v) in {**running, **total}.items()}
+        how = {n: h for n, (h, _) in running.items()}
+        held = {n: f"_v_{n}" for n in value} if self.split else {}
+        if self.split:
+            self.df = self.df.withColumns({held[n]: v for n, v in value.items()})
+            value = {n: F.col(c) for n, c in held.items()}
+        w = self._window(keys)
+        up, down = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        own = {n: _RUNNING[h](value[n]).over(down if h == "next" else up) for n, h in how.items() if h != "low"}
+        own |= {f"_at_{n}": F.sum(value[n]).over(up) for n, h in how.items() if h == "low"}
+        whole = Window.partitionBy(*self.keys, *(["_chunk"] if self.split else []))
+        own |= {n: _TOTAL[h](value[n]).over(whole) for n, (h, _) in total.items()}
+        self.df = self.df.withColumns(own)
+        if lows := {n: F.min(f"_at_{n}").over(up) for n, h in how.items() if h == "low"}:
+            self.df = self.df.withColumns(lows)
+        if self.split:
+            self._add_carry(keys, how, {n: h for n, (h, _) in total.items()}, held)
+        self.df = self.df.drop(*held.values(), *[f"_at_{n}" for n in how])
+        self.columns = self.columns + list(running) + list(total)
         return self
 
+    def _add_carry(self, keys: list[str], how: dict[str, str], total: dict[str, str], held: dict[str, str]) -> None:
+        """Joins what the chunks before (or after) each chunk fold to, and adds it to the chunk's own columns."""
+        self.df = written(self.df)
+        place = F.struct(*self._order)
+        states = {}
+        for n, h in how.items():
+            v = F.col(held[n])
+            seen = F.when(v.isNotNull(), place)
+            states |= {"last": {f"_s_{n}": F.max_by(v, seen)}, "next": {f"_s_{n}": F.min_by(v, seen)},
+                       "low": {f"_s_{n}": F.sum(v), f"_m_{n}": F.min(f"_at_{n}")}}.get(h) or {f"_s_{n}": _RUNNING[h](v)}
+        states |= {f"_t_{n}": _TOTAL[h](F.col(held[n])) for n, h in total.items()}
+        parts = self.df.where("_hot").groupBy(*keys, "_chunk").agg(*[c.alias(n) for n, c in states.items()])
+        line = Window.partitionBy(*keys).orderBy("_chunk")
+        before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+        every = Window.partitionBy(*keys)
+        carry = {}
+        for n, h in how.items():
+            s = F.col(f"_s_{n}")
+            carry[f"_c_{n}"] = F.sum(s).over(before) if h == "low" else _RUNNING[h](s).over(after if h == "next" else before)
+        carry |= {f"_a_{n}": ((F.max if h == "max" else F.sum)(f"_t_{n}")).over(every) for n, h in total.items()}
+        parts = parts.withColumns(carry)
+        if lows := [n for n, h in how.items() if h == "low"]:
+            zero = F.lit(0).cast("long")
+            parts = parts.withColumns({f"_l_{n}": F.min(F.coalesce(f"_c_{n}", zero) + F.col(f"_m_{n}")).over(before) for n in lows})
+        names = {k: f"_p_{k}" for k in keys} | {"_chunk": "_p_chunk"}
+        parts = parts.select(*[F.col(k).alias(v) for k, v in names.items()], *carry, *[f"_l_{n}" for n in lows])
+        out = self.df.join(parts, _equal(self.df, parts, list(names.items())), "left").drop(*names.values())
+        joined = {}
+        for n, h in how.items():
+            c, own = F.col(f"_c_{n}"), F.col(n)
+            if h == "sum":
+                joined[n] = F.when(own.isNull(), c).otherwise(own + F.coalesce(c, F.lit(0)))
+            elif h == "last" or h == "next":
+                joined[n] = F.coalesce(own, c)
+            elif h == "low":
+                joined[n] = F.least(F.coalesce(c, F.lit(0).cast("long")) + own, f"_l_{n}")
+            else:
+                joined[n] = (F.least if h == "min" else F.greatest)(own, c)
+        joined |= {n: F.when(F.col("_hot"), F.col(f"_a_{n}")).otherwise(F.col(n)) for n in total}
+        self.df = out.withColumns(joined).drop(*carry, *[f"_l_{n}" for n in lows])
+
+    def running(self, name: str, how: str, value: str | Column, within: Sequence[str] = ()) -> "KeyedSequence":
+        """One running column; see ``scan``."""
+        return self.scan({name: (how, value)}, within=within)
+
     def total(self, name: str, how: str, value: str | Column) -> "KeyedSequence":
         """``sum``, ``max`` or ``count`` over the whole key on every row."""
-        value = F.col(value) if isinstance(value, str) else value
-        fold = {"sum": F.sum, "max": F.max, "count": F.count}[how]
-        w = Window.partitionBy(*self.keys, *(["_chunk"] if self.split else []))
-        if not self.split:
-            self.df = self.df.withColumn(name, fold(value).over(w))
-        else:
-            self.df = self.df.withColumn("_v", value)
-            self.df = self.df.withColumn(name, fold("_v").over(w))
-            self.df = written(self.df)
-            hot = self.df.where("_hot").groupBy(*self.keys).agg(fold("_v").alias("_all"))
-            hot = hot.select(*[F.col(k).alias(f"_p_{k}") for k in self.keys], "_all")
-            self.df = self.df.join(hot, _equal(self.df, hot, [(k, f"_p_{k}") for k in self.keys]), "left")
-            self.df = self.df.withColumn(name, F.when(F.col("_hot"), F.col("_all")).otherwise(F.col(name))).drop(
-                "_all", "_v", *[f"_p_{k}" for k in self.keys])
-        self.columns = self.columns + [name]
-        return self
+        return self.scan({}, {name: (how, value)})
 
     def rank(self, name: str = "rank", within: Sequence[str] = ()) -> "KeyedSequence":
         """1-based position inside the key."""
@@ -206,8 +244,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str
     same histogram.
     """
     hist = value_counts(df, keys, value)
-    ranked = (KeyedSequence(hist, keys, [value], split_rows).running("_hi", "sum", "_freq").total("_n", "sum", "_freq")
-              .total("_max", "max", value).result())
+    ranked = (KeyedSequence(hist, keys, [value], split_rows).scan({"_hi": ("sum", "_freq")}, {"_n": ("sum", "_freq"), "_max": ("max", value)}).result())
 
     def at(pos: Column) -> Column:      # value at 0-based position
         return F.max(F.when((F.col("_hi") - F.col("_freq") <= pos) & (pos < F.col("_hi")), F.col(value)))

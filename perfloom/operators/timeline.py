@@ -67,7 +67,7 @@ def pareto(df: DataFrame, K: Sequence[str], measure: str, threshold: float = 0.8
            top_n: int | None = None, split_rows: int | None = None) -> DataFrame:
     """Largest rows per key until they cover ``threshold`` of the total, the crossing row included."""
     seq = KeyedSequence(df, K, [-F.col(measure), *ties], split_rows)
-    out = seq.running("cum", "sum", measure).rank("rank").total("_total", "sum", measure).result()
+    out = seq.scan({"cum": ("sum", measure), "rank": ("sum", F.lit(1).cast("long"))}, {"_total": ("sum", measure)}).result()
     out = out.where((F.col("_total") > 0) & ((F.col("cum") - F.col(measure)) < F.col("_total") * F.lit(threshold)))
     if top_n:
         out = out.where(F.col("rank") <= top_n)
@@ -209,7 +209,7 @@ def hot_functions(ev: DataFrame, K: Sequence[str] = K, top_n: int = 20, categori
 def downsample(df: DataFrame, K: Sequence[str], order: Sequence[str], keep: int = 500,
                split_rows: int | None = None) -> DataFrame:
     """At most ``keep`` rows per key at an even step over its whole range, as a report series."""
-    out = KeyedSequence(df, K, order, split_rows).rank("_r").total("_n", "count", F.lit(1)).result()
+    out = KeyedSequence(df, K, order, split_rows).scan({"_r": ("sum", F.lit(1).cast("long"))}, {"_n": ("count", F.lit(1))}).result()
     step = F.ceil(F.col("_n") / keep)
     return out.where((F.col("_r") - 1) % step == 0).drop("_r", "_n")
 
@@ -226,9 +226,7 @@ def spikes(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 def ffill(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
           split_rows: int | None = None) -> DataFrame:
     """Carry the last non-null value of each column down."""
-    seq = KeyedSequence(df, keys, order, split_rows)
-    for c in cols:
-        seq.running(f"{c}_filled", "last", c)
+    seq = KeyedSequence(df, keys, order, split_rows).scan({f"{c}_filled": ("last", c) for c in cols})
     return seq.result().drop(*cols).withColumnsRenamed({f"{c}_filled": c for c in cols})
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from perfloom.operators.configdiff import parse_json_tolerant
 from perfloom.plans.registry import query
 from perfloom.plans.views import view
+from perfloom.shared import shared_dir
 from perfloom.sources import cluster as SC
 from perfloom.sources import events as SE
 from perfloom.sources import files as SF
@@ -51,12 +52,14 @@ def read_perf_lines(s, d):
 
 
 @query("read_perf_samples", "lt", """
-SELECT trace_id, seq, ts, pid, cpu, 'fn_' || CAST(cpu AS STRING) AS name, 2 AS depth FROM lt UNION ALL SELECT trace_id, seq + 1, ts, pid, cpu, 'swapper', 0 FROM lt""")
+SELECT trace_id, 2 * seq AS seq, ts, pid, cpu, 'fn_' || CAST(cpu AS STRING) AS name, 2 AS depth FROM lt UNION ALL SELECT trace_id, 2 * seq + 1, ts, pid, cpu, 'swapper task', 0 FROM lt""")
 def read_perf_samples(s, d):
     sec = F.concat(_sec(), F.format_string(" CPU: %d", "cpu"))
-    block = F.concat(F.format_string("app %d ", "pid"), sec, F.format_string("\n\tfn_%d ([kernel])\n\tmain (/bin/app)\n", "cpu"),
-                     F.format_string("swapper %d ", "pid"), sec)
-    rows = _lt(s, d).select("trace_id", "seq", F.when(F.col("seq") % 2 == 0, F.replace(block, F.lit("\n"), F.lit("\r\n"))).otherwise(block).alias("value"))
+    full = F.concat(F.format_string("app %d ", "pid"), sec, F.format_string("\n\tfn_%d ([kernel])\n\tmain (/bin/app)\n", "cpu"))
+    bare = F.concat(F.format_string("swapper task %d ", "pid"), sec)
+    end = F.when(F.col("seq") % 2 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))
+    rows = _lt(s, d).select("trace_id", F.inline(F.array(
+        F.struct((2 * F.col("seq")).alias("seq"), F.replace(full, F.lit("\n"), end).alias("value")), F.struct((2 * F.col("seq") + 1).alias("seq"), bare.alias("value")))))
     return SE._perf_events(rows).select("trace_id", "seq", "ts", "pid", "cpu", "name", F.get_json_object("args", "$.stack_depth").cast("int").alias("depth"))
 
 
@@ -112,3 +115,17 @@ def read_dump_repair(s, d):
     odd = F.when(k == 1, F.replace(text, F.lit("x_"), F.lit("x\\_"))).when(k == 4, F.lit("{no json")).otherwise(text)
     doc = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("dump_id"), parse_json_tolerant(odd).alias("v"))
     return doc.select("dump_id", F.try_variant_get("v", "$.name", "string").alias("name"), F.try_variant_get("v", "$.segment", "string").alias("segment"))
+
+
+@query("read_trace_documents", "tv", """
+SELECT trace_id, seq, ts, dur, pid, tid, name, 'X' AS ph FROM tv""")
+def read_trace_documents(s, d):
+    """Events written as JSON documents of one line each, which the reader splits."""
+    args = F.struct(F.col("trace_id").cast("string").alias("trace"), F.col("seq").cast("string").alias("at"), F.lit('}],"{').alias("note"))
+    ev = view(s, d, "tv").select(F.to_json(F.struct("name", "ts", "dur", "pid", "tid", F.lit("X").alias("ph"), args.alias("args"))).alias("value"))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    path = shared_dir(s)
+    ev.select(F.when(first, F.concat(F.lit('{"a": {"x": []}, "traceEvents": ['), "value")).otherwise(F.col("value")).alias("value")).write.option("lineSep", ",").text(path)
+    a = {c: F.get_json_object("args", f"$.{c}") for c in ("trace", "at")}
+    found = SE.chrome_trace(s, path).where(F.get_json_object("args", "$.note") == '}],"{')
+    return found.select(a["trace"].cast(view(s, d, "tv").schema["trace_id"].dataType).alias("trace_id"), a["at"].cast("long").alias("seq"), "ts", "dur", "pid", "tid", "name", "ph")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perfloom.sources.documents import json_objects
 from perfloom.sources.files import file_id
 
 # Canonical column -> names in text, old-table and new-table exports.
@@ -61,26 +62,40 @@ def group_json(spark: SparkSession, path: str) -> DataFrame:
     return doc.select("cluster_id", F.array_distinct(F.flatten(both)).alias("ranks"))
 
 
-COMM_TIME_SCHEMA = ("map<string, map<string, map<string, struct<rank_id:int, communication_time_info:struct<wait_time_ms:double, "
-                    "transit_time_ms:double, synchronization_time_ms:double>>>>>")
+TIMES = "struct<rank_id:int, communication_time_info:struct<wait_time_ms:double, transit_time_ms:double, synchronization_time_ms:double>>"
 LINK = "struct<`Transport Type`:string, `Transit Time(ms)`:double, `Transit Size(MB)`:double, `Op Name`:string, `Bandwidth(GB/s)`:double>"
-COMM_MATRIX_SCHEMA = f"map<string, map<string, map<string, map<string, {LINK}>>>>"
+LINKS = f"map<string, {LINK}>"
+
+
+def _operations(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """group -> step -> operation of documents of any size: one row per operation, read by many tasks."""
+    found = json_objects(spark, path, [(None, None)], kind="{")
+    return _named(found.select(
+        file_id(F.col("file")).alias("cluster_id"), F.col("keys")[0].alias("group"), F.col("keys")[1].alias("step"),
+        F.col("keys")[2].alias("_op"), F.from_json("text", schema).alias("info")))
+
+
+def _named(ops: DataFrame) -> DataFrame:
+    """The operation name before '@', without the totals."""
+    return ops.withColumn("op_name", F.substring_index("_op", "@", 1)).where(~F.lower("op_name").startswith("total")).drop("_op")
 
 
 def _levels(df: DataFrame, keys: list[str]) -> DataFrame:
-    """group -> step -> operation: three map explodes, then the operation name before '@' without the totals."""
-    return (
+    """group -> step -> operation of nested maps: three explodes."""
+    return _named(
         df.select(*keys, F.explode("doc").alias("group", "_s"))
         .select(*keys, "group", F.explode("_s").alias("step", "_o"))
-        .select(*keys, "group", "step", F.explode("_o").alias("_op", "info"))
-        .withColumn("op_name", F.substring_index("_op", "@", 1)).where(~F.lower("op_name").startswith("total")).drop("_op")
-    )
+        .select(*keys, "group", "step", F.explode("_o").alias("_op", "info")))
 
 
 def comm_time_rows(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Rows (milliseconds) of nested communication-time documents; elapsed = transit + wait + synchronisation."""
     keys = keys or ["cluster_id"]
-    t = _levels(docs, keys).where("info.communication_time_info is not null")
+    return _times(_levels(docs, keys), keys)
+
+
+def _times(ops: DataFrame, keys: list[str]) -> DataFrame:
+    t = ops.where("info.communication_time_info is not null")
     z = {n: F.coalesce(F.col(f"info.communication_time_info.{f}"), F.lit(0.0)) for n, f in
          (("transit", "transit_time_ms"), ("wait", "wait_time_ms"), ("sync", "synchronization_time_ms"))}
     return t.select(*keys, "group", "step", "op_name", F.col("info.rank_id").alias("rank"),
@@ -90,7 +105,11 @@ def comm_time_rows(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def comm_matrix_rows(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per link of nested matrix documents; pairs that are not ``int-int`` are dropped."""
     keys = keys or ["cluster_id"]
-    links = _levels(docs, keys).select(*keys, "group", "step", "op_name", F.explode("info").alias("_pair", "_l"))
+    return _links(_levels(docs, keys), keys)
+
+
+def _links(ops: DataFrame, keys: list[str]) -> DataFrame:
+    links = ops.select(*keys, "group", "step", "op_name", F.explode("info").alias("_pair", "_l"))
     src, dst = (F.regexp_extract("_pair", r"^\s*(\d+)\s*-\s*(\d+)\s*$", i).try_cast("long") for i in (1, 2))
 
     def n(name):
@@ -104,11 +123,11 @@ def comm_matrix_rows(docs: DataFrame, keys: list[str] | None = None) -> DataFram
 
 
 def comm_time_json(spark: SparkSession, path: str) -> DataFrame:
-    return comm_time_rows(_documents(spark, path, COMM_TIME_SCHEMA))
+    return _times(_operations(spark, path, TIMES), ["cluster_id"])
 
 
 def comm_matrix_json(spark: SparkSession, path: str) -> DataFrame:
-    return comm_matrix_rows(_documents(spark, path, COMM_MATRIX_SCHEMA))
+    return _links(_operations(spark, path, LINKS), ["cluster_id"])
 
 
 # Profile CSV -> (output column, header, type).

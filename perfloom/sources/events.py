@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perfloom.functions import exprs as X
 from perfloom.operators.events import locate_from_args, normalize
+from perfloom.shared import ship
+from perfloom.sources.documents import batches_of, by_split, joined_parts, json_objects
 from perfloom.sources.files import file_id, numbered_lines
 
 _NUM = r"-?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?"
@@ -22,7 +25,7 @@ def _whole(text: Column) -> Column:
 def chrome_trace(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
     """``{"traceEvents": [...]}`` or ``[...]``.
 
-    ``document`` parses whole files (many small traces); ``lines`` reads one event per line, so large files split.
+    ``document`` takes JSON laid out in any way, ``lines`` is quicker for one event per line; both read large files by many tasks.
     Items that are no objects, or whose numbers do not parse, are dropped.
     """
     if layout == "lines":
@@ -31,12 +34,8 @@ def chrome_trace(spark: SparkSession, path: str, layout: str = "document") -> Da
         body = F.regexp_replace(body, r'^\{\s*"traceEvents"\s*:\s*\[\s*', "")
         items = lines.select("trace_id", "seq", F.try_parse_json(body).alias("e"))
     else:
-        raw = spark.read.text(path, wholetext=True)
-        doc = raw.select(file_id(F.col("_metadata.file_path")).alias("trace_id"), F.try_parse_json("value").alias("d"))
-        inner = F.coalesce(F.try_variant_get("d", "$.traceEvents", "variant"), F.col("d"))
-        items = doc.withColumn("d", inner).lateralJoin(
-            spark.tvf.variant_explode(F.col("d").outer()).select(F.col("pos").alias("seq"), F.col("key").alias("_k"), F.col("value").alias("e"))
-        ).where("_k is null").select("trace_id", F.col("seq").cast("long"), "e")
+        found = json_objects(spark, path, [(), ("traceEvents",)])
+        items = found.select(file_id(F.col("file")).alias("trace_id"), "seq", F.try_parse_json("text").alias("e"))
     items = items.where(F.col("e").isNotNull() & F.schema_of_variant("e").startswith("OBJECT"))
     text = {n: F.try_variant_get("e", f"$.{n}", "string") for n in ("ts", "dur", "pid", "tid", "name", "cat", "ph")}
     fields = items.select(
@@ -128,41 +127,99 @@ def ftrace_header(spark: SparkSession, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- perf script
 
-_HEAD = r"^(\S+)\s+(\d+)\s+([\d.]+)\s+CPU:\s*(\d+)"
-_FRAME = r"^\s+([^(]+)\(([^)]+)\)\s*$"
-_ONE_LINE = r"^\s*(\S+)\s+(\d+)/(\d+)\s+\[(\d+)\]\s+(\d+\.\d+):\s+(\w+):(\w+):\s*(.*)"
+def _words(text: Column) -> Column:
+    return F.split(F.trim(text), r"\s+")
 
 
-def perf_script(spark: SparkSession, path: str) -> DataFrame:
-    """Samples: a header line, indented frames; a blank line or the next header ends a sample.
+def _rest(text: Column, mark: str, n: int = 1) -> Column:
+    """What follows the ``n``-th ``mark``."""
+    return F.substring(text, F.length(F.substring_index(text, mark, n)) + len(mark) + 1, F.length(text))
 
-    Blank lines are the record separator, so files split between samples; a record is then cut at its headers.
-    """
-    crlf = not spark.read.option("lineSep", "\n").text(path).limit(100).where(F.col("value").endswith("\r")).isEmpty()
-    return _perf_events(numbered_lines(spark, path, line_sep="\r\n\r\n" if crlf else "\n\n"))
 
+def is_sample_head(line: str) -> bool:
+    """``task pid seconds CPU:n`` without indent."""
+    left, mark, right = line.partition("CPU:")
+    words = left.split()
+    if not mark or line[0].isspace() or len(words) < 3 or not right.lstrip()[:1].isdigit() or not words[-2].isdigit():
+        return False
+    return words[-1].replace(".", "", 1).isdigit()
+
+
+class _Samples:
+    """Lines of a split put together to samples: a head, then the lines up to a blank one or the next head."""
+
+    def __init__(self, file: str, block: int, _state):
+        self.file, self.block, self.seq, self.lines, self.open = file, block, None, [], True
+
+    def add(self, seq: int, line: str) -> Iterator[tuple]:
+        if is_sample_head(line):
+            yield from self._row(True)
+            self.seq, self.lines, self.open = seq, [line], True
+        elif not line.strip():
+            yield from self._row(True)
+            self.open = False
+        elif self.open:
+            self.lines.append(line)
 
-def _perf_events(records: DataFrame) -> DataFrame:
-    blocks = records.withColumn("l", F.split("value", r"\r?\n"))
-    heads = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: F.element_at("l", i).rlike(_HEAD))
-    blocks = blocks.withColumn("h", heads).where(F.size("h") > 0)
-    samples = F.transform("h", lambda i: F.struct(
-        F.element_at("l", i).alias("head"),
-        F.slice("l", i + 1, F.coalesce(F.array_min(F.filter("h", lambda j: j > i)), F.size("l") + 1) - i - 1).alias("rest")))
-    s = blocks.select("trace_id", "seq", F.posexplode(samples).alias("n", "s")).withColumn(
-        "frames", F.transform(F.filter("s.rest", lambda x: x.rlike(_FRAME)), lambda x: F.concat(
-            F.trim(F.regexp_extract(x, _FRAME, 1)), F.lit(" ("), F.trim(F.regexp_extract(x, _FRAME, 2)), F.lit(")"))))
+    def end(self) -> Iterator[tuple]:
+        yield from self._row(not self.open)
 
-    def x(i):
-        return F.regexp_extract("s.head", _HEAD, i)
+    def _row(self, ends: bool) -> Iterator[tuple]:
+        # a split's first lines may belong to a head before it, even if there are none but the blank line that ends the sample
+        if self.open:
+            yield self.file, self.block, self.seq, "".join(x + "\n" for x in self.lines), ends
+        self.seq, self.lines, self.open = None, [], False
 
-    comm = x(1)
+
+def perf_script(spark: SparkSession, path: str) -> DataFrame:
+    """Samples: a head line, indented frames; a blank line or the next head ends a sample.
+
+    Files are read in splits, with line ends of either kind; samples on both sides of a split's end are put together. ``seq`` is
+    the place of the head line.
+    """
+    ship(spark)
+    m = F.col("_metadata")
+    lines = spark.read.text(path).select(
+        m["file_path"].alias("file"), m["file_block_start"].alias("block"), "value", F.lit("").alias("state"),
+        (m["file_block_length"] < m["file_size"]).alias("split"))
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("text", pa.string()), ("ends", pa.bool_())])
+
+    def samples(df: DataFrame) -> DataFrame:
+        return df.select("file", "block", "value", "state").mapInArrow(
+            lambda batches: batches_of(by_split(batches, _Samples), schema), "file string, block long, seq long, text string, ends boolean")
+
+    whole = samples(lines).where("seq is not null and ends")
+    # the last sample of a file ends with it
+    last = samples(lines.where("not split")).where("seq is not null and not ends")
+    parts = joined_parts(samples(lines.where("split")).where("seq is null or not ends")).where("seq is not null")
+    found = whole.select("file", "seq", "text").union(last.select("file", "seq", "text")).union(parts.select("file", "seq", "text"))
+    return _perf_events(found.select(file_id(F.col("file")).alias("trace_id"), "seq", F.col("text").alias("value")))
+
+
+def _perf_events(samples: DataFrame) -> DataFrame:
+    """``trace_id, seq, value``, one sample each; others are dropped."""
+    lines = F.split("value", r"\r?\n")
+    head, words = F.col("_l")[0], F.col("_w")
+    s = samples.select("trace_id", "seq", lines.alias("_l")).withColumn("_w", _words(F.substring_index(head, "CPU:", 1)))
+
+    def frame(line: Column) -> Column:
+        text = F.regexp_replace(line, r"^\s+|\s+$", "")
+        module = F.substring_index(text, "(", -1)
+        name = F.rtrim(F.substring(text, F.lit(1), F.length(text) - F.length(module) - 1))
+        return F.when(line.rlike(r"^\s") & text.endswith(")") & (name != "") & (F.length(module) > 1) & (F.length(module) < F.length(text)),
+                      F.concat(name, F.lit(" ("), F.trim(F.substring(module, F.lit(1), F.length(module) - 1)), F.lit(")")))
+
+    size = F.size(words)
+    s = s.where((size >= 3) & head.contains("CPU:") & ~head.rlike(r"^\s")).select(
+        "trace_id", "seq", F.get(words, size - 2).alias("pid"), F.get(words, size - 1).alias("sec"),
+        F.array_join(F.slice(words, F.lit(1), size - 2), " ").alias("comm"), F.regexp_substr(F.ltrim(_rest(head, "CPU:")), F.lit(r"^\d+")).alias("cpu"),
+        F.array_compact(F.transform(F.slice("_l", F.lit(2), F.size("_l")), frame)).alias("frames"))
+    s = s.where(F.col("pid").try_cast("long").isNotNull() & F.col("sec").try_cast("double").isNotNull() & F.col("cpu").isNotNull())
     return normalize(s.select(
-        "trace_id", (F.col("seq") + F.col("n")).alias("seq"), X.to_us(x(3)).alias("ts"), F.lit(0).alias("dur"),
-        x(2).alias("pid"), x(2).alias("tid"), x(4).alias("cpu"),
-        F.when(F.size("frames") > 0, F.trim(F.substring_index(F.element_at("frames", 1), "(", 1))).otherwise(comm).alias("name"),
+        "trace_id", "seq", X.to_us("sec").alias("ts"), F.lit(0).alias("dur"), "pid", F.col("pid").alias("tid"), "cpu",
+        F.when(F.size("frames") > 0, F.trim(F.substring_index(F.col("frames")[0], " (", 1))).otherwise(F.col("comm")).alias("name"),
         F.lit("cpu_function").alias("cat"), F.lit("I").alias("ph"),
-        F.to_json(F.struct(comm.alias("comm"), F.col("frames").alias("callstack"), F.size("frames").alias("stack_depth"))).alias("args")))
+        F.to_json(F.struct("comm", F.col("frames").alias("callstack"), F.size("frames").alias("stack_depth"))).alias("args")))
 
 
 def perf_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -171,15 +228,25 @@ def perf_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _perf_line_events(lines: DataFrame) -> DataFrame:
-    def x(i):
-        return F.regexp_extract("value", _ONE_LINE, i)
-
-    hit = lines.where(F.col("value").rlike(_ONE_LINE)).select(
-        "trace_id", "seq", X.to_us(x(5)).alias("ts"), F.lit(0).alias("dur"), x(2).alias("pid"), x(3).alias("tid"),
-        x(4).alias("cpu"), F.concat_ws(":", x(6), x(7)).alias("name"), F.lit("cpu_function").alias("cat"), F.lit("I").alias("ph"),
-        F.to_json(F.struct(x(1).alias("task"), x(8).alias("raw"))).alias("args"))
-    rest = _ftrace_events(lines.where(~F.col("value").rlike(_ONE_LINE)), True)
-    return normalize(hit).unionByName(rest)
+    before, after = F.substring_index("value", "]", 1), _rest(F.col("value"), "]")
+    words = _words(F.substring(before, F.lit(1), F.length(before) - F.length(F.substring_index(before, "[", -1)) - 1))
+    ids, tail = F.get(words, F.size(words) - 1), F.trim(_rest(after, ":"))
+    named = lines.withColumns({
+        "_cpu": F.substring_index(before, "[", -1), "_pid": F.substring_index(ids, "/", 1), "_tid": F.substring_index(ids, "/", -1),
+        "_sec": F.trim(F.substring_index(after, ":", 1)), "_event": F.substring_index(tail, ":", 2),
+        "_task": F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), " "), "_raw": F.ltrim(_rest(tail, ":", 2)),
+        "_is": ids.contains("/") & (F.size(F.split(tail, ":")) > 2)})
+    numbers = F.lit(True)
+    for c in ("_cpu", "_pid", "_tid"):
+        numbers = numbers & F.col(c).try_cast("long").isNotNull()
+    hit = F.coalesce(F.col("_is") & numbers & F.col("_sec").contains(".") & F.col("_sec").try_cast("double").isNotNull()
+                     & (F.col("_task") != "") & F.col("_event").rlike(r"^\w+:\w+$"), F.lit(False))
+    named = named.withColumn("_is", hit)
+    found = named.where("_is").select(
+        "trace_id", "seq", X.to_us("_sec").alias("ts"), F.lit(0).alias("dur"), F.col("_pid").alias("pid"), F.col("_tid").alias("tid"),
+        F.col("_cpu").alias("cpu"), F.col("_event").alias("name"), F.lit("cpu_function").alias("cat"), F.lit("I").alias("ph"),
+        F.to_json(F.struct(F.col("_task").alias("task"), F.col("_raw").alias("raw"))).alias("args"))
+    return normalize(found).unionByName(_ftrace_events(named.where("not _is").select(*lines.columns), True))
 
 
 def jsonl_events(spark: SparkSession, path: str) -> DataFrame:
@@ -280,18 +347,16 @@ def step_events(steps: DataFrame, keys: Sequence[str] = ("trace_id",)) -> DataFr
 
 
 def step_trace_json(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path, wholetext=True)
-    doc = raw.select(file_id(F.col("_metadata.file_path")).alias("trace_id"), F.try_parse_json("value").alias("d"))
-    inner = F.coalesce(F.try_variant_get("d", "$.steps", "variant"), F.try_variant_get("d", "$.traceEvents", "variant"), F.col("d"))
-    items = doc.withColumn("d", inner).lateralJoin(
-        spark.tvf.variant_explode(F.col("d").outer()).select(F.col("pos").alias("seq"), F.col("key").alias("_k"), F.col("value").alias("e"))
-    ).where("_k is null and schema_of_variant(e) like 'OBJECT%'")
+    """Step records of a root array, or of ``steps`` or else ``traceEvents`` of a root object; ``steps`` with records wins."""
+    first = json_objects(spark, path, [(), ("steps",)])
+    other = json_objects(spark, path, [("traceEvents",)]).join(first.select("file").distinct(), "file", "left_anti")
+    items = first.union(other).select(file_id(F.col("file")).alias("trace_id"), "seq", F.try_parse_json("text").alias("e")).where("e is not null")
 
     def n(*names):
         return F.coalesce(*[_whole(F.try_variant_get("e", f"$.{x}", "string")) for x in names])
 
     steps = items.select(
-        "trace_id", F.col("seq").cast("long"), F.coalesce(n("step_id", "iteration"), F.lit(-1)).alias("step_id"),
+        "trace_id", "seq", F.coalesce(n("step_id", "iteration"), F.lit(-1)).alias("step_id"),
         F.coalesce(n("start_time", "ts"), F.lit(0)).alias("start_time"), n("end_time").alias("end_time"),
         *[n(c).alias(c) for c in ("forward_start", "backward_start", "optimizer_start")])
     ev = step_events(steps)

@@ -87,14 +87,11 @@ def node_logs(spark: SparkSession, path: str, domain: str | None = None) -> Data
     """``file_path, domain, seq, value``: the lines of a node dump tree; archives and database files are no text and left out.
 
     Files are read in splits, so ``seq`` (place of the split, then of the line in it) orders a file's lines without one task
-    holding the file. The listing, which Spark's driver keeps in any case, picks the files; no archive is opened.
+    holding the file. The tree is listed once; the test on the path picks files before any is opened, archives among them.
     """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    paths = [r["path"] for r in listing.where(~F.lower("path").rlike(BINARY_FILES) & (F.size(log_domains(F.col("path"))) > 0)).collect()]
-    raw = spark.read.text(paths) if paths else spark.createDataFrame([], "value string").withColumn("_metadata", F.struct(
-        F.lit("").alias("file_path"), F.lit(0).cast("long").alias("file_block_start")))
-    lines = raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_at"), "value").withColumn(
-        "_row", F.monotonically_increasing_id())
+    file = F.col("_metadata.file_path")
+    raw = spark.read.option("recursiveFileLookup", True).text(path).where(~F.lower(file).rlike(BINARY_FILES) & (F.size(log_domains(file)) > 0))
+    lines = raw.select(file.alias("file_path"), F.col("_metadata.file_block_start").alias("_at"), "value").withColumn("_row", F.monotonically_increasing_id())
     out = lines.select("file_path", F.explode(log_domains(F.col("file_path"))).alias("domain"), F.struct("_at", "_row").alias("seq"), "value")
     return out.where(F.col("domain") == domain) if domain else out
 

@@ -6,7 +6,6 @@ the watermark are dropped, rows out of order inside it give the batch result.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -15,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from perfloom.operators.events import K
 from perfloom.operators.timeline import _summary_aggs, device_kernels
 from perfloom.shared import shared_dir as new_folder
+from perfloom.shared import ship
 from perfloom.sources.files import _LOW33, file_id
 
 
@@ -89,62 +89,117 @@ def sliding_util(stream: DataFrame, K: Sequence[str] = K, window_us: int = 1_000
 
 # ---------------------------------------------------------------- ordered state
 
-Step = Callable[[dict | None, pd.DataFrame], tuple[pd.DataFrame, dict | None]]
+Step = Callable[[tuple | None, pd.DataFrame], tuple[pd.DataFrame, tuple]]
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def ordered_apply(stream: DataFrame, keys: Sequence[str], values: Sequence[str], step: Step, out_ddl: str,
-                  order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+class _Ordered(StatefulProcessor):
+    """Rows wait in a list, one entry each, until the watermark has passed them; then ``step`` takes them in order.
+
+    Timers are kept by the engine: one for the rows that wait, one for the time at which the key counts as idle.
+    """
+
+    def __init__(self, keys: list[str], values: T.StructType, carry: T.StructType, names: list[str], step: Step, order: list[str], idle_us: int | None):
+        self.keys, self.values, self.carry_type, self.names, self.step, self.order, self.idle_us = keys, values, carry, names, step, order, idle_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.values)
+        self.carry = handle.getValueState("carry", self.carry_type)
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("ts", T.LongType())]))
+
+    def _rows(self, frame: pd.DataFrame) -> list[tuple]:
+        return list(frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None))
+
+    def _runs(self, ts: pd.Series) -> pd.Series:
+        """Number of the run of each row; a new one begins where the key was idle."""
+        return (ts.diff() > (self.idle_us if self.idle_us is not None else float("inf"))).cumsum()
+
+    def _wake(self, ts: int) -> None:
+        self.handle.registerTimer(int(ts) // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = self.values.fieldNames()
+        new = pd.concat([r[names] for r in rows])
+        self.waiting.appendList(self._rows(new))
+        self._wake(new["ts"].min())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = pd.DataFrame(list(self.waiting.get()), columns=self.values.fieldNames())
+        rest = rows[rows["ts"] >= mark] if len(rows) else rows
+        if len(rest) < len(rows):
+            ready = rows[rows["ts"] < mark].sort_values(self.order, kind="stable").reset_index(drop=True)
+            carry = self.carry.get() if self.carry.exists() else None
+            last = self.seen.get()[0] if self.seen.exists() else None
+            out = []
+            for _, part in ready.groupby(self._runs(ready["ts"]), sort=True):
+                if self.idle_us is not None and last is not None and part["ts"].iloc[0] - last > self.idle_us:
+                    carry = None
+                rows_out, carry = self.step(carry, part.reset_index(drop=True))
+                out.append(rows_out)
+                last = int(part["ts"].iloc[-1])
+            out = pd.concat(out)
+            self.carry.update(carry)
+            self.seen.update((last,))
+            if self.idle_us is not None:
+                self._wake(last + self.idle_us)
+            if len(rest):
+                self.waiting.put(self._rows(rest))
+                self._wake(rest["ts"].min())
+            else:
+                self.waiting.clear()
+            if len(out):
+                yield out.assign(**dict(zip(self.keys, key)))[self.names]
+        elif not len(rows) and self.idle_us is not None and self.seen.exists() and self.seen.get()[0] + self.idle_us < mark:
+            for state in (self.waiting, self.carry, self.seen):
+                state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_apply(stream: DataFrame, keys: Sequence[str], values: Sequence[str], carry_ddl: str, step: Step, out_ddl: str,
+                  order: Sequence[str] = ("ts", "seq"), idle_us: int | None = None) -> DataFrame:
     """Run ``step(carry, rows)`` per key over rows in ``order``, once the watermark has passed them.
 
     Rows above the watermark wait in the state, so arrival order inside the delay does not matter; an event-time timer
-    releases them when no further row of the key arrives.
+    releases them when no further row of the key arrives.  ``carry`` is a row of ``carry_ddl``, None at first.  With ``idle_us`` a
+    key leaves the state once the watermark is that far past its last row, and a row so much later than the one before starts anew,
+    whenever it comes.  Needs the state store
+    on disk, which is set for the session here.
     """
+    spark = stream.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     keys, values = list(keys), list(values)
     key_fields = [stream.schema[k] for k in keys]
     out_schema = T.StructType(key_fields + T._parse_datatype_string(out_ddl).fields)
-    names = [f.name for f in out_schema.fields]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        carry, waiting = json.loads(state.get[0]) if state.exists else (None, [])
-        frames = [pd.DataFrame(waiting, columns=values)] if waiting else []
-        if not state.hasTimedOut:
-            frames += [b[values] for b in batches]
-        rows = pd.concat(frames) if frames else pd.DataFrame(columns=values)
-        mark = state.getCurrentWatermarkMs() * 1000
-        ready = rows[rows["ts"] < mark].sort_values(list(order), kind="stable").reset_index(drop=True)
-        rest = rows[rows["ts"] >= mark]
-        if len(ready):
-            out, carry = step(carry, ready)
-            if len(out):
-                yield out.assign(**dict(zip(keys, key)))[names]
-        state.update((json.dumps([carry, json.loads(rest.to_json(orient="values"))]),))
-        if len(rest):
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rest["ts"].min()) // 1000) + 1)
-
+    processor = _Ordered(keys, T.StructType([stream.schema[v] for v in values]), T._parse_datatype_string(carry_ddl), out_schema.fieldNames(),
+                         step, list(order), idle_us)
     slim = stream.select(*keys, *values, "event_time")
-    return slim.groupBy(*keys).applyInPandasWithState(
-        run, out_schema, "body string", "append", GroupStateTimeout.EventTimeTimeout)
+    return slim.groupBy(*keys).transformWithStateInPandas(processor, out_schema, "append", "eventtime")
 
 
-def gap_scan(stream: DataFrame, K: Sequence[str] = K, min_gap_us: int = 100) -> DataFrame:
+def gap_scan(stream: DataFrame, K: Sequence[str] = K, min_gap_us: int = 100, idle_us: int | None = None) -> DataFrame:
     """Idle gaps per (trace, device, stream); the state is the end and name of the last kernel."""
 
     def step(carry, rows):
         ends = rows["ts"] + rows["dur"]
         prev_end, prev_name = ends.shift(), rows["name"].shift()
         if carry:
-            prev_end.iloc[0], prev_name.iloc[0] = carry["end"], carry["name"]
+            prev_end.iloc[0], prev_name.iloc[0] = carry
         out = pd.DataFrame({"gap_start": prev_end, "gap_end": rows["ts"], "prev_kernel": prev_name, "next_kernel": rows["name"]})
         out = out[out["gap_start"].notna()].astype({"gap_start": "int64"})
         out["gap_dur"] = out["gap_end"] - out["gap_start"]
-        return out[(out["gap_dur"] > 0) & (out["gap_dur"] >= min_gap_us)], {
-            "end": int(ends.iloc[-1]), "name": rows["name"].iloc[-1]}
+        return out[(out["gap_dur"] > 0) & (out["gap_dur"] >= min_gap_us)], (int(ends.iloc[-1]), rows["name"].iloc[-1])
 
-    return ordered_apply(device_kernels(stream), [*K, "device_id", "stream_id"], ["ts", "seq", "dur", "name"], step,
-                         "gap_start bigint, gap_end bigint, gap_dur bigint, prev_kernel string, next_kernel string")
+    return ordered_apply(device_kernels(stream), [*K, "device_id", "stream_id"], ["ts", "seq", "dur", "name"], "end_ts bigint, name string", step,
+                         "gap_start bigint, gap_end bigint, gap_dur bigint, prev_kernel string, next_kernel string", idle_us=idle_us)
 
 
-def sched_latency(stream: DataFrame, K: Sequence[str] = K) -> DataFrame:
+def sched_latency(stream: DataFrame, K: Sequence[str] = K, idle_us: int | None = None) -> DataFrame:
     """Wakeup to next switch-in per pid; the state is the last mark of the pid."""
     name = F.lower("name")
     is_switch = name.contains("switch")
@@ -155,15 +210,15 @@ def sched_latency(stream: DataFrame, K: Sequence[str] = K) -> DataFrame:
     def step(carry, rows):
         start, flag = rows["ts"].shift(), rows["is_start"].astype("object").shift()
         if carry:
-            start.iloc[0], flag.iloc[0] = carry["ts"], carry["is_start"]
+            start.iloc[0], flag.iloc[0] = carry
         hit = (~rows["is_start"].astype(bool)) & (flag == True)  # noqa: E712
         out = pd.DataFrame({"wake_ts": start[hit].astype("int64"), "switch_ts": rows["ts"][hit]})
         out["latency_us"] = out["switch_ts"] - out["wake_ts"]
         last = rows.iloc[-1]
-        return out, {"ts": int(last["ts"]), "is_start": bool(last["is_start"])}
+        return out, (int(last["ts"]), bool(last["is_start"]))
 
-    return ordered_apply(marks, [*K, "pid"], ["ts", "seq", "is_start"], step,
-                         "wake_ts bigint, switch_ts bigint, latency_us bigint")
+    return ordered_apply(marks, [*K, "pid"], ["ts", "seq", "is_start"], "ts bigint, is_start boolean", step,
+                         "wake_ts bigint, switch_ts bigint, latency_us bigint", idle_us=idle_us)
 
 
 # ---------------------------------------------------------------- sinks

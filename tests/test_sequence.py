@@ -99,6 +99,50 @@ def test_running_matches_python(spark, split, how):
         assert have[i] == p, (i, how)
 
 
+@pytest.mark.parametrize("split", SPLITS)
+def test_scan_folds_together_as_one_by_one(spark, split):
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 else "cold", i, rng.choice([None, rng.randrange(-9, 9)]), rng.choice([-1, 1])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i long, v long, s long")
+    got = KeyedSequence(df, ["k"], ["i"], split).scan(
+        {"total": ("sum", "v"), "least": ("min", "v"), "seen": ("last", "v"), "coming": ("next", "v"), "at": ("sum", "s"), "low": ("low", "s")},
+        {"n": ("count", F.lit(1)), "top": ("max", "v")}).result()
+    have = {r.i: r for r in got.collect()}
+    for key in ("hot", "cold"):
+        own = [r for r in rows if r[0] == key]
+        at = low = 0
+        for x, (_, i, v, s) in enumerate(own):
+            before = [r[2] for r in own[: x + 1] if r[2] is not None]
+            after = [r[2] for r in own[x:] if r[2] is not None]
+            at += s
+            low = at if not x else min(low, at)
+            want = (sum(before) if before else None, min(before, default=None), before[-1] if before else None, after[0] if after else None, at, low,
+                    len(own), max(r[2] for r in own if r[2] is not None))
+            r = have[i]
+            assert (r.total, r.least, r.seen, r.coming, r.at, r.low, r.n, r.top) == want, i
+
+
+def test_operators_of_several_steps_rewrite_rows_once(spark, monkeypatch):
+    """Chunks are written once, then once for all folds; pairs need one more for the shift inside their levels."""
+    from perfloom.operators import lookup, sequence
+
+    writes, real = [], sequence.written
+    monkeypatch.setattr(sequence, "written", lambda df: writes.append(1) or real(df))
+
+    def count(make):
+        writes.clear()
+        make()
+        return len(writes)
+
+    df = spark.range(400).select(F.lit("a").alias("k"), F.col("id").alias("i"), (F.col("id") % 7).alias("v"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("w"))
+    assert count(lambda: TL.pareto(df, ["k"], "v", ties=["i"], split_rows=50)) == 2
+    assert count(lambda: TL.ffill(df, ["k"], ["i"], ["v", "w"], split_rows=50)) == 2
+    assert count(lambda: lookup.nearest(df, df.where("i < 40"), ["k"], "v", "i", "w", "i", split_rows=50)) == 2
+    ev = df.select(F.lit("t").alias("trace_id"), F.lit("n").alias("name"), F.lit(1).alias("pid"), F.lit(1).alias("tid"), F.col("i").alias("seq"),
+                   F.col("i").alias("ts"), F.lit(0).cast("long").alias("dur"), F.when(F.col("v") < 3, "B").otherwise("E").alias("ph"), F.lit("c").alias("cat"))
+    assert count(lambda: EV.pair_begin_end(ev, split_rows=50)) == 3
+
+
 def test_split_balances_a_hot_key(spark):
     """One key with most rows and one repeated time stamp is cut into chunks near the target."""
     df = spark.range(20_000).select(

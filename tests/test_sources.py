@@ -84,6 +84,28 @@ def test_perf(spark, tmp_path):
     assert [(r.name, r.pid, r.tid, r.ts) for r in got] == [("sched:sched_switch", 5, 6, 1_500_000), ("f", 77, 77, 100_000_600)]
 
 
+def test_perf_samples_over_splits_and_line_ends(spark, tmp_path):
+    samples = [(f"my app {k}" if k % 3 else "app", 10 + k, k % 4) for k in range(900)]
+    text = "".join(f"{c} {p} {k}.5 CPU:{u}\n" + "".join(f"\tfn{j}(int) (lib{j}.so)\n" for j in range(k % 6)) + ("\n" if k % 2 else "")
+                   for k, (c, p, u) in enumerate(samples))
+    put(tmp_path, "lf.txt", text)
+    (tmp_path / "crlf.txt").write_bytes(text.replace("\n", "\r\n").encode())
+    keys = {"spark.sql.files.maxPartitionBytes": "5000", "spark.sql.files.openCostInBytes": "100"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        rows = read(spark, "perf", str(tmp_path)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for trace in ("lf", "crlf"):
+        own = sorted((r for r in rows if r.trace_id == trace), key=lambda r: r.seq)
+        assert len({r.seq for r in own}) == len(own) == 900
+        assert [(r.ts, r.pid, r.cpu, r.name) for r in own] == [(k * 1_000_000 + 500_000, p, u, "fn0(int)" if k % 6 else c) for k, (c, p, u) in enumerate(samples)]
+        assert [json.loads(r.args)["callstack"] for r in own] == [[f"fn{j}(int) (lib{j}.so)" for j in range(k % 6)] for k in range(900)]
+
+
 def test_jsonl(spark, tmp_path):
     p = put(tmp_path, "e.jsonl", '{"type":"x","timestamp":5,"cpu":2}\nnot json\n{"name":"y","ts":7,"pid":3,"args":{"a":1}}\n{bad\n')
     rows = sorted(read(spark, "jsonl", p).collect(), key=lambda r: r.ts)
@@ -197,6 +219,22 @@ def test_launch_args(spark, tmp_path):
     assert ("a", "speculative_config") in got and ("b", "compilation_config") not in got
 
 
+@pytest.mark.parametrize("text, want", [
+    ("'a': 1, 'b': {'c': 2, 'd': {'e': [1, {'x': 2}], 'f': Config(level=3, x=(1, 2))}}, 'g': 'x, y'}",
+     {"a": "1", "b.c": "2", "b.d.e": "[1, {'x': 2}]", "b.d.f": "Config(level=3, x=(1, 2))", "b.d": "{'e': [1, {'x': 2}], 'f': Config(level=3, x=(1, 2))}",
+      "b": "{'c': 2, 'd': {'e': [1, {'x': 2}], 'f': Config(level=3, x=(1, 2))}}", "g": "'x, y'"}),
+    ("'a': {'b': 1, 'c', 'd': <obj at 0x1>, 'e': [1, 2}, 'k': 'un", {"a.b": "1", "a.d": "<obj at 0x1>", "a.e": "[1, 2", "a": "{'b': 1, 'c', 'd': <obj at 0x1>, 'e': [1, 2}", "k": "'un"}),
+    ("'x': {'y': {'z': ", {"x.y": "{'z':", "x": "{'y': {'z':"}), ("'q': 'it\\'s {', 'r': {}}, 'after': 1", {"q": "'it\\'s {'", "r": "{}"}), ("", {})])
+def test_literal_pairs(text, want):
+    assert dict(LG.literal_pairs(text)) == want
+
+
+def test_launch_args_of_any_depth(spark, tmp_path):
+    put(tmp_path, "a.log", "INFO non-default args: {" + "'enable_c': {" * 40 + "'max_num_seqs': 8" + "}" * 40 + ", 'model': 'm'}\n")
+    got = {r.key: r.value for r in LG.launch_args(read(spark, "log", str(tmp_path))).collect()}
+    assert len(got) == 42 and got[".".join(["enable_c"] * 40) + ".max_num_seqs"] == "8" and got["model"] == "m"
+
+
 @pytest.mark.parametrize("text,want", [("", 0.0), ("/", 0.0), ("inf", float("inf")), ("-inf", 0.0), ("nan", 0.0), (" 2.5 ", 2.5), ("x", 0.0), (None, 0.0)])
 def test_tolerant_double(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(X.tolerant_double("t")).collect()[0][0] == want
@@ -219,6 +257,20 @@ def test_json_flatten_has_no_depth_limit(spark):
     assert got == {(1, ".".join("a" * 20) + "[0]"): "1", (1, ".".join("a" * 20) + "[1]"): "x]{", (2, ""): "5"}
 
 
+def test_json_flatten_of_texts_in_a_fixed_plan(spark):
+    deep = '{"a":' * 5000 + '[1,{}]' + "}" * 5000
+    rows = [(1, deep), (2, None), (3, '{"a": {"n": "x\\"y", "l": [1.50, {"x": "v"}, [], [[2]]]}, "e": {}, "": 5, "z": null, "ok": true}'), (4, "{}")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = CF.json_flatten(df, "t", ["id"])
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    have = {(r.id, r.path): r.value for r in got.collect()}
+    path = ".".join("a" * 5000)
+    assert have == {(1, path + "[0]"): "1", (1, path + "[1]"): "{}", (2, ""): None, (3, "a.n"): 'x"y', (3, "a.l[0]"): "1.50", (3, "a.l[1].x"): "v", (3, "a.l[2]"): "[]",
+                    (3, "a.l[3][0][0]"): "2", (3, "e"): "{}", (3, ""): "5", (3, "z"): None, (3, "ok"): "true", (4, ""): "{}"}
+    parents = {(r.path): r.value for r in CF.json_flatten(df.where("id = 3"), "t", ["id"], keep_parents=True).collect()}
+    assert parents["a.l[3]"] == "[[2]]" and parents["a.l[3][0]"] == "[2]" and parents["e"] == "{}" and "" in parents
+
+
 def test_node_logs_keep_whole_texts(spark, tmp_path):
     put(tmp_path, "networkinfo/ifconfig_info", "\n".join(f"line {i}" for i in range(30_000)))
     put(tmp_path, "OSDump/systemcom.tar.gz", "binary")

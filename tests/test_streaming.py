@@ -89,3 +89,52 @@ def test_key_events_go_to_their_own_table(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "all")).count() == 300
     want = spark.createDataFrame(rows, DDL).where(F.coalesce(EV.window_key_event(), F.lit(False))).count()
     assert spark.read.parquet(str(tmp_path / "key")).count() == want > 0
+
+
+def _kernels(times, stream=0, trace="t", first=0):
+    return [(trace, first + i, t * 1_000_000, 1_000_000, -1, 0, stream, f"k{i}", "npu_kernel", None, None, None, None) for i, t in enumerate(times)]
+
+
+def _state_rows(spark, checkpoint):
+    """Entries of every state variable in the last batch of a checkpoint."""
+    out = {}
+    for name in ("waiting", "carry", "seen"):
+        out[name] = spark.read.format("statestore").option("stateVarName", name).load(checkpoint).count()
+    return out
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    """The second run finds the rows that wait and the last kernels of the first in the checkpoint."""
+    rows = _kernels(range(5, 405, 5))
+    out, ck, path = str(tmp_path / "out"), str(tmp_path / "ck"), str(tmp_path / "in")
+    far = _kernels([10_000], trace="z")
+
+    def go():
+        s = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(f"{path}/b*")
+        SM.write_table(SM.gap_scan(SM.with_event_time(s, "20 seconds"), min_gap_us=1), out, ck, available_now=True).awaitTermination()
+        return spark.read.parquet(out).where("trace_id = 't'").count()
+
+    for i, part in enumerate((rows[:30], rows[30:50])):
+        spark.createDataFrame(part, DDL).coalesce(1).write.parquet(f"{path}/b{i}")
+    assert 0 < go() < 49 and _state_rows(spark, ck)["waiting"] > 0
+    for i, part in ((2, rows[50:]), (3, far), (4, far)):
+        spark.createDataFrame(part, DDL).coalesce(1).write.parquet(f"{path}/b{i}")
+    assert go() == len(rows) - 1
+    got = sorted(r.gap_start for r in spark.read.parquet(out).where("trace_id = 't'").collect())
+    assert got == sorted(r.gap_start for r in TL.gap_scan(spark.createDataFrame(rows, DDL), min_gap_us=1).collect())
+
+
+def test_idle_keys_leave_the_state(spark, tmp_path):
+    path, ck = str(tmp_path / "in"), str(tmp_path / "ck")
+    parts = [_kernels([10, 15], s) for s in range(6)], [_kernels([100, 105], 7)], [_kernels([2000, 2005], 7, first=10)], [_kernels([2300, 2305], 7, first=20)], [
+        _kernels([2400], 7, first=30)]
+    for i, groups in enumerate(parts):
+        spark.createDataFrame([r for g in groups for r in g], DDL).coalesce(1).write.parquet(f"{path}/b{i}")
+    s = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(f"{path}/b*")
+    q = SM.gap_scan(SM.with_event_time(s, "1 second"), min_gap_us=1, idle_us=600_000_000)
+    SM.write_table(q, str(tmp_path / "out"), ck, available_now=True).awaitTermination()
+    left = _state_rows(spark, ck)
+    assert left["carry"] == left["seen"] == 1  # only stream 7, which came back
+    gaps = {(r.stream_id, r.gap_start // 1_000_000) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # stream 7 was away for longer than a key is kept, so no gap is measured across that time
+    assert gaps == {(s, 11) for s in range(6)} | {(7, 101), (7, 2001), (7, 2006), (7, 2301)}
