@@ -309,22 +309,22 @@ def anchored_windows(ev: DataFrame, K: Sequence[str] = K, window_us: int = 100_0
         """Rows (upto, leave): entered with an open start s, lowest ``upto`` >= s + width says how the chunk is left."""
         ts = np.sort(pdf["ts"].to_numpy())
         n = len(ts)
-        leave = np.empty(n + 1, dtype=object)   # leave[i]: open start at the end when a window opens at event i
-        leave[n] = None
+        # A window that opens at event i is followed by one at ``after[i]``; pointers double until they stand at the chunk's last
+        # window, which is still open (an event), or at n, where none is.
         nxt = np.searchsorted(ts, ts + window_us, side="left") + 1
-        for i in range(n - 1, -1, -1):
-            leave[i] = int(ts[i]) if nxt[i] > n else leave[nxt[i]]
-        rows = []
-        first = np.searchsorted(ts, ts, side="left")
-        for j in range(n):                       # window entered open closes at event j, next opens at j + 1
-            if first[j] != j:
-                continue
-            rows.append((int(ts[j]), leave[j + 1]))
-            if ts[j] >= ts[0] + window_us:
-                break
-        packed = [r for i, r in enumerate(rows) if i + 1 == len(rows) or rows[i + 1][1] != r[1]]
-        out = pd.DataFrame(packed, columns=["upto", "leave"]).astype({"upto": "Int64", "leave": "Int64"})
-        out["fresh"] = pd.array([leave[0]] * len(out), dtype="Int64")
+        after = np.append(np.where(nxt > n, np.arange(n), nxt), n)
+        while not np.array_equal(further := after[after], after):
+            after = further
+        open_at = np.append(ts, -1)[after]      # open start at the end when a window opens at event i
+        is_open = after < n
+        # Entered open, the window closes at an event j that is the first of its time, and the next opens at j + 1.
+        j = np.flatnonzero(np.append(True, ts[1:] != ts[:-1]))
+        j = j[: np.searchsorted(ts[j], ts[0] + window_us, side="left") + 1]
+        leave, known = open_at[j + 1], is_open[j + 1]
+        last_of = np.append((leave[1:] != leave[:-1]) | (known[1:] != known[:-1]), True)
+        out = pd.DataFrame({"upto": pd.array(ts[j[last_of]], dtype="Int64"), "leave": pd.array(leave[last_of], dtype="Int64")})
+        out.loc[~known[last_of], "leave"] = pd.NA
+        out["fresh"] = pd.array([int(open_at[0]) if is_open[0] else pd.NA] * len(out), dtype="Int64")
         out["last"] = int(ts[-1])
         for k in K:
             out[k] = pdf[k].iloc[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from perfloom.functions import exprs as X
@@ -12,6 +14,7 @@ from perfloom.operators import timeline as TL
 from perfloom.operators.sequence import top_k
 from perfloom.plans.registry import query, tidy
 from perfloom.plans.views import view
+from perfloom.shared import shared_dir
 
 HOUR = 3_600_000_000
 MIN_GAP, SIGNIFICANT, OFFSET = 60_000_000, 600_000_000, 600_000_000
@@ -257,6 +260,15 @@ l0 AS (SELECT *, max(CASE WHEN name = 'sched_wakeup' THEN ts END) OVER w AS lw,
 la AS (SELECT trace_id, p AS pid, lw AS wake_ts, ts AS switch_ts, ts - lw AS latency_us FROM l0 WHERE name = 'sched_switch' AND lw IS NOT NULL AND (ls IS NULL OR lw > ls))"""
 
 
+@query("event_table_slices", "tv", _SLICES + """
+SELECT trace_id, cpu, s0 AS slice_start, delta, prev_pid FROM sc""")
+def event_table_slices(s, d):
+    """Scheduler slices read from a bucketed table of the events, without a shuffle after it is written."""
+    name = f"events_{uuid.uuid4().hex}"
+    EV.save_event_table(tv(s, d), name, shared_dir(s), buckets=8, slot_us=HOUR)
+    return TL.cpu_slices(EV.event_table(s, name))
+
+
 @query("cpu_util", "tv", _UTIL + " SELECT trace_id, cpu, running_us, idle_us, round(CAST(running_us AS DOUBLE) / CAST(running_us + idle_us AS DOUBLE), 6) AS util FROM u")
 def cpu_util(s, d):
     return tidy(TL.cpu_util(tv(s, d)))

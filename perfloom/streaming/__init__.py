@@ -1,7 +1,7 @@
 """Structured Streaming versions of the windowed and ordered operators.
 
 Sources here have integer microsecond ``ts``; ``with_event_time`` adds the timestamp and the watermark.  Rows later than
-the watermark are dropped, rows out of order inside it give the batch result.
+the watermark are dropped, rows out of order inside it give the batch result; ``split_late`` keeps them in a table of their own.
 """
 
 from __future__ import annotations
@@ -251,6 +251,33 @@ def split_key_events(stream: DataFrame, key: Column, all_path: str, key_path: st
     return w.start()
 
 
+def split_late(stream: DataFrame, delay_us: int, on_time_path: str, late_path: str, marks_path: str, checkpoint: str, ts: str = "ts",
+               available_now: bool = False) -> StreamingQuery:
+    """Rows below the watermark to a side table, all others to the main one, which later streams read without losing any.
+
+    The watermark of a batch is the greatest time of the batches before it less ``delay_us``, as the engine's own, and is kept beside
+    the tables. Each micro-batch owns one partition folder of each and overwrites it, so a batch run again leaves no copies; the
+    side table's ``batch`` column tells how many rows each batch had too late. Rows without time are on time.
+    """
+    spark = stream.sparkSession
+
+    def mark_of(epoch: int) -> int | None:
+        """One number: the watermark after a batch."""
+        return spark.read.schema("mark long").parquet(f"{marks_path}/batch={epoch}").first()["mark"] if epoch >= 0 else None
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        mark = mark_of(epoch - 1)
+        late = F.coalesce(F.col(ts) < F.lit(mark), F.lit(False))
+        batch.where(~late).write.mode("overwrite").parquet(f"{on_time_path}/batch={epoch}")
+        batch.where(late).write.mode("overwrite").parquet(f"{late_path}/batch={epoch}")
+        batch.agg(F.greatest(F.max(ts) - delay_us, F.lit(mark).cast("long")).alias("mark")).write.mode("overwrite").parquet(f"{marks_path}/batch={epoch}")
+
+    w = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
+
+
 def drain(stream: DataFrame, name: str, fallback: str | None = None) -> DataFrame:
     """Run a stream over the files present now and read back what it wrote."""
     spark = stream.sparkSession

@@ -139,6 +139,27 @@ def test_write_and_scan(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 6
 
 
+def test_event_table_is_read_without_a_shuffle_and_by_time(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from perfloom.operators import timeline as TL
+    from perfloom.plans.trace_queries import HOUR, tv
+
+    ev = tv(spark, "/root/testdata/sf0.001")
+    EV.save_event_table(ev, "saved_events", str(tmp_path / "table"), buckets=4, slot_us=24 * HOUR)
+    back = EV.event_table(spark, "saved_events")
+    assert back.columns == ev.columns and back.count() == ev.count()
+    slices = TL.cpu_slices(back)
+    assert "Exchange" not in slices._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, slices.collect())) == sorted(map(tuple, TL.cpu_slices(ev).collect()))
+    lo, hi = ev.agg(F.min("ts"), F.min("ts") + 48 * HOUR).first()
+    part = EV.event_table(spark, "saved_events", lo, hi)
+    assert part.count() == ev.where((F.col("ts") >= lo) & (F.col("ts") <= hi)).count() > 0
+    files = lambda df: df.select(F.input_file_name()).distinct().count()
+    assert files(part) <= 12 < files(back)
+    spark.sql("DROP TABLE saved_events")
+
+
 def test_catalog(spark, tmp_path):
     put(tmp_path, "in/a.txt", FTRACE)
     put(tmp_path, "in/b.json", '{"traceEvents": []}')

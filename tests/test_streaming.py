@@ -80,6 +80,21 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert {r.window_start for r in out.where("trace_id = 't'").collect()} == {10**12}
 
 
+def test_late_rows_land_in_a_table_of_their_own(spark, tmp_path):
+    """Batches one after the other: what is later than the delay goes aside, and both tables together are the input."""
+    times = [[100, 200, 300], [290, 251, 249, 10], [900, None], [849, 850, 901, 5]]  # a delay of 50
+    rows = [[("t", 10 * b + k, t, 0, 0, -1, -1, "x", "c", None, None, None, None) for k, t in enumerate(part)] for b, part in enumerate(times)]
+    args = [str(tmp_path / n) for n in ("on_time", "late", "marks", "ck")]
+    for i, part in enumerate(rows):  # a run for each, so the last mark comes from the folder
+        spark.createDataFrame(part, DDL).coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
+        s = spark.readStream.schema(DDL).parquet(f"{tmp_path}/in/b*")
+        SM.split_late(s, 50, *args, available_now=True).awaitTermination()
+    late = {(r.batch, r.ts) for r in spark.read.parquet(args[1]).collect()}
+    assert late == {(1, 249), (1, 10), (3, 849), (3, 5)}
+    both = [r.seq for path in args[:2] for r in spark.read.parquet(path).collect()]
+    assert sorted(both) == sorted(r[1] for part in rows for r in part)
+
+
 def test_key_events_go_to_their_own_table(spark, tmp_path):
     rows = _rows()
     path = _files(spark, tmp_path / "in", [rows[:150], rows[150:]])
