@@ -8,6 +8,7 @@ most two apart; each point visits the grid cells within one step of its own in e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ _COLUMN = np.arange(8, dtype=np.int64) * 256
 BANDS, DEPTH = 32, 5
 #: Bits of 128 in which pairs worth a comparison of sets differ at most; at a similarity of 0.8 the mean is 19, of sets of five 24.
 LOOSE = 44
+#: Sets, and elements of all of them, that one side of a comparison in a task holds at most (one greater set alone).
+BLOCK_SETS, BLOCK_ELEMENTS = 4096, 2_000_000
 #: Points to compare are broadcast by their hash up to this number.
 BROADCAST_POINTS = 1_000_000
 _TIMES, _PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * DEPTH), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
@@ -171,13 +174,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_distance: int = 4, id_c
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _forest(distance: int, both: int, ratio: float, every: bool = False):
+def _forest(distance: int, both: int, ratio: float):
     """Links of rows that share a cell, of which only those are kept that join two groups, nearest first.
 
     Rows come sorted by cell and size. Each is compared with the rows before it in its cell whose size is at least ``ratio`` of
-    its own; the window is all that is held. Distances are exact. With ``every``, all links of rows of different ``root``.
+    its own; the window is all that is held. Distances are exact.
     """
-    columns = ("g", "cell", "size", "fp", "fp2", "point", *(["root"] if every else []))
+    columns = ("g", "cell", "size", "fp", "fp2", "point")
 
     def joined(c: dict[str, np.ndarray]) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
@@ -198,14 +201,8 @@ def _forest(distance: int, both: int, ratio: float, every: bool = False):
             i, j = i + at, j + low
             keep = (j < i) & (j >= first[i])
             i, j = i[keep], j[keep]
-            if every:
-                keep = c["root"][i] != c["root"][j]
-                i, j = i[keep], j[keep]
             d = np.bitwise_count(c["fp"][i] ^ c["fp"][j]) + np.bitwise_count(c["fp2"][i] ^ c["fp2"][j]).astype(np.int64)
             keep = np.flatnonzero(d <= both)
-            if every:
-                out += zip(i[keep].tolist(), j[keep].tolist())
-                continue
             keep = keep[np.argsort(d[keep], kind="stable")]
             for a, b in zip(i[keep].tolist(), j[keep].tolist()):
                 ra, rb = top(a), top(b)
@@ -288,11 +285,10 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     return rows.mapInArrow(run, f"id {kind}, text_hash long, point long, fp long, fp2 long, size long, keys array<long>")
 
 
-def _candidates(points: DataFrame, ratio: float, every: bool = False) -> DataFrame:
-    """Links (a, b) of points that share a band: a forest of each cell's, or all between different roots."""
-    extra = ["root"] if every else []
-    visits = points.select("point", "fp", "fp2", "size", *extra, F.posexplode("keys").alias("g", "cell"))
-    found = visits.repartition("g", "cell").sortWithinPartitions("g", "cell", "size").mapInArrow(_forest(64, LOOSE, ratio, every), "a long, b long")
+def _candidates(points: DataFrame, ratio: float) -> DataFrame:
+    """Links (a, b) of points that share a band: a forest of each cell's."""
+    visits = points.select("point", "fp", "fp2", "size", F.posexplode("keys").alias("g", "cell"))
+    found = visits.repartition("g", "cell").sortWithinPartitions("g", "cell", "size").mapInArrow(_forest(64, LOOSE, ratio), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -304,15 +300,81 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
 
 
+def set_forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, root: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of similar sets, one of ``left`` and one of ``right``, of which only those are kept that join two groups.
+
+    Shared elements are counted by the lists of sets that hold each element, so no pair is looked at twice. ``root`` names the
+    groups to begin with.
+    """
+    size = np.array([len(x) for x in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), size)
+    begin = np.concatenate(([0], np.cumsum(size)))
+    held = right[owner]
+    order = np.argsort(code[held], kind="stable")
+    holder, first = owner[held][order], np.concatenate(([0], np.cumsum(np.bincount(code[held], minlength=int(code.max()) + 1))))
+    group, out = np.unique(root, return_inverse=True)[1], []
+    for i in np.flatnonzero(left).tolist():
+        own = code[begin[i] : begin[i + 1]]
+        shared = np.bincount(np.concatenate([holder[first[c] : first[c + 1]] for c in own.tolist()]), minlength=len(sets))
+        near = (shared > 0) & (shared >= similarity * (size + size[i] - shared) - 1e-9) & (group != group[i])
+        for j in np.flatnonzero(near).tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                out.append((i, j))
+    return out
+
+
+def joined_sets(sets: DataFrame, similarity: float, block_sets: int = BLOCK_SETS, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
+    """Links (a, b) that join all similar sets of different groups: ``sets`` (node, s, root) fall into ``pool``, and similar sets share one.
+
+    Within a pool the greatest group need not be compared with itself. All else is compared in blocks of bounded size: blocks of one
+    band of set sizes and the next, as similar sets differ little in size. A task holds two blocks and gives back a forest.
+    """
+    size = F.size("s")
+    # rounding must not part a size from one that is just similar
+    band = F.floor(F.ln(F.greatest(size, F.lit(1)).cast("double")) / -math.log(similarity * 0.999)).cast("int")
+    groups = sets.groupBy("pool", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("elements"))
+    pools = groups.groupBy("pool").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("all"), F.sum("elements").alias("all_elements"))
+    small = (F.col("all") <= block_sets) & (F.col("all_elements") <= block_elements)
+    placed = sets.join(pools.withColumnRenamed("pool", "pool_"), F.col("pool") == F.col("pool_")).select(
+        "pool", "node", "root", "s", (F.col("root") == F.col("main")).alias("main"), F.when(small, F.lit(0)).otherwise(band).alias("band"))
+    blocks = placed.groupBy("pool", "band", "main").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum(size) / block_elements)).alias("blocks"))
+    a, b = (blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in "ab")
+    met = a.join(b, F.col("a_pool") == F.col("b_pool")).where(
+        (F.abs(F.col("a_band") - F.col("b_band")) <= 1) & (F.struct("a_band", "a_main") <= F.struct("b_band", "b_main")) & ~(F.col("a_main") & F.col("b_main")))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    met = met.withColumn("a_block", F.explode(upto("a_blocks"))).withColumn("b_block", F.explode(upto("b_blocks")))
+    same = (F.col("a_band") == F.col("b_band")) & (F.col("a_main") == F.col("b_main"))
+    met = met.where(~same | (F.col("a_block") <= F.col("b_block"))).withColumn("alone", same & (F.col("a_block") == F.col("b_block")))
+    met = met.withColumn("task", F.xxhash64("a_pool", "a_band", "a_main", "a_block", "b_band", "b_main", "b_block"))
+    rows = placed.join(blocks.withColumnsRenamed({c: c + "_" for c in ("pool", "band", "main")}), (F.col("pool") == F.col("pool_")) & (
+        F.col("band") == F.col("band_")) & (F.col("main") == F.col("main_"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+    def side(name: str, pairs: DataFrame) -> DataFrame:
+        keys = pairs.select("task", "alone", *[F.col(f"{name}_{c}").alias(f"to_{c}") for c in ("pool", "band", "main", "block")])
+        on = [F.col(c) == F.col(f"to_{c}") for c in ("pool", "band", "main", "block")]
+        return rows.join(keys, on[0] & on[1] & on[2] & on[3]).select(
+            "task", "node", "root", "s", F.lit(name == "a").alias("left"), (F.col("alone") | F.lit(name == "b")).alias("right"))
+
+    def link(block: pa.Table) -> pa.Table:
+        nodes, roots, sides = block.column("node").to_numpy(), block.column("root").to_numpy(), [block.column(c).to_numpy() for c in ("left", "right")]
+        found = set_forest([np.asarray(x) for x in block.column("s").to_pylist()], *sides, roots, similarity)
+        return pa.table({"a": pa.array([int(nodes[i]) for i, _ in found], pa.int64()), "b": pa.array([int(nodes[j]) for _, j in found], pa.int64())})
+
+    both = side("a", met).union(side("b", met.where(~F.col("alone"))))
+    return both.groupBy("task").applyInArrow(link, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def true_links(docs: DataFrame, points: DataFrame, width: int, similarity: float, text_col: str) -> DataFrame:
     """Links (a, b) of verified similarity that join all points of ``points`` which share a band and have it.
 
-    Forests of the cells are verified first; what is left between different groups is then compared pair by pair, so a group of
-    thousands of near copies costs a tree and no link is dropped for one that does not hold.
+    Forests of the cells are verified first. Where a link of a forest does not hold, its two groups may still be joined by another
+    pair of their points: groups that such links hang together are a pool, and the sets of a pool are joined exactly.
     """
     loose = written(_candidates(points, similarity))
-    ends = written(loose.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(points, F.col("node") == F.col("point")).select(
-        "node", "fp", "fp2", "size", "keys", "text_hash"))
+    ends = written(loose.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(points, F.col("node") == F.col("point")).select("node", "text_hash"))
     wanted = ends.select("node", F.col("text_hash").alias("wanted_hash"))
     wanted = F.broadcast(wanted) if ends.count() <= BROADCAST_POINTS else wanted
     texts = docs.select(F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("own_hash")).join(wanted, F.col("own_hash") == F.col("wanted_hash"))
@@ -324,10 +386,17 @@ def true_links(docs: DataFrame, points: DataFrame, width: int, similarity: float
 
     sets = written(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, s array<long>"))
     tree = written(verified(loose, sets, similarity))
-    roots = components(tree).withColumnRenamed("node", "in_group")
-    left = ends.join(roots, F.col("node") == F.col("in_group"), "left").select(
-        F.col("node").alias("point"), "fp", "fp2", "size", "keys", F.coalesce("root", "node").alias("root"))
-    return written(tree.union(verified(_candidates(left, similarity, every=True), sets, similarity)))
+    known = written(components(tree).select(F.col("node").alias("in_group"), "root"))
+
+    def group(c: str) -> DataFrame:
+        return known.select(F.col("in_group").alias(f"{c}_node"), F.col("root").alias(f"{c}_root"))
+
+    open_links = loose.join(group("a"), F.col("a") == F.col("a_node"), "left").join(group("b"), F.col("b") == F.col("b_node"), "left").select(
+        F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b")
+    pools = components(open_links).select(F.col("node").alias("pool_root"), F.col("root").alias("pool"))
+    in_pools = sets.join(known, F.col("node") == F.col("in_group"), "left").withColumn("root", F.coalesce("root", "node")).join(
+        pools, F.col("root") == F.col("pool_root")).select("node", "root", "pool", "s")
+    return written(tree.union(joined_sets(written(in_pools), similarity)))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
