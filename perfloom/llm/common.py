@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from perfloom.shared import written
+from perfloom.shared import ship, written
 
 __all__ = ["ascii_lower", "fresh", "id_remainder", "numbered", "ship", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers of ``spark``, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "perfloom_py.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for folder, _, names in os.walk(top):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, os.path.dirname(top)))
-        sc.addPyFile(path)
-        _shipped.add(sc.applicationId)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a variant of it that is no column of ``df`` in any case."""
     taken = {c.lower() for c in df.columns}

@@ -11,6 +11,7 @@ broadcast; every other line is too rare to weigh on one task of the join.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -141,15 +142,12 @@ def counts(distinct: DataFrame, texts: DataFrame) -> DataFrame:
 
 def gains(source: DataFrame, target: DataFrame) -> np.ndarray:
     """Gain of every bucket, from the (bucket, n) of both: a table of ``BUCKETS`` numbers, whatever the input."""
-    every = source.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket")
-    one = every.join(source.withColumnRenamed("n", "s"), "bucket", "left").join(target.withColumnRenamed("n", "t"), "bucket", "left").na.fill(0, ["s", "t"])
-    totals = one.agg(F.sum("s").cast("double").alias("all_s"), F.sum("t").cast("double").alias("all_t"))
-    ratio = (F.col("t") + 1.0) * (F.col("all_s") + float(BUCKETS)) / ((F.col("s") + 1.0) * (F.col("all_t") + float(BUCKETS)))
-    rows = one.join(F.broadcast(totals)).select("bucket", F.floor(1000.0 * F.ln(ratio)).cast("long").alias("gain")).collect()
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    for r in rows:
-        out[r.bucket] = r.gain
-    return out
+    both = source.select("bucket", F.col("n").alias("s"), F.lit(0).cast("long").alias("t")).union(target.select("bucket", F.lit(0).cast("long"), "n"))
+    s, t = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r in both.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).collect():
+        s[r.bucket], t[r.bucket] = r.s, r.t
+    ratio = (t + 1.0) * (s.sum() + BUCKETS) / ((s + 1.0) * (t.sum() + BUCKETS))
+    return np.array([math.floor(1000.0 * math.log(x)) for x in ratio.tolist()], dtype=np.int64)
 
 
 def _with_gain(df: DataFrame, gain: np.ndarray, kept: list[str]) -> DataFrame:
