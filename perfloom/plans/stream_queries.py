@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from perfloom import streaming as SM
 from perfloom.operators import logs as LG
+from perfloom.plans.profile_queries import _LM
 from perfloom.plans.registry import query, tidy
 from perfloom.plans.trace_queries import _GAPS, _LAT, _SUMMARY, HOUR
 from perfloom.plans.views import VIEWS
@@ -54,9 +53,6 @@ def stream_sched_latency(s, d):
     return _drain(SM.sched_latency(_timed(s, d, "tv")), "stream_sched_latency")
 
 
-@query("stream_log_metrics", "lg", """
-SELECT log_id, CASE WHEN contains(value, 'Loading model weights') THEN 'model_weight_memory' WHEN contains(value, 'Available KV') THEN 'kv_cache_memory' WHEN contains(value, 'GPU KV cache usage') THEN 'kv_cache_usage' ELSE 'accepted_tokens' END AS metric,
- count(*) AS n FROM lg WHERE NOT starts_with(value, 'DEBUG') GROUP BY 1, 2""")
+@query("stream_log_metrics", "lg", _LM + " SELECT * FROM lm")
 def stream_log_metrics(s, d):
-    out = _drain(LG.line_metrics(_stream(s, d, "lg")), "stream_log_metrics")
-    return out.groupBy("log_id", "metric").agg(F.count(F.lit(1)).alias("n"))
+    return _drain(LG.line_metrics(_stream(s, d, "lg")), "stream_log_metrics")
