@@ -265,7 +265,7 @@ SELECT trace_id, cpu, s0 AS slice_start, delta, prev_pid FROM sc""")
 def event_table_slices(s, d):
     """Scheduler slices read from a bucketed table of the events, without a shuffle after it is written."""
     name = f"events_{uuid.uuid4().hex}"
-    EV.save_event_table(tv(s, d), name, shared_dir(s), buckets=8, slot_us=HOUR)
+    EV.save_event_table(tv(s, d), name, shared_dir(s), buckets=8, slot_us=24 * 30 * HOUR)
     return TL.cpu_slices(EV.event_table(s, name))
 
 
