@@ -77,6 +77,15 @@ def test_quality_odd_rows(spark, odd, empty):
     assert quality.train([], np.zeros(0, bool)).score(np.zeros(0, int)) == 0.5
 
 
+def test_quality_query_with_clashing_columns(spark, tmp_path):
+    rows = [(k, ("good words of a text %d " % k) * 5 if k % 2 else "BUY NOW %d !!! " % k * 5, "clash", "x", True) for k in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string, score string, predicted string, held_out boolean").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, "z") for k in range(80)], "doc_id long, quality int, text string").write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["op1_nb_svm"](spark, str(tmp_path)).collect()
+    assert len(got) == 80 and all(isinstance(r.score, float) and r.predicted == int(r.score >= 0.7) for r in got)
+    assert sum(r.predicted == r.doc_id % 2 for r in got) >= 70
+
+
 # ---- near duplicates
 
 def brute_fingerprint(text, width=4):
@@ -170,6 +179,44 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert sorted(r.doc_id for r in got) == sorted(set(top.values()))
 
 
+def test_sets_are_joined_exactly_in_blocks(spark):
+    """Pools of sets that are near 0.8, with groups to begin with, in blocks of a few sets."""
+    rng = np.random.default_rng(2)
+    rows, sets = [], {}
+    for pool in range(3):
+        base = rng.integers(0, 1 << 40, 45)
+        for k in range(60):
+            s = base.copy()
+            s[rng.choice(45, rng.integers(1, 5 if pool else 7), replace=False)] = rng.integers(0, 1 << 40)
+            node = pool * 1000 + k
+            sets[node] = np.unique(s[: rng.integers(34, 46)])
+            rows.append((pool, node, pool * 1000 + (k % 7 if k < 20 else k), sets[node].tolist()))
+    frame = spark.createDataFrame(rows, "pool long, node long, root long, s array<long>")
+    for block in ({}, {"block_sets": 9, "block_elements": 10_000}, {"block_sets": 100, "block_elements": 300}):
+        found = {(r.a, r.b) for r in simhash.joined_sets(frame, 0.8, **block).collect()}
+        near = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9
+        assert all(near(a, b) for a, b in found)
+        start = {r[1]: r[2] for r in rows}
+        want = groups_of(sorted(sets), lambda a, b: a // 1000 == b // 1000 and (start[a] == start[b] or near(a, b)))
+        assert groups_of(sorted(sets), lambda a, b: start[a] == start[b] or (a, b) in found) == want
+
+
+def test_one_large_group_of_copies_that_differ(spark):
+    """Near copies of one text, most of them too far from each other: the rows that meet stay few and the groups are exact."""
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 44)]
+    texts = []
+    for k in range(400):
+        copy = list(base)
+        for at in rng.choice(44, 1 + k % 2, replace=False):
+            copy[at] = f"x{rng.integers(0, 1 << 40)}"
+        texts.append(copy)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    top = groups_of(range(400), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+    got = simhash.keep_one(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(top.values())) and 1 < len(got) < 400
+
+
 # ---- sharding
 
 def test_shards_move_rows_only_to_the_new_one_and_slots_are_gapless(spark, odd, empty):
@@ -383,7 +430,56 @@ def test_template_finds_the_main_slot(spark):
     assert text[20] == text[21] == "" and text[22] == "Just this" and all(r.n_chars == len(r.text) for r in got)
     slots = {r.host: r.slot for r in html_template.templates(
         spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", html_template.host_of(F.col("url")))).collect()}
-    assert slots["host.example.com"] == ["html", "body", "div.content"]
+    page = html_template.Page(PAGE % ((1,) * 5))
+    assert slots["host.example.com"] == page.tokens[page.labels.index("div.content")]
+
+
+NEUTRAL = ("<body><div class=x1><div class=y1><p>Go %(w)s<p>See %(w)s</div><div class=y2><h2>Title %(n)d</h2><div class=z>%(body)s</div></div>"
+           "<div class=y3>Seen %(n)d times<p>Fixed words at the end</div></div></body>")
+
+
+def _neutral(n, body=None):
+    return NEUTRAL % {"n": n, "w": f"w{n % 3}", "body": body or "".join(f"<p>Paragraph {k} of {n} with some words</p>" for k in range(1 + n % 4))}
+
+
+def test_template_needs_no_telling_names(spark, monkeypatch):
+    """Menus, counters and fixed texts around an article under names that say nothing; without the template they stay."""
+    rows = [(n, "http://plain.example.org/%d" % n, _neutral(n)) for n in range(12)]
+    rows += [(50, "http://plain.example.org/50", _neutral(50, "<p>Short"))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {n: "\n\n".join([f"Title {n}", *(f"Paragraph {k} of {n} with some words" for k in range(1 + n % 4))]) for n in range(12)} | {50: "Title 50\n\nShort"}
+    assert {r.page_id: r.text for r in html_template.main_text(frame).collect()} == want
+    without = html_template.Page(rows[0][2]).text(None, frozenset())
+    assert without.startswith("Go w0") and without.endswith("Fixed words at the end")
+
+
+def test_classes_out_of_order_are_no_template(spark):
+    """Elements that occur once on every page but in changing order are not written by one template."""
+    pages = ["<body>" + "".join(f"<div class=p{k}>{'text ' * 9 * (k + 1)}{n}</div>" for k in ([0, 1, 2] if n % 2 else [2, 0, 1])) + "</body>" for n in range(10)]
+    frame = spark.createDataFrame([(n, "http://mixed.example.org", h) for n, h in enumerate(pages)], "page_id long, url string, html string")
+    found = html_template.templates(frame.withColumn("host", F.lit("h"))).first()
+    assert not found or found.slot not in html_template.Page(pages[0]).tokens[2:]
+    assert all("text" in r.text and r.n_chars > 200 for r in html_template.main_text(frame).collect())
+
+
+@pytest.mark.parametrize("html, want", [
+    ('<body><nav>menu</nav><article class="post search-results share"><p>Kept</p></article>', "Kept"), ('<form id="aspnetForm"><div>all here</div></form>', "all here"),
+    ('<main><div class="related-work">kept</div><div class="comment-list">no</div><form>no</form></main>', "kept"),
+    ("<header>top</header><p>text<p>more&nbsp;of &lt;it&gt;", "text\n\nmore of <it>"), (None, ""), ("", ""), ("<article></article><p>x", "x")])
+def test_text_of_a_single_page(html, want):
+    assert html_template.Page(html or "").text(None, frozenset()) == want
+
+
+def test_deep_pages_take_linear_time(spark):
+    import time
+
+    begin = time.time()
+    for page in ("<div>" * 40_000 + "<p>deep", "<center>" * 40_000 + "<p>deep" + "</q></main>" * 1000):
+        assert html_template.Page(page).text(None, frozenset()) == "deep"
+    assert time.time() - begin < 10
+    odd = spark.createDataFrame([(1, None, "<div>" * 5000 + "<p>deep", "h", 1)], "page_id long, url string, html string, host string, token long")
+    assert [(r.page_id, r.url, r.text, r.n_chars) for r in html_template.main_text(odd).collect()] == [(1, None, "deep", 4)]
+    assert html_template.main_text(odd.limit(0)).collect() == []
 
 
 def test_template_pages_give_their_source_documents(spark):
@@ -400,9 +496,9 @@ def test_template_pages_give_their_source_documents(spark):
 @pytest.mark.parametrize("script", ["<script>for(var i=0;i<n;i++){go(i)}</script>", "<SCRIPT>if(a<b)x='it</SCRIPT >", "<style>a<b{}'</style\n>",
                                     "<script>document.write('</scripts>');a<b</script>"])
 def test_scripts_with_comparisons_do_not_swallow_the_page(script):
-    found = [w for _, w, _ in html_template.blocks(f"<body><p>before</p>{script}<p>after</p><script>x</script><p>last</p>") if w]
+    found = [t[1] for t in html_template.Page(f"<body><p>before</p>{script}<p>after</p><script>x</script><p>last</p>").texts]
     assert found == ["before", "after", "last"]
-    assert [w for _, w, _ in html_template.blocks("<p>kept<script>never closed <p>no") if w] == ["kept"]
+    assert [t[1] for t in html_template.Page("<p>kept<script>never closed <p>no").texts] == ["kept"]
 
 
 def test_copies_of_a_page_keep_their_text(spark):
@@ -463,3 +559,25 @@ def test_neighbours_odd_rows(spark):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 100 == 0).collect()]
     assert sorted(got) == [(0, 1, 100, 0.0), (0, 2, 3, 2.0), (100, 1, 0, 0.0), (100, 2, 3, 2.0)]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+@pytest.mark.parametrize("case", ["copies", "clusters"])
+def test_neighbours_of_repeated_and_clustered_vectors(spark, case):
+    rng = np.random.default_rng(4)
+    if case == "copies":  # one near id fills the first rows of every list
+        base = rng.standard_normal(24)
+        rows = [(1, (base + 1e-3).tolist())] * 1500 + [(2 + k, (base + rng.standard_normal(24) * 0.3).tolist()) for k in range(1500)] + [(0, base.tolist())]
+        asks = set(range(0, 1500, 100))
+    else:  # tight clusters of four rows: the nearest lists hold fewer than ten
+        centres = rng.standard_normal((300, 16)) * 50
+        rows = [(4 * c + k, (centres[c] + rng.standard_normal(16) * 1e-3).tolist()) for c in range(300) for k in range(4)]
+        asks = set(range(0, 1200, 100))
+    frame = spark.createDataFrame([(i, v, 1.0, i) for i, v in rows], "vec_id long, embedding array<double>, score double, id long")
+    got = ann.nearest(frame, F.col("vec_id").isin(list(asks)), k=10).collect()
+    vec, hits = {i: np.array(v) for i, v in rows}, 0
+    for q in asks:
+        d = sorted((float(np.sqrt(((vec[i] - vec[q]) ** 2).sum())), i) for i in vec if i != q)[:10]
+        mine = sorted((r.rank, r.vec_id) for r in got if r.query_id == q)
+        assert [r for r, _ in mine] == list(range(1, 11))
+        hits += len({i for _, i in d} & {i for _, i in mine})
+    assert hits >= 0.9 * 10 * len(asks)
