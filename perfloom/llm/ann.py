@@ -79,16 +79,23 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, turn: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each query the rows that survive every test; ``own`` (per query) are rows to leave out."""
+def _kth(distance: np.ndarray, ids: np.ndarray, k: int) -> float:
+    """The k-th least distance of different ids; without bound where there are fewer."""
+    near = np.argsort(distance, kind="stable")
+    first = np.unique(ids[near], return_index=True)[1]
+    return float(distance[near[np.partition(first, k - 1)[k - 1]]]) if len(first) >= k else math.inf
+
+
+def scan(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, turn: np.ndarray, k: int, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each query the rows that survive every test; ``own`` (per query) are rows to leave out, ``ids`` name the rows."""
     dim = rows.shape[1]
     q_turned, turned = queries @ turn, rows @ turn
     for i in range(len(queries)):
         alive = np.flatnonzero(~own[i])
         if len(alive) > 4 * k:
-            # The k-th best of some rows bounds the k-th best of all.
+            # The k-th best id of some rows bounds the k-th best of all.
             first = alive[:: max(1, len(alive) // (8 * k))]
-            bound = np.partition(((rows[first] - queries[i]) ** 2).sum(1), k - 1)[k - 1]
+            bound = _kth(((rows[first] - queries[i]) ** 2).sum(1), ids[first], k)
             part = np.zeros(len(alive))
             for at in range(0, dim, COLUMNS):
                 d = min(at + COLUMNS, dim)
@@ -96,8 +103,6 @@ def scan(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, turn: np.ndarra
                 limit = bound * (1 + ERRORS / math.sqrt(d)) ** 2 * d / dim if d < dim else bound * (1 + 1e-9)
                 keep = part <= limit
                 alive, part = alive[keep], part[keep]
-                if len(alive) > k:
-                    bound = min(bound, np.partition(part, k - 1)[k - 1] if d == dim else bound)
         yield i, alive
 
 
@@ -119,7 +124,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0
     dim, n = sizes["dim"], sizes["n"]
     good = good.where(F.size("v") == dim)
     picked = good.select("v").orderBy(F.xxhash64("id"), "v").limit(SAMPLE).toArrow().column("v").combine_chunks()
-    sample = picked.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    # different vectors: copies would find each other in any list and make the recall look better than it is
+    sample = np.unique(picked.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), axis=0)
     centres, probes, _ = fit(sample, n, k, recall)
     turn = rotation(dim)
 
@@ -132,30 +138,28 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0
                 near = _order(matrix(b.column("v")), centres, 1)[:, 0]
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("asks"), pa.array(near)], ["id", "v", "asks", "list"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                near = _order(matrix(b.column("v")), centres, probes)
-                rows = pa.array(np.repeat(np.arange(b.num_rows), probes))
-                yield pa.RecordBatch.from_arrays([b.column("id").take(rows), b.column("v").take(rows), pa.array(near.ravel())], ["id", "v", "list"])
+    def probing(n: int):
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    near = _order(matrix(b.column("v")), centres, n)
+                    rows = pa.array(np.repeat(np.arange(b.num_rows), n))
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(rows), b.column("v").take(rows), pa.array(near.ravel())], ["id", "v", "list"])
+
+        return probe
 
     rows = written(good.mapInArrow(home, f"id {id_type}, v array<double>, asks boolean, list long"))
-    asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(probe, f"id {id_type}, v array<double>, list long")
+    queries = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     # At most MAX_LISTS rows each: how many blocks a list's rows and queries are dealt to.
     blocks = F.broadcast(rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("row_blocks")))
-    q_blocks = F.broadcast(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("q_blocks")))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = rows.join(blocks, "list").join(q_blocks, "list").select(
-        "list", F.pmod(F.xxhash64("id", "v"), "row_blocks").alias("rb"), each("q_blocks").alias("qb"), "id", "v")
-    right = asked.join(blocks, "list").join(q_blocks, "list").select(
-        "list", F.pmod(F.xxhash64("id"), "q_blocks").alias("qb"), each("row_blocks").alias("rb"), "id", "v")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         q, r, s = [], [], []
         if a.num_rows and b.num_rows:
             x, y = matrix(a.column("v").combine_chunks()), matrix(b.column("v").combine_chunks())
             ids, q_ids = np.array(a.column("id").to_pylist()), np.array(b.column("id").to_pylist())
-            for i, alive in scan(y, x, ids[None, :] == q_ids[:, None], turn, k):
+            for i, alive in scan(y, x, ids[None, :] == q_ids[:, None], turn, k, ids):
                 d = np.sqrt(((x[alive] - y[i]) ** 2).sum(1))
                 # Distinct ids first: copies of one row must not take the places of others.
                 order = np.lexsort((ids[alive], d))
@@ -166,8 +170,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0
                 s += d[top].tolist()
         return pa.table({"query_id": pa.array(q, b.schema.field("id").type), "vec_id": pa.array(r, b.schema.field("id").type), "score": pa.array(s, pa.float64())})
 
-    found = left.groupBy("list", "rb", "qb").cogroup(right.groupBy("list", "rb", "qb")).applyInArrow(
-        meet, f"query_id {id_type}, vec_id {id_type}, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    def found(asked: DataFrame, lists: int) -> DataFrame:
+        """(query_id, vec_id, score) of the best rows of each block of the ``lists`` nearest lists."""
+        probed = asked.select("id", "v").mapInArrow(probing(lists), f"id {id_type}, v array<double>, list long")
+        q_blocks = F.broadcast(probed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("q_blocks")))
+        left = rows.join(blocks, "list").join(q_blocks, "list").select(
+            "list", F.pmod(F.xxhash64("id", "v"), "row_blocks").alias("rb"), each("q_blocks").alias("qb"), "id", "v")
+        right = probed.join(blocks, "list").join(q_blocks, "list").select(
+            "list", F.pmod(F.xxhash64("id"), "q_blocks").alias("qb"), each("row_blocks").alias("rb"), "id", "v")
+        met = left.groupBy("list", "rb", "qb").cogroup(right.groupBy("list", "rb", "qb")).applyInArrow(
+            meet, f"query_id {id_type}, vec_id {id_type}, score double")
+        return met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+    best = written(found(queries, probes))
+    if probes < len(centres):
+        # Queries whose lists held fewer than k others go through all lists.
+        short = queries.join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("got")), F.col("id") == F.col("query_id"), "left").where(
+            F.coalesce("got", F.lit(0)) < k).select("id", "v")
+        if not short.isEmpty():
+            best = best.join(short, F.col("query_id") == F.col("id"), "left_anti").union(found(short, len(centres)))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
