@@ -53,6 +53,7 @@ def _pick_chunk(bounds: Column, point: Column) -> Column:
 
 
 _RUNNING = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True), "next": lambda c: F.first(c, ignorenulls=True)}
+_BACKWARDS = {**_RUNNING, "next": _RUNNING["last"]}
 _TOTAL = {"sum": F.sum, "max": F.max, "count": F.count}
 
 
@@ -149,8 +150,10 @@ class KeyedSequence:
             self.df = self.df.withColumns({held[n]: v for n, v in value.items()})
             value = {n: F.col(c) for n, c in held.items()}
         w = self._window(keys)
-        up, down = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        own = {n: _RUNNING[h](value[n]).over(down if h == "next" else up) for n, h in how.items() if h != "low"}
+        up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # "next" is the last value met from the key's end: a frame that shrinks from the front is folded anew for each row
+        down = w.orderBy(*[F.desc(o) for o in self._order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = {n: _BACKWARDS[h](value[n]).over(down if h == "next" else up) for n, h in how.items() if h != "low"}
         own |= {f"_at_{n}": F.sum(value[n]).over(up) for n, h in how.items() if h == "low"}
         whole = Window.partitionBy(*self.keys, *(["_chunk"] if self.split else []))
         own |= {n: _TOTAL[h](value[n]).over(whole) for n, (h, _) in total.items()}

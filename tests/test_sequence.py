@@ -186,3 +186,13 @@ def test_downsample_spans_the_range(spark):
     df = spark.range(999).select(F.lit("a").alias("k"), F.col("id").alias("i"))
     got = sorted(r.i for r in TL.downsample(df, ["k"], ["i"], keep=500).collect())
     assert got == list(range(0, 999, 2))
+
+
+@pytest.mark.parametrize("split", [0, 20_000])
+def test_next_value_is_not_folded_anew_for_each_row(spark, split, capsys):
+    n = 60_000
+    df = spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias("i"), F.when(F.col("id") % 25_000 == 24_999, F.col("id")).alias("v"))
+    got = KeyedSequence(df, ["k"], ["i"], split).running("r", "next", "v").result()
+    got.explain()
+    assert "currentrow$(), unboundedfollowing$()" not in capsys.readouterr().out
+    assert {(r.r, r["n"]) for r in got.groupBy("r").agg(F.count("i").alias("n")).collect()} == {(24_999, 25_000), (49_999, 25_000), (None, 10_000)}
