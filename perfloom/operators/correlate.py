@@ -88,11 +88,12 @@ def critical_path(gaps: DataFrame, ev: DataFrame, K: Sequence[str] = K, n: int =
     return joined.groupBy(*keys).agg(F.sort_array(F.collect_list(host)).alias("host_events"))
 
 
-def host_device_corr(gaps: DataFrame, ev: DataFrame, K: Sequence[str] = K, window_us: int = 1_000_000) -> DataFrame:
+def host_device_corr(gaps: DataFrame, ev: DataFrame, K: Sequence[str] = K, window_us: int = 1_000_000, flat: float = 0.0) -> DataFrame:
     """Pearson correlation of host busy share and device idle share over dense windows, negative values as 0.
 
     Windows are counted from the trace start.  Empty windows add zeros to every sum, so they only enter through the
-    window count and no dense series is built.
+    window count and no dense series is built.  Shares are kept in whole microseconds and summed as such, so a share that is the
+    same in all windows is told exactly; there is no correlation then, and the score is ``flat``.
     """
     start = ev.groupBy(*K).agg(
         F.min("ts").alias("_t0"),
@@ -107,22 +108,24 @@ def host_device_corr(gaps: DataFrame, ev: DataFrame, K: Sequence[str] = K, windo
     on = [(k, f"_s_{k}") for k in K]
     m = marks.join(start, same_keys(marks, start, on))
     per = m.groupBy(*K, "n_windows", F.floor((F.col("_t") - F.col("_t0")) / w).alias("_w")).agg(
-        F.least(F.sum("_h") / F.lit(float(window_us)), F.lit(1.0)).alias("_x"),
-        F.least(F.sum("_d") / F.lit(float(window_us)), F.lit(1.0)).alias("_y"))
+        F.least(F.sum("_h"), w).cast("decimal(19,0)").alias("_x"), F.least(F.sum("_d"), w).cast("decimal(19,0)").alias("_y"))
     per = per.where("_w >= 0 and _w < n_windows")
-    n = F.col("n_windows").cast("double")
-    sums = per.groupBy(*K, "n_windows").agg(
-        F.sum("_x").alias("_sx"), F.sum("_y").alias("_sy"), F.sum(F.col("_x") * F.col("_y")).alias("_sxy"),
-        F.sum(F.col("_x") * F.col("_x")).alias("_sxx"), F.sum(F.col("_y") * F.col("_y")).alias("_syy"))
-    cov = F.col("_sxy") - F.col("_sx") * F.col("_sy") / n
-    vx = F.col("_sxx") - F.col("_sx") * F.col("_sx") / n
-    vy = F.col("_syy") - F.col("_sy") * F.col("_sy") / n
-    flat = (n < 2) | (vx < 1e-12) | (vy < 1e-12)
-    score = F.when(flat, F.lit(0.0)).otherwise(F.greatest(F.try_divide(cov, F.sqrt(vx * vy)), F.lit(0.0)))
+    x, y, n, whole = F.col("_x"), F.col("_y"), F.col("n_windows").cast("decimal(19,0)"), "decimal(38,0)"
+    sums = per.groupBy(*K, "n_windows").agg(*[
+        F.sum(v.cast(whole)).alias(name) for name, v in (("_sx", x), ("_sy", y), ("_sxy", x * y), ("_sxx", x * x), ("_syy", y * y))])
+
+    def moment(ab: str, a: str, b: str):
+        """n * sum(ab) - sum(a) * sum(b), exactly."""
+        return (n * F.col(ab)).cast(whole) - (F.col(a) * F.col(b)).cast(whole)
+
+    sums = sums.withColumns({"_cov": moment("_sxy", "_sx", "_sy"), "_vx": moment("_sxx", "_sx", "_sx"), "_vy": moment("_syy", "_sy", "_sy")})
+    spread = F.sqrt(F.col("_vx").cast("double")) * F.sqrt(F.col("_vy").cast("double"))
+    score = F.when((F.col("_vx") == 0) | (F.col("_vy") == 0), F.lit(flat)).otherwise(
+        F.greatest(F.col("_cov").cast("double") / spread, F.lit(0.0)))
     found = sums.select(*K, score.alias("_score"))
     base = start.withColumnsRenamed({f"_s_{k}": k for k in K}).drop("_t0")
     return base.join(found, list(K), "left").select(
-        *K, "n_windows", F.coalesce("_score", F.lit(0.0)).alias("score"))
+        *K, "n_windows", F.coalesce("_score", F.lit(flat)).alias("score"))
 
 
 # Look-back per cause pattern (us) and its base confidence.

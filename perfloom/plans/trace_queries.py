@@ -611,7 +611,7 @@ p AS (SELECT wd.trace_id, wd.n, least(coalesce(x, 0) / CAST({HOUR} AS DOUBLE), 1
 SELECT trace_id, any_value(n) AS n_windows, round(greatest(corr(x, y), 0), 6) AS score FROM p GROUP BY 1""")
 def host_device_corr(s, d):
     ev = tv(s, d)
-    return tidy(CO.host_device_corr(TL.gap_scan(ev, min_gap_us=1), ev, window_us=HOUR))
+    return tidy(CO.host_device_corr(TL.gap_scan(ev, min_gap_us=1), ev, window_us=HOUR, flat=float("nan")))  # as corr() of the SQL
 
 
 _LOOK = _SIG + """
