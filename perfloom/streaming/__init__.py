@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,14 +90,15 @@ def sliding_util(stream: DataFrame, K: Sequence[str] = K, window_us: int = 1_000
 
 # ---------------------------------------------------------------- ordered state
 
-Step = Callable[[tuple | None, pd.DataFrame], tuple[pd.DataFrame, tuple]]
+Step = Callable[[pd.DataFrame, np.ndarray, pd.DataFrame], tuple[pd.DataFrame, pd.DataFrame]]
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Ordered(StatefulProcessor):
-    """Rows wait in a list, one entry each, until the watermark has passed them; then ``step`` takes them in order.
+    """Rows of a bucket of keys wait in a list, one entry each, until the watermark has passed them; then ``step`` takes them in order.
 
-    Timers are kept by the engine: one for the rows that wait, one for the time at which the key counts as idle.
+    The lists ``carry`` and ``seen`` have one entry for each key, in the same order. Timers are kept by the engine: one for the rows
+    that wait, one for the time at which the next key counts as idle.
     """
 
     def __init__(self, keys: list[str], values: T.StructType, carry: T.StructType, names: list[str], step: Step, order: list[str], idle_us: int | None):
@@ -105,15 +107,17 @@ class _Ordered(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.values)
-        self.carry = handle.getValueState("carry", self.carry_type)
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("ts", T.LongType())]))
+        self.carry = handle.getListState("carry", self.carry_type)
+        self.seen = handle.getListState("seen", T.StructType([T.StructField("ts", T.LongType())]))
 
     def _rows(self, frame: pd.DataFrame) -> list[tuple]:
         return list(frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None))
 
-    def _runs(self, ts: pd.Series) -> pd.Series:
-        """Number of the run of each row; a new one begins where the key was idle."""
-        return (ts.diff() > (self.idle_us if self.idle_us is not None else float("inf"))).cumsum()
+    def _keep(self, state, frame: pd.DataFrame) -> None:
+        if len(frame):
+            state.put(self._rows(frame))
+        else:
+            state.clear()
 
     def _wake(self, ts: int) -> None:
         self.handle.registerTimer(int(ts) // 1000 + 1)
@@ -128,47 +132,70 @@ class _Ordered(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         rows = pd.DataFrame(list(self.waiting.get()), columns=self.values.fieldNames())
-        rest = rows[rows["ts"] >= mark] if len(rows) else rows
-        if len(rest) < len(rows):
-            ready = rows[rows["ts"] < mark].sort_values(self.order, kind="stable").reset_index(drop=True)
-            carry = self.carry.get() if self.carry.exists() else None
-            last = self.seen.get()[0] if self.seen.exists() else None
-            out = []
-            for _, part in ready.groupby(self._runs(ready["ts"]), sort=True):
-                if self.idle_us is not None and last is not None and part["ts"].iloc[0] - last > self.idle_us:
-                    carry = None
-                rows_out, carry = self.step(carry, part.reset_index(drop=True))
-                out.append(rows_out)
-                last = int(part["ts"].iloc[-1])
-            out = pd.concat(out)
-            self.carry.update(carry)
-            self.seen.update((last,))
-            if self.idle_us is not None:
-                self._wake(last + self.idle_us)
+        carry = pd.DataFrame(list(self.carry.get()), columns=self.carry_type.fieldNames())
+        carry["_seen"] = [t for t, in self.seen.get()]
+        due, out = rows["ts"] < mark, None
+        if due.any():
+            out, carry = self._stepped(rows[due].sort_values(self.order, kind="stable"), carry)
+            self._keep(self.waiting, rest := rows[~due])
             if len(rest):
-                self.waiting.put(self._rows(rest))
                 self._wake(rest["ts"].min())
-            else:
-                self.waiting.clear()
-            if len(out):
-                yield out.assign(**dict(zip(self.keys, key)))[self.names]
-        elif not len(rows) and self.idle_us is not None and self.seen.exists() and self.seen.get()[0] + self.idle_us < mark:
-            for state in (self.waiting, self.carry, self.seen):
-                state.clear()
+        if self.idle_us is not None:
+            idle = carry["_seen"] + self.idle_us < mark
+            if out is None and not idle.any():
+                return
+            carry = carry[~idle]
+            if len(carry):
+                self._wake(carry["_seen"].min() + self.idle_us)
+        elif out is None:
+            return
+        self._keep(self.carry, carry[self.carry_type.fieldNames()])
+        self._keep(self.seen, carry[["_seen"]])
+        if out is not None and len(out):
+            yield out[self.names]
+
+    def _stepped(self, rows: pd.DataFrame, carry: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """What ``step`` makes of the rows, and the carry of all keys after them."""
+        both = pd.concat([carry[self.keys], rows[self.keys]]) if len(carry) else rows[self.keys]
+        number = both.groupby(self.keys, sort=False, dropna=False).ngroup().to_numpy()
+        held, own = number[: len(carry)], number[len(carry) :]
+        place = np.argsort(own, kind="stable")
+        rows, own = rows.iloc[place].reset_index(drop=True), own[place]
+        first, last = np.r_[True, own[1:] != own[:-1]], np.r_[own[1:] != own[:-1], True]
+        at = np.full(number.max() + 1, -1)
+        at[held] = np.arange(len(carry))
+        known, anew = at[own] >= 0, np.zeros(len(own), dtype=bool)
+        if self.idle_us is not None:  # a key begins anew where it was idle
+            ts = rows["ts"].to_numpy()
+            before = np.r_[ts[:1], ts[:-1]]
+            before[first & known] = carry["_seen"].to_numpy()[at[own[first & known]]]
+            anew = (ts - before > self.idle_us) & (known | ~first)
+        run = np.cumsum(first | anew) - 1
+        goes_on = first & known & ~anew
+        begin = carry.iloc[at[own[goes_on]]].drop(columns=[*self.keys, "_seen"]).set_axis(run[goes_on])
+        out, after = self.step(rows, run, begin)
+        out[self.keys] = rows.loc[out.index, self.keys]
+        ends = rows.loc[last, self.keys].reset_index(drop=True)
+        ends = pd.concat([ends, after.loc[run[last]].reset_index(drop=True), rows.loc[last, ["ts"]].reset_index(drop=True)], axis=1)
+        ends.columns = carry.columns
+        stay = carry[~np.isin(held, own)]
+        return out, pd.concat([stay, ends], ignore_index=True) if len(stay) else ends
 
     def close(self) -> None:
         pass
 
 
 def ordered_apply(stream: DataFrame, keys: Sequence[str], values: Sequence[str], carry_ddl: str, step: Step, out_ddl: str,
-                  order: Sequence[str] = ("ts", "seq"), idle_us: int | None = None) -> DataFrame:
-    """Run ``step(carry, rows)`` per key over rows in ``order``, once the watermark has passed them.
+                  order: Sequence[str] = ("ts", "seq"), idle_us: int | None = None, buckets: int = 1024) -> DataFrame:
+    """Run ``step(rows, run, carry)`` over rows of each key in ``order``, once the watermark has passed them.
 
     Rows above the watermark wait in the state, so arrival order inside the delay does not matter; an event-time timer
-    releases them when no further row of the key arrives.  ``carry`` is a row of ``carry_ddl``, None at first.  With ``idle_us`` a
+    releases them when no further row of the key arrives.  A step takes the rows of many keys at once, those of a key together:
+    ``run`` numbers the stretch of each row, and ``carry`` has a row of ``carry_ddl`` for each run that goes on from one before,
+    by its number. It returns rows with the index of theirs, and the carry of each run, by its number.  With ``idle_us`` a
     key leaves the state once the watermark is that far past its last row, and a row so much later than the one before starts anew,
-    whenever it comes.  Needs the state store
-    on disk, which is set for the session here.
+    whenever it comes.  The state is kept for ``buckets`` of keys, so its calls don't grow with the keys; the number must stay the
+    same over restarts.  Needs the state store on disk, which is set for the session here.
     """
     spark = stream.sparkSession
     ship(spark)
@@ -176,24 +203,40 @@ def ordered_apply(stream: DataFrame, keys: Sequence[str], values: Sequence[str],
     keys, values = list(keys), list(values)
     key_fields = [stream.schema[k] for k in keys]
     out_schema = T.StructType(key_fields + T._parse_datatype_string(out_ddl).fields)
-    processor = _Ordered(keys, T.StructType([stream.schema[v] for v in values]), T._parse_datatype_string(carry_ddl), out_schema.fieldNames(),
-                         step, list(order), idle_us)
-    slim = stream.select(*keys, *values, "event_time")
-    return slim.groupBy(*keys).transformWithStateInPandas(processor, out_schema, "append", "eventtime")
+    processor = _Ordered(keys, T.StructType(key_fields + [stream.schema[v] for v in values]),
+                         T.StructType(key_fields + T._parse_datatype_string(carry_ddl).fields), out_schema.fieldNames(), step, list(order), idle_us)
+    # keys with the same columns null share a bucket, so no number is made a float beside a null
+    nulls = sum((F.when(F.col(k).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(keys)), F.lit(0))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)) + buckets * nulls
+    slim = stream.select(bucket.alias("_bucket"), *keys, *values, "event_time")
+    return slim.groupBy("_bucket").transformWithStateInPandas(processor, out_schema, "append", "eventtime")
+
+
+def _last(values: pd.DataFrame, run: np.ndarray) -> pd.DataFrame:
+    """The last of ``values`` of each run, by its number."""
+    at = np.r_[run[1:] != run[:-1], True]
+    return values[at].set_axis(run[at])
+
+
+def _before(values: pd.DataFrame, run: np.ndarray, carry: pd.DataFrame) -> pd.DataFrame:
+    """``values`` of the row before in the run; of the first row those of ``carry``, null where there is none."""
+    out, first = values.groupby(run).shift(), np.r_[True, run[1:] != run[:-1]]
+    begin = carry.astype(values.dtypes.to_dict()).reindex(run[first])
+    for c in values.columns:
+        out.loc[first, c] = begin[c].array
+    return out
 
 
 def gap_scan(stream: DataFrame, K: Sequence[str] = K, min_gap_us: int = 100, idle_us: int | None = None) -> DataFrame:
     """Idle gaps per (trace, device, stream); the state is the end and name of the last kernel."""
 
-    def step(carry, rows):
-        ends = rows["ts"] + rows["dur"]
-        prev_end, prev_name = ends.shift(), rows["name"].shift()
-        if carry:
-            prev_end.iloc[0], prev_name.iloc[0] = carry
-        out = pd.DataFrame({"gap_start": prev_end, "gap_end": rows["ts"], "prev_kernel": prev_name, "next_kernel": rows["name"]})
+    def step(rows, run, carry):
+        ends = pd.DataFrame({"end_ts": (rows["ts"] + rows["dur"]).astype("Int64"), "name": rows["name"].astype(object)})
+        before = _before(ends, run, carry)
+        out = pd.DataFrame({"gap_start": before["end_ts"], "gap_end": rows["ts"], "prev_kernel": before["name"], "next_kernel": rows["name"]})
         out = out[out["gap_start"].notna()].astype({"gap_start": "int64"})
         out["gap_dur"] = out["gap_end"] - out["gap_start"]
-        return out[(out["gap_dur"] > 0) & (out["gap_dur"] >= min_gap_us)], (int(ends.iloc[-1]), rows["name"].iloc[-1])
+        return out[(out["gap_dur"] > 0) & (out["gap_dur"] >= min_gap_us)].copy(), _last(ends, run)
 
     return ordered_apply(device_kernels(stream), [*K, "device_id", "stream_id"], ["ts", "seq", "dur", "name"], "end_ts bigint, name string", step,
                          "gap_start bigint, gap_end bigint, gap_dur bigint, prev_kernel string, next_kernel string", idle_us=idle_us)
@@ -207,17 +250,15 @@ def sched_latency(stream: DataFrame, K: Sequence[str] = K, idle_us: int | None =
         *K, F.when(is_switch, F.col("next_pid")).otherwise(F.col("wake_pid")).alias("pid"), "ts", "seq",
         (~is_switch).alias("is_start"), "event_time").where("pid >= 0")
 
-    def step(carry, rows):
-        start, flag = rows["ts"].shift(), rows["is_start"].astype("object").shift()
-        if carry:
-            start.iloc[0], flag.iloc[0] = carry
-        hit = (~rows["is_start"].astype(bool)) & (flag == True)  # noqa: E712
-        out = pd.DataFrame({"wake_ts": start[hit].astype("int64"), "switch_ts": rows["ts"][hit]})
+    def step(rows, run, carry):
+        own = pd.DataFrame({"mark_ts": rows["ts"].astype("Int64"), "is_start": rows["is_start"].astype("boolean")})
+        before = _before(own, run, carry)
+        hit = (~own["is_start"] & before["is_start"].fillna(False)).astype(bool)
+        out = pd.DataFrame({"wake_ts": before["mark_ts"][hit].astype("int64"), "switch_ts": rows["ts"][hit]})
         out["latency_us"] = out["switch_ts"] - out["wake_ts"]
-        last = rows.iloc[-1]
-        return out, (int(last["ts"]), bool(last["is_start"]))
+        return out, _last(own, run)
 
-    return ordered_apply(marks, [*K, "pid"], ["ts", "seq", "is_start"], "ts bigint, is_start boolean", step,
+    return ordered_apply(marks, [*K, "pid"], ["ts", "seq", "is_start"], "mark_ts bigint, is_start boolean", step,
                          "wake_ts bigint, switch_ts bigint, latency_us bigint", idle_us=idle_us)
 
 

@@ -153,3 +153,18 @@ def test_idle_keys_leave_the_state(spark, tmp_path):
     gaps = {(r.stream_id, r.gap_start // 1_000_000) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     # stream 7 was away for longer than a key is kept, so no gap is measured across that time
     assert gaps == {(s, 11) for s in range(6)} | {(7, 101), (7, 2001), (7, 2006), (7, 2301)}
+
+
+def test_state_is_kept_for_buckets_of_keys(spark, tmp_path):
+    """More keys than buckets, over two batches with rows that wait in between: each key has its own answer, few groups hold all."""
+    n, path, ck = 1500, str(tmp_path / "in"), str(tmp_path / "ck")
+    rows = [[r for s in range(n) for r in _kernels([t + s % 7, t + 9 + s % 3], s, None if s % 5 == 0 else "t", first=t)] for t in (5, 200)]
+    for i, part in enumerate([*rows, _kernels([10_000], trace="z"), _kernels([20_000], trace="z")]):
+        spark.createDataFrame(part, DDL).coalesce(1).write.parquet(f"{path}/b{i}")
+    s = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(f"{path}/b*")
+    SM.write_table(SM.gap_scan(SM.with_event_time(s, "100 seconds"), min_gap_us=1), str(tmp_path / "out"), ck, available_now=True).awaitTermination()
+    key = lambda df: sorted(str((r.trace_id, r.stream_id, r.gap_start, r.gap_end, r.prev_kernel, r.next_kernel)) for r in df.collect())
+    got = key(spark.read.parquet(str(tmp_path / "out")).where("trace_id is null or trace_id <> 'z'"))
+    assert got == key(TL.gap_scan(spark.createDataFrame(rows[0] + rows[1], DDL), min_gap_us=1)) and len(got) == 3 * n
+    state = spark.read.format("statestore").option("stateVarName", "carry").load(ck)
+    assert state.count() == n + 1 and state.select("key").distinct().count() < 1100
