@@ -30,6 +30,8 @@ BANDS, DEPTH = 32, 5
 LOOSE = 44
 #: Sets, and elements of all of them, that one side of a comparison in a task holds at most (one greater set alone).
 BLOCK_SETS, BLOCK_ELEMENTS = 4096, 2_000_000
+#: Rows of cells that are compared in one go, or one cell if that has more.
+BLOCK_VISITS = 200_000
 #: Points to compare are broadcast by their hash up to this number.
 BROADCAST_POINTS = 1_000_000
 _TIMES, _PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * DEPTH), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
@@ -115,16 +117,75 @@ def cells(emb: Column, max_distance: int) -> Column:
     return F.array(*out)
 
 
-def links(points: DataFrame, max_distance: int = 4) -> DataFrame:
-    """Pairs a < b of the distinct fingerprints in column ``fp`` that differ in at most ``max_distance`` bits."""
-    emb = points.select("fp", embedding(F.col("fp")).alias("e"))
-    visits = emb.select("fp", "e", F.explode(cells(F.col("e"), max_distance)).alias("c")).where(F.col("c").isNotNull())
-    visits = visits.select("fp", "e", F.col("c.g").alias("g"), F.col("c.cell").alias("cell"))
-    a, b = visits.alias("a"), visits.alias("b")
-    near = (F.col("a.g") == F.col("b.g")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
-    near &= F.bit_count(F.col("a.e").bitwiseXOR(F.col("b.e"))) <= max_distance  # the Manhattan bound
-    near &= F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance
-    return a.join(b, near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+def _visits(points: DataFrame, max_distance: int) -> DataFrame:
+    """(fp, g, cell): the cells that each distinct fingerprint of column ``fp`` visits."""
+    seen = points.select("fp", F.explode(cells(embedding(F.col("fp")), max_distance)).alias("c")).where(F.col("c").isNotNull())
+    return seen.select("fp", F.col("c.g").alias("g"), F.col("c.cell").alias("cell"))
+
+
+def _near_in_cells(max_distance: int, forest: bool):
+    """Pairs of near fingerprints that share a cell, or a forest of them, of rows sorted by cell.
+
+    Row i is compared with row i + 1, i + 2 and so on as long as some cell reaches so far, each step for all rows of the whole cells
+    at hand, so cells of two rows cost no call of their own and no more than a row for each comparison is held.
+    """
+    def near(fp: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        i, step = np.arange(len(fp)), 1
+        while len(i := i[i + step < end[i]]):
+            hit = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= max_distance]
+            if len(hit):
+                yield fp[hit], fp[hit + step]
+            step += 1
+
+    def links_of(fp: np.ndarray, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cut = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(fp))
+        end = np.repeat(cut, np.diff(cut, prepend=0))
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        for a, b in near(fp, end):
+            if forest:
+                kept = []
+                for x, y in zip(a.tolist(), b.tolist()):
+                    if (rx := top(x)) != (ry := top(y)):
+                        parent[rx] = ry
+                        kept.append((x, y))
+                a, b = np.array(kept, dtype=np.uint64).reshape(-1, 2).T
+            a, b = a.astype(np.int64), b.astype(np.int64)  # unsigned to signed, bit by bit
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fp, cell = np.zeros(0, dtype=np.uint64), np.zeros((0, 2), dtype=np.int64)
+        for batch in batches:
+            new = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("fp", "g", "cell")]
+            fp = np.concatenate((fp, new[0].view(np.uint64)))
+            cell = np.concatenate((cell, np.stack((new[1].astype(np.int64), new[2]), axis=1)))
+            if len(fp) < BLOCK_VISITS:
+                continue
+            number = np.append(0, np.cumsum((cell[1:] != cell[:-1]).any(axis=1)))
+            whole = int(np.searchsorted(number, number[-1]))
+            if whole:
+                yield from links_of(fp[:whole], number[:whole])
+                fp, cell = fp[whole:], cell[whole:]
+        if len(fp):
+            yield from links_of(fp, np.append(0, np.cumsum((cell[1:] != cell[:-1]).any(axis=1))))
+
+    return run
+
+
+def links(points: DataFrame, max_distance: int = 4, forest: bool = False) -> DataFrame:
+    """Pairs a < b of the distinct fingerprints in column ``fp`` that differ in at most ``max_distance`` bits.
+
+    With ``forest`` only those are given that join two groups of their task's cells: the components are the same, and a group of
+    many near fingerprints gives no more links than it has visits.
+    """
+    ship(points.sparkSession)
+    dealt = _visits(points, max_distance).repartition("g", "cell").sortWithinPartitions("g", "cell")
+    return dealt.mapInArrow(_near_in_cells(max_distance, forest), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,7 +230,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_distance: int = 4, id_c
     """
     rows = written(fingerprints(docs, width, False, id_col, text_col).select("id", F.col("fp").alias("point")))
     points = rows.groupBy("point").agg(F.min("id").alias("least"))
-    found = links(points.select(F.col("point").alias("fp")), max_distance)
+    found = links(points.select(F.col("point").alias("fp")), max_distance, forest=True)
     return _named(rows, points, found).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
 

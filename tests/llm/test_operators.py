@@ -581,3 +581,14 @@ def test_neighbours_of_repeated_and_clustered_vectors(spark, case):
         assert [r for r, _ in mine] == list(range(1, 11))
         hits += len({i for _, i in d} & {i for _, i in mine})
     assert hits >= 0.9 * 10 * len(asks)
+
+
+def test_a_dense_group_gives_a_forest(spark):
+    """All fingerprints of three flipped bits of twelve: most pairs are near, the links that are given are few, the groups the same."""
+    base = 0x1234_5678_9ABC_DEF0
+    pts = sorted({base ^ (1 << 5 * i) ^ (1 << 5 * j) ^ (1 << 5 * k) for i in range(12) for j in range(i) for k in range(j)}) + [base ^ 0xFFFF]
+    want = {(a, b) for a in pts for b in pts if a < b and (a ^ b).bit_count() <= 4}
+    got = simhash.links(spark.createDataFrame([(p,) for p in pts], "fp long"), 4, forest=True).collect()
+    forest = {(r.a, r.b) for r in got}
+    assert forest <= want and len(want) > 10 * len(pts) and len(forest) < 4 * len(pts)
+    assert groups_of(pts, lambda a, b: (a, b) in forest) == groups_of(pts, lambda a, b: (a, b) in want)
