@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from perfloom.shared import ship
+from perfloom.shared import ship, written
 
 # A string (group 2: its closing quote, group 3: the colon after a key) or a bracket, in text that begins outside a string.
 _STRUCTURE = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)(?:(")(\s*:)?|\Z)|([{}\[\]])', re.S)
@@ -205,8 +205,8 @@ def json_objects(spark: SparkSession, path: str, under: Sequence[Under], kind: s
     key of a root object, None any key; ``kind`` says whether they are arrays (``[``) or objects (``{``). ``keys`` are the keys on
     the way to the object, its own last, null for an item of an array. ``seq`` is unique in a file and ascends with it. Other
     items of the containers are left out; a document that breaks off gives its whole objects, the last one also where only its
-    last brace is missing. The broadcast table has one row for each split of the files that are too large for one. Objects on both
-    sides of a split's end are found by a second pass over such files.
+    last brace is missing. The broadcast table has one row for each split of the files that are too large for one. The cut rows go to
+    the shared folder once, as those on both sides of a split's end are read apart.
     """
     ship(spark)
     pieces, under = _pieces(spark, path), [tuple(u) for u in under]
@@ -219,9 +219,9 @@ def json_objects(spark: SparkSession, path: str, under: Sequence[Under], kind: s
     # Both passes must see the same splits; cluster settings that change between them would be noticed here.
     moved = F.when(F.col("split"), F.raise_error(F.lit("files were split anew while they were read; set spark.sql.files.minPartitionNum")))
     known = at.select("file", "block", "value", F.coalesce("state", moved, F.lit('[null, []]')).alias("state"), "split")
-    rows = known.select("file", "block", "value", "state").mapInArrow(cut, _CUT)
+    rows = written(known.select("file", "block", "value", "state").mapInArrow(cut, _CUT))  # cut once, read twice
     whole = rows.where(F.col("seq").isNotNull() & F.col("ends")).select("file", "seq", "keys", "text")
-    parts = known.where("split").select("file", "block", "value", "state").mapInArrow(cut, _CUT).where(F.col("seq").isNull() | ~F.col("ends"))
+    parts = rows.where(F.col("seq").isNull() | ~F.col("ends"))
     return whole.union(joined_parts(parts, "keys").where("ends").select("file", "seq", "keys", "text"))
 
 

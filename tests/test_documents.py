@@ -105,3 +105,11 @@ def test_step_records_of_either_key(spark, tmp_path):
     (tmp_path / "d.json").write_text("")
     got = read(spark, "step_json", str(tmp_path)).collect()
     assert sorted((r.trace_id, r.name, r.ts) for r in got) == [("a", "Step#1", 5), ("b", "Step#2", 7), ("c", "Step#3", 8)]
+
+
+def test_documents_are_cut_once(spark, tmp_path, capsys):
+    (tmp_path / "d.json").write_text(json.dumps({"traceEvents": [{"name": f"e{i}", "ts": i} for i in range(50)]}))
+    got = D.json_objects(spark, str(tmp_path / "d.json"), [("traceEvents",)])
+    got.explain()
+    assert "MapInArrow" not in capsys.readouterr().out and "Arrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [json.loads(r.text)["ts"] for r in got.orderBy("seq").collect()] == list(range(50))
