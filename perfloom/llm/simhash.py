@@ -188,13 +188,33 @@ def links(points: DataFrame, max_distance: int = 4, forest: bool = False) -> Dat
     return dealt.mapInArrow(_near_in_cells(max_distance, forest), "a long, b long").distinct()
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The groups that a task's own links make, each as links (node, smallest node)."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if (ra := top(a)) != (rb := top(b)):
+                parent[max(ra, rb)] = min(ra, rb)
+    nodes = list(parent)
+    for at in range(0, len(nodes), 10_000):
+        part = nodes[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), root the smallest node of its component.
 
-    Alternating large-star and small-star steps, each a minimum per node and a join, written to the shared folder between
+    Each task first makes stars of its own links, so few rounds are left. Alternating large-star and small-star steps, each a minimum per node and a join, written to the shared folder between
     rounds; only two counts per round reach the driver.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    edges = written(edges.mapInArrow(_stars, "a long, b long"))
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -347,10 +367,18 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
 
 def _candidates(points: DataFrame, ratio: float) -> DataFrame:
-    """Links (a, b) of points that share a band: a forest of each cell's."""
+    """Links (a, b) of points that are near by the grid join of their fingerprints or share a band: a forest of each cell's.
+
+    The grid join finds all within four bits; at a similarity of 0.8 fingerprints lie further apart, and bands find those.
+    """
+    same = points.groupBy("fp").agg(F.min("point").alias("one"))
+    near, first = links(same, 4, forest=True), same.select(F.col("fp").alias("of_a"), F.col("one").alias("one_a"))
+    near = near.join(first, F.col("a") == F.col("of_a")).join(first.withColumnsRenamed({"of_a": "of_b", "one_a": "one_b"}), F.col("b") == F.col("of_b"))
+    near = near.select(F.col("one_a").alias("a"), F.col("one_b").alias("b"))
+    equal = points.select("fp", "point").join(same.withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).where("point <> one").select(F.col("point").alias("a"), F.col("one").alias("b"))
     visits = points.select("point", "fp", "fp2", "size", F.posexplode("keys").alias("g", "cell"))
     found = visits.repartition("g", "cell").sortWithinPartitions("g", "cell", "size").mapInArrow(_forest(64, LOOSE, ratio), "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.union(near).union(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -592,3 +592,18 @@ def test_a_dense_group_gives_a_forest(spark):
     forest = {(r.a, r.b) for r in got}
     assert forest <= want and len(want) > 10 * len(pts) and len(forest) < 4 * len(pts)
     assert groups_of(pts, lambda a, b: (a, b) in forest) == groups_of(pts, lambda a, b: (a, b) in want)
+
+
+def test_candidates_hold_the_grid_join(spark):
+    """Points that share no band are met by their fingerprints: equal ones, and those that differ in four bits at most."""
+    fp = [7, 7, 7 ^ 0b1111 << 20, 7 ^ 0b11111 << 40]
+    rows = [(100 + i, f, i, 50, [1000 * i + k for k in range(simhash.BANDS)]) for i, f in enumerate(fp)]
+    points = spark.createDataFrame(rows, "point long, fp long, fp2 long, size long, keys array<long>")
+    assert {(r.a, r.b) for r in simhash._candidates(points, 0.8).collect()} == {(100, 101), (100, 102)}
+
+
+def test_a_task_makes_stars_of_its_links(spark):
+    """A chain within one task needs no rounds: every node hangs on the smallest."""
+    edges = spark.createDataFrame([(i + 1, i) for i in range(500)] + [(900, 800)], "a long, b long").coalesce(1)
+    got = {(r.a, r.b) for r in edges.mapInArrow(simhash._stars, "a long, b long").collect()}
+    assert got == {(i, 0) for i in range(1, 501)} | {(900, 800)}
