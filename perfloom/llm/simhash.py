@@ -32,6 +32,8 @@ LOOSE = 44
 BLOCK_SETS, BLOCK_ELEMENTS = 4096, 2_000_000
 #: Rows of cells that are compared in one go, or one cell if that has more.
 BLOCK_VISITS = 200_000
+#: Nodes that a task holds when it makes stars of its links.
+STAR_NODES = 1_000_000
 #: Points to compare are broadcast by their hash up to this number.
 BROADCAST_POINTS = 1_000_000
 _TIMES, _PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * DEPTH), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
@@ -117,27 +119,28 @@ def cells(emb: Column, max_distance: int) -> Column:
     return F.array(*out)
 
 
-def _visits(points: DataFrame, max_distance: int) -> DataFrame:
-    """(fp, g, cell): the cells that each distinct fingerprint of column ``fp`` visits."""
-    seen = points.select("fp", F.explode(cells(embedding(F.col("fp")), max_distance)).alias("c")).where(F.col("c").isNotNull())
-    return seen.select("fp", F.col("c.g").alias("g"), F.col("c.cell").alias("cell"))
+def _visits(points: DataFrame, max_distance: int, name: str = "fp") -> DataFrame:
+    """(fp, name, g, cell): the cells that each distinct fingerprint of column ``fp`` visits."""
+    own = list(dict.fromkeys(("fp", name)))
+    seen = points.select(*own, F.explode(cells(embedding(F.col("fp")), max_distance)).alias("c")).where(F.col("c").isNotNull())
+    return seen.select(*own, F.col("c.g").alias("g"), F.col("c.cell").alias("cell"))
 
 
-def _near_in_cells(max_distance: int, forest: bool):
-    """Pairs of near fingerprints that share a cell, or a forest of them, of rows sorted by cell.
+def _near_in_cells(max_distance: int, forest: bool, name: str = "fp"):
+    """Pairs of near fingerprints that share a cell, or a forest of them, of rows sorted by cell, each by its ``name``.
 
     Row i is compared with row i + 1, i + 2 and so on as long as some cell reaches so far, each step for all rows of the whole cells
     at hand, so cells of two rows cost no call of their own and no more than a row for each comparison is held.
     """
-    def near(fp: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def near(fp: np.ndarray, names: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i, step = np.arange(len(fp)), 1
         while len(i := i[i + step < end[i]]):
             hit = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= max_distance]
             if len(hit):
-                yield fp[hit], fp[hit + step]
+                yield names[hit], names[hit + step]
             step += 1
 
-    def links_of(fp: np.ndarray, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links_of(fp: np.ndarray, names: np.ndarray, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
         cut = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(fp))
         end = np.repeat(cut, np.diff(cut, prepend=0))
         parent: dict[int, int] = {}
@@ -147,7 +150,7 @@ def _near_in_cells(max_distance: int, forest: bool):
                 parent[x] = x = parent.get(up, up)
             return x
 
-        for a, b in near(fp, end):
+        for a, b in near(fp, names, end):
             if forest:
                 kept = []
                 for x, y in zip(a.tolist(), b.tolist()):
@@ -160,36 +163,38 @@ def _near_in_cells(max_distance: int, forest: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp, cell = np.zeros(0, dtype=np.uint64), np.zeros((0, 2), dtype=np.int64)
+        names = fp
         for batch in batches:
-            new = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("fp", "g", "cell")]
+            new = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("fp", "g", "cell", name)]
             fp = np.concatenate((fp, new[0].view(np.uint64)))
+            names = fp if name == "fp" else np.concatenate((names, new[3].view(np.uint64)))
             cell = np.concatenate((cell, np.stack((new[1].astype(np.int64), new[2]), axis=1)))
             if len(fp) < BLOCK_VISITS:
                 continue
             number = np.append(0, np.cumsum((cell[1:] != cell[:-1]).any(axis=1)))
             whole = int(np.searchsorted(number, number[-1]))
             if whole:
-                yield from links_of(fp[:whole], number[:whole])
-                fp, cell = fp[whole:], cell[whole:]
+                yield from links_of(fp[:whole], names[:whole], number[:whole])
+                fp, names, cell = fp[whole:], names[whole:], cell[whole:]
         if len(fp):
-            yield from links_of(fp, np.append(0, np.cumsum((cell[1:] != cell[:-1]).any(axis=1))))
+            yield from links_of(fp, names, np.append(0, np.cumsum((cell[1:] != cell[:-1]).any(axis=1))))
 
     return run
 
 
-def links(points: DataFrame, max_distance: int = 4, forest: bool = False) -> DataFrame:
-    """Pairs a < b of the distinct fingerprints in column ``fp`` that differ in at most ``max_distance`` bits.
+def links(points: DataFrame, max_distance: int = 4, forest: bool = False, name: str = "fp") -> DataFrame:
+    """Pairs a < b of the distinct fingerprints in column ``fp`` that differ in at most ``max_distance`` bits; a and b are of column ``name``.
 
     With ``forest`` only those are given that join two groups of their task's cells: the components are the same, and a group of
     many near fingerprints gives no more links than it has visits.
     """
     ship(points.sparkSession)
-    dealt = _visits(points, max_distance).repartition("g", "cell").sortWithinPartitions("g", "cell")
-    return dealt.mapInArrow(_near_in_cells(max_distance, forest), "a long, b long").distinct()
+    dealt = _visits(points, max_distance, name).repartition("g", "cell").sortWithinPartitions("g", "cell")
+    return dealt.mapInArrow(_near_in_cells(max_distance, forest, name), "a long, b long").distinct()
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The groups that a task's own links make, each as links (node, smallest node)."""
+    """The groups that a task's own links make, each as links (node, smallest node); beyond ``STAR_NODES`` nodes it begins anew."""
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -197,38 +202,51 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x] = x = parent.get(up, up)
         return x
 
+    def stars() -> Iterator[pa.RecordBatch]:
+        nodes = list(parent)
+        for at in range(0, len(nodes), 10_000):
+            part = nodes[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], ["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if (ra := top(a)) != (rb := top(b)):
                 parent[max(ra, rb)] = min(ra, rb)
-    nodes = list(parent)
-    for at in range(0, len(nodes), 10_000):
-        part = nodes[at : at + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], ["a", "b"])
+        if len(parent) >= STAR_NODES:
+            yield from stars()
+            parent.clear()
+    yield from stars()
+
+
+def _both(first: tuple[Column, Column], second: tuple[Column, Column], names: tuple[str, str]) -> Column:
+    """Two rows of ``names`` out of each row."""
+    return F.inline(F.array(*(F.struct(*(c.alias(n) for c, n in zip(row, names))) for row in (first, second))))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether all ``edges`` (a, b) of an a lead to one b, and no b is an a."""
+    a, b = F.col("a"), F.col("b")
+    ends = edges.select(_both((a, b), (b, F.lit(None).cast("long")), ("node", "to")))
+    seen = ends.groupBy("node").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.count("to").alias("out"), F.count(F.lit(1)).alias("all"))
+    return seen.where((F.col("low") != F.col("high")) | (F.col("out") > 0) & (F.col("out") < F.col("all"))).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), root the smallest node of its component.
 
-    Each task first makes stars of its own links, so few rounds are left. Alternating large-star and small-star steps, each a minimum per node and a join, written to the shared folder between
-    rounds; only two counts per round reach the driver.
+    Each task first makes stars of its own links, and again after each round, so few rounds are left. Rounds are alternating
+    large-star and small-star steps, each a minimum per node and a join, and end as soon as only stars are left. Each step is
+    written to the shared folder, as long plans weigh on the driver, which gets one row per round.
     """
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    edges = written(edges.mapInArrow(_stars, "a long, b long"))
-    while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .union(least.select("a", F.col("m").alias("b"))).distinct())
-        after = written(small)
-        state = [df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for df in (edges, after)]
-        edges = after
-        if state[0] == state[1]:
-            break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    shape, a, b, m = "a long, b long", F.col("a"), F.col("b"), F.col("m")
+    edges = written(edges.mapInArrow(_stars, shape))  # a > b from here on
+    while not _are_stars(edges):
+        least = edges.select(_both((a, b), (b, a), ("u", "v"))).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = written(edges.join(least, b == F.col("u")).select("a", m.alias("b")))
+        least = large.groupBy(a.alias("u")).agg(F.min("b").alias("m"))
+        small = large.join(least, a == F.col("u")).select(_both((a, m), (b, m), ("a", "b")))
+        edges = written(small.mapInArrow(_stars, shape))
+    return edges.select(_both((a, b), (b, b), ("node", "root"))).distinct()
 
 
 def _named(rows: DataFrame, points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -371,10 +389,8 @@ def _candidates(points: DataFrame, ratio: float) -> DataFrame:
 
     The grid join finds all within four bits; at a similarity of 0.8 fingerprints lie further apart, and bands find those.
     """
-    same = points.groupBy("fp").agg(F.min("point").alias("one"))
-    near, first = links(same, 4, forest=True), same.select(F.col("fp").alias("of_a"), F.col("one").alias("one_a"))
-    near = near.join(first, F.col("a") == F.col("of_a")).join(first.withColumnsRenamed({"of_a": "of_b", "one_a": "one_b"}), F.col("b") == F.col("of_b"))
-    near = near.select(F.col("one_a").alias("a"), F.col("one_b").alias("b"))
+    same = written(points.groupBy("fp").agg(F.min("point").alias("one")))
+    near = written(links(same, 4, forest=True, name="one"))
     equal = points.select("fp", "point").join(same.withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).where("point <> one").select(F.col("point").alias("a"), F.col("one").alias("b"))
     visits = points.select("point", "fp", "fp2", "size", F.posexplode("keys").alias("g", "cell"))
     found = visits.repartition("g", "cell").sortWithinPartitions("g", "cell", "size").mapInArrow(_forest(64, LOOSE, ratio), "a long, b long")
@@ -423,13 +439,15 @@ def joined_sets(sets: DataFrame, similarity: float, block_sets: int = BLOCK_SETS
     size = F.size("s")
     # rounding must not part a size from one that is just similar
     band = F.floor(F.ln(F.greatest(size, F.lit(1)).cast("double")) / -math.log(similarity * 0.999)).cast("int")
-    groups = sets.groupBy("pool", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("elements"))
-    pools = groups.groupBy("pool").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("all"), F.sum("elements").alias("all_elements"))
+    # Sets are dealt by tables without them, each written, so that no plan holds another twice.
+    sized = sets.select("pool", "node", "root", size.alias("size"), band.alias("band"))
+    groups = sized.groupBy("pool", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
+    pools = groups.groupBy("pool").agg(F.max(F.struct("n", "root"))["root"].alias("main_root"), F.sum("n").alias("all"), F.sum("elements").alias("all_elements"))
     small = (F.col("all") <= block_sets) & (F.col("all_elements") <= block_elements)
-    placed = sets.join(pools.withColumnRenamed("pool", "pool_"), F.col("pool") == F.col("pool_")).select(
-        "pool", "node", "root", "s", (F.col("root") == F.col("main")).alias("main"), F.when(small, F.lit(0)).otherwise(band).alias("band"))
-    blocks = placed.groupBy("pool", "band", "main").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum(size) / block_elements)).alias("blocks"))
+    placed = written(sized.join(pools.withColumnRenamed("pool", "pool_"), F.col("pool") == F.col("pool_")).select(
+        "pool", "node", (F.col("root") == F.col("main_root")).alias("main"), F.when(small, F.lit(0)).otherwise(F.col("band")).alias("band"), "size"))
+    blocks = written(placed.groupBy("pool", "band", "main").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("size") / block_elements)).alias("blocks")))
     a, b = (blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in "ab")
     met = a.join(b, F.col("a_pool") == F.col("b_pool")).where(
         (F.abs(F.col("a_band") - F.col("b_band")) <= 1) & (F.struct("a_band", "a_main") <= F.struct("b_band", "b_main")) & ~(F.col("a_main") & F.col("b_main")))
@@ -438,21 +456,23 @@ def joined_sets(sets: DataFrame, similarity: float, block_sets: int = BLOCK_SETS
     same = (F.col("a_band") == F.col("b_band")) & (F.col("a_main") == F.col("b_main"))
     met = met.where(~same | (F.col("a_block") <= F.col("b_block"))).withColumn("alone", same & (F.col("a_block") == F.col("b_block")))
     met = met.withColumn("task", F.xxhash64("a_pool", "a_band", "a_main", "a_block", "b_band", "b_main", "b_block"))
+
+    def side(name: str) -> Column:
+        return F.struct(*[F.col(f"{name}_{c}").alias(f"to_{c}") for c in ("pool", "band", "main", "block")],
+                        F.lit(name == "a").alias("left"), (F.col("alone") | F.lit(name == "b")).alias("right"))
+
+    sides = met.select("task", F.explode(F.when(F.col("alone"), F.array(side("a"))).otherwise(F.array(side("a"), side("b")))).alias("to")).select("task", "to.*")
     rows = placed.join(blocks.withColumnsRenamed({c: c + "_" for c in ("pool", "band", "main")}), (F.col("pool") == F.col("pool_")) & (
         F.col("band") == F.col("band_")) & (F.col("main") == F.col("main_"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-
-    def side(name: str, pairs: DataFrame) -> DataFrame:
-        keys = pairs.select("task", "alone", *[F.col(f"{name}_{c}").alias(f"to_{c}") for c in ("pool", "band", "main", "block")])
-        on = [F.col(c) == F.col(f"to_{c}") for c in ("pool", "band", "main", "block")]
-        return rows.join(keys, on[0] & on[1] & on[2] & on[3]).select(
-            "task", "node", "root", "s", F.lit(name == "a").alias("left"), (F.col("alone") | F.lit(name == "b")).alias("right"))
+    on = [F.col(c) == F.col(f"to_{c}") for c in ("pool", "band", "main", "block")]
+    dealt = written(rows.join(sides, on[0] & on[1] & on[2] & on[3]).select("task", F.col("pool").alias("in_pool"), F.col("node").alias("of_node"), "left", "right"))
 
     def link(block: pa.Table) -> pa.Table:
         nodes, roots, sides = block.column("node").to_numpy(), block.column("root").to_numpy(), [block.column(c).to_numpy() for c in ("left", "right")]
         found = set_forest([np.asarray(x) for x in block.column("s").to_pylist()], *sides, roots, similarity)
         return pa.table({"a": pa.array([int(nodes[i]) for i, _ in found], pa.int64()), "b": pa.array([int(nodes[j]) for _, j in found], pa.int64())})
 
-    both = side("a", met).union(side("b", met.where(~F.col("alone"))))
+    both = sets.join(dealt, (F.col("node") == F.col("of_node")) & (F.col("pool") == F.col("in_pool"))).select("task", "node", "root", "s", "left", "right")
     return both.groupBy("task").applyInArrow(link, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -495,13 +515,13 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: s
     hashes (at exactly 0.8, all but three in a million do); each link is verified on the sets. Of several rows with that id one
     text stays, of repeated rows one. Texts without words are one group.
     """
-    rows = written(sketches(docs, width, id_col, text_col))
-    points = written(rows.groupBy("point").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), *(
+    first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "text_hash")).alias("k")
+    points = written(sketches(docs, width, id_col, text_col).groupBy("point").agg(first, F.min("text_hash").alias("text_hash"), *(
         F.first(c).alias(c) for c in ("fp", "fp2", "size", "keys"))))
-    edges = true_links(docs, points, width, similarity, text_col)
-    groups = _named(rows.select("id", "text_hash", "point"), points.select("point", "least"), edges)
-    keep = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "text_hash")).alias("k")).select(
-        F.col("k.id").alias(kid := fresh(docs, "keep_id")), F.col("k.text_hash").alias(kh := fresh(docs, "keep_hash")))
+    roots = components(true_links(docs, points, width, similarity, text_col))
+    groups = points.select("point", "k").join(roots, F.col("point") == F.col("node"), "left").groupBy(F.coalesce("root", "point").alias("group"))
+    keep = written(groups.agg(F.min("k").alias("k")).select(
+        F.col("k.id").alias(kid := fresh(docs, "keep_id")), F.col("k.text_hash").alias(kh := fresh(docs, "keep_hash"))))
     own, rank = fresh(docs, "own_hash"), fresh(docs, "rank")
     hashed = docs.withColumn(own, text_hash(F.col(text_col)))
     joined = hashed.join(keep, hashed[id_col].eqNullSafe(keep[kid]) & (hashed[own] == keep[kh]))

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -607,3 +608,30 @@ def test_a_task_makes_stars_of_its_links(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(500)] + [(900, 800)], "a long, b long").coalesce(1)
     got = {(r.a, r.b) for r in edges.mapInArrow(simhash._stars, "a long, b long").collect()}
     assert got == {(i, 0) for i in range(1, 501)} | {(900, 800)}
+
+
+def test_plans_of_near_dedup_stay_short(spark, monkeypatch):
+    """Long plans weigh on the driver: no step of the stage holds more than eight exchanges."""
+    exchanges, write = [], simhash.written
+
+    def counted(df):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return write(df)
+
+    monkeypatch.setattr(simhash, "written", counted)
+    kept = counted(simhash.keep_one(spark.read.parquet(f"{SF}/documents.parquet").limit(300)))
+    assert kept.count() and max(exchanges) <= 8
+
+
+def test_components_take_rounds_only_where_tasks_meet(spark, monkeypatch):
+    """Stars are recognised, so links of one task are written once; a chain over many tasks comes out whole, in batches too."""
+    writes, write = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df: writes.append(0) or write(df))
+    chain = [(i + 1, i) for i in range(300)] + [(900, 800), (900, 800), (5, 5)]
+    edges = spark.createDataFrame(chain, "a long, b long")
+    want = {(i, 0) for i in range(301)} | {(900, 800), (800, 800)}
+    assert {(r.node, r.root) for r in simhash.components(edges.coalesce(1)).collect()} == want and len(writes) == 1
+    assert sorted((r.node, r.root) for r in simhash.components(edges.repartition(16)).collect()) == sorted(want)
+    monkeypatch.setattr(simhash, "STAR_NODES", 20)
+    parts = simhash._stars(iter([pa.record_batch({"a": [i + 1], "b": [i]}) for i in range(100)]))
+    assert sum(p.num_rows for p in parts) == 100
